@@ -123,26 +123,35 @@ def results_agree(a: Column, b: Column) -> Column:
 # --- exact sums -----------------------------------------------------------
 
 
-def limb_aggregates(s: Column, when: Column, prefix: str) -> list[Column]:
+def limb_columns(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}{i}") for i in range(2 * LIMBS_PER_SIDE)]
+
+
+def limb_digits(s: Column) -> Column:
+    """Integer and fraction digits padded to a fixed width around the point."""
+    width = LIMB * LIMBS_PER_SIDE
+    return F.concat(F.lpad(_integer_digits(s), width, "0"), F.rpad(_fraction_digits(s), width, "0"))
+
+
+def limb_aggregates(s: Column, digits: Column, prefix: str) -> list[Column]:
     """Partial-aggregable exact sum of decimal texts of any width.
 
-    The digits are cut into 18-digit limbs (six before and six after the point),
-    each limb summed as its own decimal. ``combine_limbs`` rebuilds the total on
-    the aggregated row. 10^20 rows fit before a limb overflows.
+    The digits (``limb_digits``, null for rows left out) are cut into 18-digit
+    limbs, six before and six after the point, each summed as its own decimal.
+    ``combine_limbs`` rebuilds the total on the aggregated row. 10^20 rows
+    fit before a limb's sum could overflow, which would raise, never wrap.
     """
-    width = LIMB * LIMBS_PER_SIDE
     sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    digits = F.concat(F.lpad(_integer_digits(s), width, "0"), F.rpad(_fraction_digits(s), width, "0"))
     out = []
     for i in range(2 * LIMBS_PER_SIDE):
-        limb = F.substring(digits, i * LIMB + 1, LIMB).cast("decimal(28,0)") * sign
-        out.append(F.sum(F.when(when, limb).cast("decimal(28,0)")).alias(f"{prefix}{i}"))
+        limb = F.substring(digits, i * LIMB + 1, LIMB).cast("long") * sign
+        out.append(F.sum(limb.cast("decimal(28,0)")).alias(f"{prefix}{i}"))
     return out
 
 
 def combine_limbs(prefix: str) -> Column:
     """Exact canonical total from the columns ``limb_aggregates`` produced."""
-    return _join_limbs(F.array(*[F.col(f"{prefix}{i}").cast("string") for i in range(2 * LIMBS_PER_SIDE)]))
+    return _join_limbs(F.array(*[c.cast("string") for c in limb_columns(prefix)]))
 
 
 def _context(precision: int) -> pydec.Context:

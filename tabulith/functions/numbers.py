@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import is_multiple_of, normalize_decimal
+from tabulith.functions.decimals import normalize_decimal
 from tabulith.functions.text import trim_blanks
 from tabulith.policy import POLICY
 
@@ -31,37 +31,36 @@ def normalize_numeric_text(s: Column) -> Column:
     return F.regexp_replace(mapped, REMOVED, "")
 
 
-def _canonical(n: Column) -> Column:
-    bare = F.regexp_replace(n, ",", "")
-    led = F.regexp_replace(bare, r"^(-?)\.", "$10.")
-    return normalize_decimal(F.regexp_replace(led, r"^(-?)0+([0-9])", "$1$2"))
-
-
-def parse_localized(s: Column) -> tuple[Column, Column]:
-    """(canonical decimal, reason): the reason is null exactly when a value is given.
+def with_localized(df: DataFrame, source: str, value: str = "value", reason: str = "reason") -> DataFrame:
+    """Add a canonical decimal and, exactly where there is none, the reason.
 
     Reasons are ``invalid-number`` and ``ambiguous-number``. Commas count as
-    grouping only in complete three-digit groups before any point.
+    grouping only in complete three-digit groups before any point. The cleaned
+    text is its own projection, so it is computed once per row.
     """
-    n = normalize_numeric_text(s)
+    n = F.col("_n")
     has_comma, has_dot = n.contains(","), n.contains(".")
-    both = has_comma & has_dot
-    reason = (
+    why = (
         F.when(n.isNull() | n.isin("", "-", "."), "invalid-number")
         .when(n.rlike(r"[^0-9,.\-]"), "invalid-number")
         .when(n.rlike(r"^.+-"), "invalid-number")
-        .when(both & ~n.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})*\.[0-9]+\z"), "ambiguous-number")
+        .when(has_comma & has_dot & ~n.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})*\.[0-9]+\z"), "ambiguous-number")
         .when(has_comma & ~has_dot & ~n.rlike(r"^-?[0-9]{1,3}(,[0-9]{3})+\z"), "ambiguous-number")
         .when(~has_comma & ~n.rlike(r"^-?([0-9]+(\.[0-9]+)?|\.[0-9]+)\z"), "invalid-number")
     )
-    return F.when(reason.isNull(), _canonical(n)), reason
+    cleaned = df.withColumn("_n", normalize_numeric_text(F.col(source))).withColumn(reason, why)
+    bare = F.regexp_replace(F.regexp_replace(n, ",", ""), r"^(-?)\.", "$10.")
+    led = cleaned.withColumn("_n", F.when(F.col(reason).isNull(), F.regexp_replace(bare, r"^(-?)0+([0-9])", "$1$2")))
+    return led.withColumn(value, normalize_decimal(F.col("_n"))).drop("_n")
 
 
-def parse_percent(s: Column) -> Column:
-    """Typed percent to a fraction text, null when out of range or off the step."""
-    bare = F.regexp_replace(trim_blanks(s), r"%\z|^%", "")
-    value, _ = parse_localized(bare)
-    fraction = value.try_cast("decimal(38,18)") / F.lit(100)
-    text = normalize_decimal(fraction.cast("decimal(38,20)").cast("string"))
-    inside = (fraction >= F.lit(POLICY.scenario_min)) & (fraction <= F.lit(POLICY.scenario_max))
-    return F.when(inside & is_multiple_of(text, str(POLICY.scenario_step)), text)
+def with_percent(df: DataFrame, source: str, out: str = "fraction") -> DataFrame:
+    """Add the fraction of a typed percent, null when out of range or off the step."""
+    bare = F.regexp_replace(trim_blanks(F.col(source)), r"%\z|^%", "")
+    parsed = with_localized(df.withColumn("_p", bare), "_p", "_v", "_why")
+    fraction = F.col("_v").try_cast("decimal(20,15)") * F.lit("0.01").cast("decimal(2,2)")
+    sized = parsed.withColumn("_f", fraction.cast("decimal(38,18)"))
+    low, high = F.lit(POLICY.scenario_min), F.lit(POLICY.scenario_max)
+    ok = F.col("_f").between(low, high) & (F.col("_f") % F.lit(POLICY.scenario_step) == 0)
+    text = sized.withColumn("_t", F.when(ok, F.col("_f")).cast("string"))
+    return text.withColumn(out, normalize_decimal(F.col("_t"))).drop("_p", "_v", "_why", "_f", "_t")

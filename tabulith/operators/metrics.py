@@ -15,10 +15,12 @@ from tabulith.functions.decimals import (
     fraction_scale,
     is_decimal,
     limb_aggregates,
+    limb_columns,
+    limb_digits,
     ratio6,
 )
 from tabulith.operators.ordinals import null_safe_join, running_total, with_ordinal
-from tabulith.operators.scope import Scope, in_scope, shared_mask
+from tabulith.operators.scope import Scope, in_scope
 from tabulith.operators.skew import salted_join
 from tabulith.table import ColumnInfo
 
@@ -38,40 +40,73 @@ def scoped_sums(
 ) -> DataFrame:
     """(metric_id, value, eligible_rows, total_rows, scale) for every spec.
 
-    All specs are conditional aggregates of a single scan and a single partial
-    and final aggregation; values are exact decimal texts padded to the widest
-    input scale. Missing or non-decimal cells are not eligible, never zero.
+    Each row is tagged with the set of specs it is in scope of and eligible for
+    (two bit sets); one map-side aggregation per distinct tag sums every field
+    once, and the specs are then read off that handful of tags. The cost does not
+    grow with the number of specs. Values are exact decimal texts padded to the
+    widest input scale; missing or non-decimal cells are not eligible, never zero.
     """
-    aggs: list[Column] = []
-    for i, spec in enumerate(specs):
-        inside = in_scope(spec.scope, date, region)
-        field = F.col(spec.field)
-        eligible = inside & shared_mask([F.col(m) for m in spec.mask]) & is_decimal(field)
-        aggs += limb_aggregates(field, eligible, f"m{i}_l")
-        aggs += [
-            F.count_if(eligible).alias(f"m{i}_eligible"),
-            F.count_if(inside).alias(f"m{i}_total"),
-            F.coalesce(F.max(F.when(eligible, fraction_scale(field))), F.lit(0)).alias(f"m{i}_scale"),
-        ]
-    wide = rows.agg(*aggs)
-    packed = F.array(
+    if len(specs) > 62:
+        raise ValueError("at most 62 figures per scan")
+    fields = sorted({s.field for s in specs})
+    checked = sorted({f for s in specs for f in (s.field, *s.mask)})
+    none = F.lit(0).cast("long")
+    inside = [in_scope(s.scope, date, region) for s in specs]
+    scoped = none
+    for i, test in enumerate(inside):
+        scoped = scoped.bitwiseOR(F.when(test, F.lit(1 << i).cast("long")).otherwise(none))
+    tagged = rows.select(
+        scoped.alias("_t"), *checked, *[is_decimal(F.col(f)).alias(f"_ok_{f}") for f in checked]
+    ).filter(F.col("_t") != 0)
+    eligible = none
+    for i, s in enumerate(specs):
+        ok = F.lit(True)
+        for f in (s.field, *s.mask):
+            ok = ok & F.col(f"_ok_{f}")
+        bit = F.lit(1 << i).cast("long")
+        eligible = eligible.bitwiseOR(F.when(ok, bit).otherwise(none).bitwiseAND(F.col("_t")))
+    tagged = tagged.withColumn("_e", eligible)
+
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for k, f in enumerate(fields):
+        tagged = tagged.withColumn(f"_d{k}", F.when(F.col(f"_ok_{f}"), limb_digits(F.col(f))))
+        aggs += limb_aggregates(F.col(f), F.col(f"_d{k}"), f"f{k}_")
+        aggs.append(F.max(F.when(F.col(f"_ok_{f}"), fraction_scale(F.col(f)))).alias(f"s{k}"))
+    per_tag = tagged.groupBy("_t", "_e").agg(*aggs)
+
+    entries = F.array(
         *[
             F.struct(
+                F.lit(i).alias("i"),
                 F.lit(s.id).alias("metric_id"),
-                F.coalesce(combine_limbs(f"m{i}_l"), F.lit("0")).alias("exact"),
-                F.col(f"m{i}_eligible").alias("eligible_rows"),
-                F.col(f"m{i}_total").alias("total_rows"),
-                F.col(f"m{i}_scale").alias("scale"),
+                (F.col("_e").bitwiseAND(F.lit(1 << i).cast("long")) != 0).alias("e"),
+                (F.col("_t").bitwiseAND(F.lit(1 << i).cast("long")) != 0).alias("t"),
+                F.array(*limb_columns(f"f{fields.index(s.field)}_")).alias("limbs"),
+                F.col(f"s{fields.index(s.field)}").alias("s"),
             )
             for i, s in enumerate(specs)
         ]
     )
-    return wide.select(F.explode(packed).alias("m")).select(
-        F.col("m.metric_id").alias("metric_id"),
-        format_scale(F.col("m.exact"), F.col("m.scale")).alias("value"),
-        F.col("m.eligible_rows").alias("eligible_rows"),
-        F.col("m.total_rows").alias("total_rows"),
-        F.col("m.scale").alias("scale"),
+    flat = per_tag.select("_n", F.explode(entries).alias("x")).select("_n", "x.*")
+    counted = flat.groupBy("metric_id").agg(
+        *[
+            F.sum(F.when(F.col("e"), F.col("limbs")[p]).cast("decimal(28,0)")).alias(f"v{p}")
+            for p in range(len(limb_columns("")))
+        ],
+        F.coalesce(F.sum(F.when(F.col("e"), F.col("_n"))), F.lit(0)).alias("eligible_rows"),
+        F.coalesce(F.sum(F.when(F.col("t"), F.col("_n"))), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.max(F.when(F.col("e"), F.col("s"))), F.lit(0)).alias("scale"),
+    )
+    # A spec no row fell in still has a figure: zero over zero rows.
+    declared = rows.sparkSession.createDataFrame([(s.id,) for s in specs], "metric_id string")
+    full = declared.join(counted, "metric_id", "left").withColumn("_x", F.coalesce(combine_limbs("v"), F.lit("0")))
+    scale = F.coalesce("scale", F.lit(0))
+    return full.select(
+        "metric_id",
+        format_scale(F.col("_x"), scale).alias("value"),
+        F.coalesce("eligible_rows", F.lit(0)).alias("eligible_rows"),
+        F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
+        scale.alias("scale"),
     )
 
 

@@ -36,13 +36,14 @@ def read_headers(cells: DataFrame, header_row: int, first: int, last: int) -> Da
     )
 
 
-def column_ids(headers: DataFrame) -> DataFrame:
+def column_ids(headers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``id``: the label's slug, later repeats numbered ``__2``, ``__3``...
 
-    The window runs over headers, whose number is the width of one table.
+    The window runs over the headers of one table (``keys``), so its size is a
+    table's width.
     """
     base = headers.withColumn("_slug", slug(F.col("label")))
-    n = F.row_number().over(W.partitionBy("_slug").orderBy("source_column"))
+    n = F.row_number().over(W.partitionBy(*keys, "_slug").orderBy("source_column"))
     id_ = F.when(n == 1, F.col("_slug")).otherwise(F.concat(F.col("_slug"), F.lit("__"), n.cast("string")))
     return base.withColumn("id", id_).drop("_slug")
 
@@ -160,10 +161,10 @@ def proposed_columns(sheet: Sheet, profile: DataFrame) -> tuple[ColumnInfo, ...]
     return tuple(c.with_(type=found[c.id][0], role=found[c.id][1]) for c in sheet.columns)
 
 
-def case_ambiguous_headers(headers: DataFrame) -> DataFrame:
+def case_ambiguous_headers(headers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Headers that fold to an earlier header's key but are spelled differently."""
     named = headers.filter(~F.col("blank")).withColumn("_fold", fold_key(F.col("label")))
-    w = W.partitionBy("_fold").orderBy("source_column").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    w = W.partitionBy(*keys, "_fold").orderBy("source_column").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     first = F.first("label").over(w)
     return named.withColumn("first_label", first).filter(F.col("label") != F.col("first_label")).drop("_fold")
 
