@@ -12,6 +12,7 @@ from tabulith.operators import normalize as N
 from tabulith.operators import profile as P
 from tabulith.operators.ordinals import systematic_sample
 from tabulith.queries.registry import PLACED, query
+from tabulith.session import cut_lineage
 from tabulith.sources.tables import placed_orders, scan
 from tabulith.table import ColumnInfo, Sheet, sheet_from_table
 
@@ -94,8 +95,9 @@ CLEAN = f"""{LEDGER}, clean AS (SELECT m.source_row, day, COALESCE(p.canon, prio
 
 
 def resolved(spark: SparkSession, folder: str) -> tuple[Sheet, DataFrame]:
+    """The sheet and its resolved ledger; review is where a ledger is materialised."""
     sheet = typed_messy_sheet(spark, folder)
-    proposals = L.quality_ledger(sheet)
+    proposals = cut_lineage(L.quality_ledger(sheet))
     return sheet, N.resolve_ledger(proposals, N.approve_actionable(proposals))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,24 @@ def local_session(cores: int | str = 8, app: str = "tabulith", memory: str = "8g
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.
+
+    A temporary one is made only where the session names none (tests, local runs).
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="tabulith-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's reliable checkpoint folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is configured (tests, local runs).
+    Later readers prune columns and push filters into the written table, and a
+    lost executor re-reads it instead of recomputing everything before it.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tabulith-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/tabulith-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
