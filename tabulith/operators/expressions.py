@@ -29,7 +29,6 @@ from tabulith.operators.spans import join_spans
 
 Expression = Mapping[str, object]
 ARITHMETIC = {"add": dec_add, "subtract": dec_sub, "multiply": dec_mul, "divide": dec_div}
-NO_REASON = None
 
 
 def literal(value: str) -> dict:
@@ -133,22 +132,12 @@ def recompute(
     ``leaves`` has one small row per (selection, field); it is folded into one
     map so that every definition is an expression over a single row.
     """
-    leaf_map = leaves.agg(
-        F.map_from_entries(
-            F.collect_list(
-                F.struct(
-                    F.concat_ws("|", "selection_id", "field").alias("k"),
-                    F.struct("value", "reason", F.col("declared").cast("string").alias("declared")).alias("v"),
-                )
-            )
-        ).alias("_leaf")
-    )
-    declared = leaves.agg(
-        F.map_from_entries(
-            F.collect_set(F.struct("selection_id", F.col("declared").cast("string").alias("d")))
-        ).alias("_rows")
+    key = F.concat_ws("|", "selection_id", "field")
+    rows = F.col("declared").cast("string")
+    one = leaves.agg(
+        F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.struct("value", "reason").alias("v")))).alias("_leaf"),
+        F.map_from_entries(F.collect_set(F.struct("selection_id", rows.alias("d")))).alias("_rows"),
     )
-    one = leaf_map.withColumn("_rows", declared.select("_rows").scalar())
     if issue_counts is not None:
         packed = issue_counts.agg(
             F.map_from_entries(F.collect_list(F.struct("set_id", F.struct("value", "reason")))).alias("m")
@@ -208,9 +197,12 @@ def _ids(expression: Column, field: str) -> Column:
 def operands(proofs: DataFrame) -> DataFrame:
     """(proof_id, operand, value): every reference and literal an expression uses."""
     e = F.col("expression")
-    kinds = [("metric", "metric_id"), ("selection", "selection_id"), ("issue-set", "set_id"), ("literal", "value")]
+
+    def tag(kind: str, field: str) -> Column:
+        return F.transform(_ids(e, field), lambda v: F.struct(F.lit(kind).alias("operand"), v.alias("value")))
+
     tagged = F.concat(
-        *[F.transform(_ids(e, f), lambda v, k=k: F.struct(F.lit(k).alias("operand"), v.alias("value"))) for k, f in kinds]
+        tag("metric", "metric_id"), tag("selection", "selection_id"), tag("issue-set", "set_id"), tag("literal", "value")
     )
     return proofs.select("proof_id", F.explode(tagged).alias("o")).select("proof_id", "o.*").distinct()
 
