@@ -23,17 +23,15 @@ BOOLEAN_WORDS = ("true", "false", "yes", "no", "نعم", "لا")
 NUMERIC_TYPES = ("decimal", "integer", "mixed")
 
 
-def read_headers(cells: DataFrame, header_row: int, first: int, last: int) -> DataFrame:
-    """(source_column, label, blank): an empty header becomes ``Column <letter>``."""
-    spark = cells.sparkSession
-    positions = spark.range(first, last + 1).select(F.col("id").cast("int").alias("column"))
-    header = cells.filter(F.col("row") == header_row).select("column", "raw")
+def read_headers(header_cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, source_column, label, blank): an empty header becomes ``Column <letter>``.
+
+    Landed header rows keep their blank positions, so every column has a cell.
+    """
     text = F.coalesce(F.col("raw"), F.lit(""))
     blank = trim_blanks(text) == ""
     label = F.when(blank, F.concat(F.lit("Column "), column_letter(F.col("column")))).otherwise(text)
-    return positions.join(header, "column", "left").select(
-        F.col("column").alias("source_column"), label.alias("label"), blank.alias("blank")
-    )
+    return header_cells.select(*keys, F.col("column").alias("source_column"), label.alias("label"), blank.alias("blank"))
 
 
 def column_ids(headers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -198,7 +198,7 @@ def table_records(records: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def to_cells(records: DataFrame, first: int = 1, last: int | None = None) -> DataFrame:
-    """Long cells (file_id, row, column, raw, cell_type) of header-on records.
+    """Long cells (file_id, row, column, raw, cell_type, is_header) of header-on records.
 
     A cell's row is the physical line where its record starts. Empty fields emit
     nothing, except in the header where the blank keeps its position; a record
@@ -219,7 +219,7 @@ def to_cells(records: DataFrame, first: int = 1, last: int | None = None) -> Dat
     blank = F.col("raw") == ""
     return kept.select(
         "file_id", "row", "column", F.when(~blank, F.col("raw")).alias("raw"),
-        F.when(blank, "blank").otherwise("text").alias("cell_type"),
+        F.when(blank, "blank").otherwise("text").alias("cell_type"), "is_header",
     )
 
 
