@@ -15,23 +15,36 @@ MAX_SERIAL = 2_958_465 + 1_462
 LEAP_BUG_SERIAL = 60
 
 
-def plain_number(value: Column) -> Column:
-    """Plain decimal text of a double: exponents expanded, no ``-0``, null if not finite."""
-    text = value.cast("string")
+def with_plain_number(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Add plain decimal text of a double: exponents expanded, no ``-0``, null if not finite.
+
+    The digits are the shortest that read back as the same double; a long text is
+    therefore tried at 15 and 16 significant digits first. Each step is its own
+    projection, so nothing is computed twice per row.
+    """
+    value = F.col(source)
     pattern = r"^(-?)([0-9]+)(?:\.([0-9]+))?[eE]([+-]?[0-9]+)\z"
-    has_exponent = text.rlike(pattern)
-    sign = F.regexp_extract(text, pattern, 1)
-    whole = F.regexp_extract(text, pattern, 2)
-    digits = F.concat(whole, F.regexp_extract(text, pattern, 3))
-    point = F.length(whole) + F.regexp_extract(text, pattern, 4).try_cast("int")
+    finite = ~(F.isnan(value) | (F.abs(value) == float("inf")))
+    step = df.withColumn("_full", F.when(finite, value.cast("string")))
+    long_ = F.length("_full") > 15
+    step = step.withColumn("_a", F.when(long_, F.format_string("%.14e", value)))
+    step = step.withColumn("_b", F.when(long_, F.format_string("%.15e", value)))
+    reads_back = [F.when(F.col(c).try_cast("double") == value, F.col(c)) for c in ("_a", "_b")]
+    step = step.withColumn("_text", F.coalesce(*reads_back, "_full"))
+    step = step.withColumn("_whole", F.regexp_extract("_text", pattern, 2)).withColumn(
+        "_digits", F.concat("_whole", F.regexp_extract("_text", pattern, 3))
+    )
+    step = step.withColumn("_point", F.length("_whole") + F.regexp_extract("_text", pattern, 4).try_cast("int"))
+    digits, point = F.col("_digits"), F.col("_point")
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
     large = F.rpad(digits, F.greatest(point, F.length(digits)), "0")
     middle = F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits)))
-    expanded = F.concat(
-        sign, F.when(point <= 0, small).when(point >= F.length(digits), large).otherwise(middle)
+    expanded = F.when(point <= 0, small).when(point >= F.length(digits), large).otherwise(middle)
+    signed = F.concat(F.regexp_extract("_text", pattern, 1), expanded)
+    step = step.withColumn("_plain", F.when(point.isNotNull(), signed).otherwise(F.col("_text")))
+    return step.withColumn(out, normalize_decimal(F.col("_plain"))).drop(
+        "_full", "_a", "_b", "_text", "_whole", "_digits", "_point", "_plain"
     )
-    finite = ~(F.isnan(value) | (F.abs(value) == float("inf")))
-    return F.when(finite, normalize_decimal(F.when(has_exponent, expanded).otherwise(text)))
 
 
 def invalid_serial(serial: Column, date_system: Column) -> Column:
@@ -49,7 +62,8 @@ def map_cells(raw: DataFrame) -> DataFrame:
     """
     kind = F.col("kind")
     has_formula = F.coalesce(F.length("formula") > 0, F.lit(False))
-    number = plain_number(F.col("number"))
+    raw = with_plain_number(raw, "number", "_number")
+    number = F.col("_number")
     filled = F.coalesce(F.col("text") != "", F.lit(False))
     cell_type = (
         F.when(has_formula, "formula")
@@ -72,7 +86,7 @@ def map_cells(raw: DataFrame) -> DataFrame:
     warning = F.when(has_formula, "ingest.warn.formula-cells").when(
         F.coalesce(bad_serial, F.lit(False)), "ingest.warn.invalid-date-serial"
     )
-    dropped = ("kind", "number", "text", "flag", "formula", "cached", "is_date", "date_system")
+    dropped = ("kind", "number", "text", "flag", "formula", "cached", "is_date", "date_system", "_number")
     keep = [c for c in raw.columns if c not in dropped]
     return raw.select(
         *keep,
