@@ -265,3 +265,73 @@ def hash_binding(landed: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     joined = null_safe_join(landed.select(key, "sha256"), d, [key], "left")
     rule = F.when(F.col("_want").isNull(), "hash.undeclared").when(F.col("_want") != F.col("sha256"), "hash.mismatch")
     return joined.withColumn("rule", rule).filter("rule is not null").select(key, "rule")
+
+
+def bundle_parts(parts: DataFrame, id_: str) -> DataFrame:
+    """Bundles whose table, snapshot and scenario do not belong together.
+
+    ``parts`` holds the identities side by side, one row per bundle: table_id,
+    revision, source_hash, then the same with a ``snapshot_`` prefix, analysis_id
+    and the scenario's baseline_id (null without a scenario).
+    """
+    same = lambda c: F.col(c).eqNullSafe(F.col(f"snapshot_{c}"))
+    return rules(
+        parts,
+        id_,
+        {
+            "snapshot.tableId": ~same("table_id"),
+            "normalizationRevision.mismatch": ~same("revision"),
+            "sourceHash.mismatch": ~same("source_hash"),
+            "export.scenarioBaseline": F.col("baseline_id").isNotNull() & (F.col("baseline_id") != F.col("analysis_id")),
+        },
+    )
+
+
+def stand_alone_findings(findings: DataFrame) -> DataFrame:
+    """Findings whose rank is not a pair of finite decimals or that name no figure."""
+    return rules(
+        findings,
+        "finding_id",
+        {
+            "finding.rank": ~is_decimal(F.col("coverage")) | ~is_decimal(F.col("magnitude").cast("string")),
+            "finding.metricId": F.size("metric_ids") == 0,
+        },
+    )
+
+
+def stand_alone_definitions(definitions: DataFrame, id_: str) -> DataFrame:
+    """Scenario definitions with crossed bounds or a default that is off the step."""
+    wide = lambda c: F.col(c).cast("decimal(38,18)")
+    return rules(
+        definitions,
+        id_,
+        {
+            "definition.bounds": wide("minimum") > wide("maximum"),
+            "definition.step": (wide("step") == 0) | (wide("default") % F.when(wide("step") != 0, wide("step")) != 0),
+        },
+    )
+
+
+def file_shapes(records: DataFrame, declared: DataFrame) -> DataFrame:
+    """(file_id, rule, expected, actual) where a landed file breaks its declared shape.
+
+    ``declared`` holds file_id, records, header_columns and widest; a file is
+    reduced to three numbers map-side before it meets its declaration.
+    """
+    actual = records.groupBy("file_id").agg(
+        F.count(F.lit(1)).alias("records"),
+        F.max(F.when(F.col("ordinal") == 1, F.size("fields"))).cast("long").alias("header_columns"),
+        F.max(F.size("fields")).cast("long").alias("widest"),
+    )
+    names = ("records", "header_columns", "widest")
+    d = declared.select(F.col("file_id").alias("_f"), *[F.col(n).cast("long").alias(f"_{n}") for n in names])
+    joined = actual.join(d, F.col("file_id") == F.col("_f"), "full_outer")
+    diffs = [
+        F.when(
+            ~F.col(n).eqNullSafe(F.col(f"_{n}")),
+            F.struct(F.lit(f"shape.{n}").alias("rule"), F.col(f"_{n}").alias("expected"), F.col(n).alias("actual")),
+        )
+        for n in names
+    ]
+    found = F.explode(F.filter(F.array(*diffs), lambda x: x.isNotNull()))
+    return joined.select(F.coalesce("file_id", "_f").alias("file_id"), found.alias("x")).select("file_id", "x.*")

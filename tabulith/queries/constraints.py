@@ -32,7 +32,7 @@ def unique_checks(spark, folder):
 
 @query(
     "status_triples",
-    "V2 V21",
+    "V2",
     """WITH m AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'defined' ELSE 'undefined' END AS status,
   CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN '1e5' ELSE CAST(event_id AS VARCHAR) END AS value,
   CASE WHEN event_id % 3 = 0 THEN 'why' WHEN event_id % 11 = 0 THEN '' END AS reason FROM events)
@@ -151,7 +151,7 @@ def table_checks(spark, folder):
 
 @query(
     "summary_reconciled",
-    "V9 V11 V18",
+    "V9",
     f"""WITH {RESOLVED}, k AS (SELECT COUNT(*) AS raw FROM messy)
 SELECT 'qualitySummary.raw_rows' AS rule, 'raw_rows' AS object_id, CAST(raw + 1 AS VARCHAR) AS claimed, CAST(raw AS VARCHAR) AS expected FROM k
 UNION ALL SELECT 'qualitySummary.resolved', 'resolved', '0', CAST(COUNT(*) FILTER (WHERE status = 'resolved') AS VARCHAR) FROM resolved""",
@@ -228,7 +228,7 @@ def label_checks(spark, folder):
 
 @query(
     "manifest_checks",
-    "V18 V13",
+    "V18",
     """WITH m AS (SELECT c_nationkey AS id, COUNT(*) AS raw_records, COUNT(*) + (c_nationkey % 3) - 1 AS clean_records, COUNT(*) FILTER (WHERE c_acctbal < 0) AS duplicates,
   c_nationkey % 2 AS categories, 1 AS missing, COUNT(*) FILTER (WHERE c_acctbal < 0) + 1 AS issues, COUNT(*) FILTER (WHERE c_acctbal < 0) AS resolved, c_nationkey % 4 AS unresolved FROM customer GROUP BY 1)
 SELECT 'manifest.records' AS rule, CAST(id AS VARCHAR) AS object_id FROM m WHERE clean_records > raw_records
@@ -389,3 +389,64 @@ def label_parity(spark, folder):
         F.when(k % 7 == 0, F.concat("p_name", F.lit(" {size} {brand}"))).when(k % 7 == 1, F.concat("p_name", F.lit(" {size}"))).when(k % 7 == 2, "  ").otherwise(full)
     )
     return C.parity_of_dimensions(reference, p.filter(k % 11 != 0).select(key, other.alias("text")), "key", "text")
+
+
+@query(
+    "bundle_guard",
+    "K9 V11 V13",
+    """WITH n AS (SELECT c_nationkey AS id, sha256(CAST(SUM(c_custkey) AS VARCHAR)) AS h FROM customer GROUP BY 1)
+SELECT 'snapshot.tableId' AS rule, CAST(id AS VARCHAR) AS object_id FROM n WHERE id % 5 = 0 UNION ALL SELECT 'normalizationRevision.mismatch', CAST(id AS VARCHAR) FROM n WHERE id % 4 = 0
+UNION ALL SELECT 'sourceHash.mismatch', CAST(id AS VARCHAR) FROM n WHERE id % 3 = 0 UNION ALL SELECT 'export.scenarioBaseline', CAST(id AS VARCHAR) FROM n WHERE id % 2 = 1""",
+)
+def bundle_guard(spark, folder):
+    n = scan(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(
+        F.sha2(F.sum("c_custkey").cast("string"), 256).alias("source_hash")
+    )
+    k, name = F.col("id"), F.concat(F.lit("raw-"), F.col("id").cast("string"))
+    parts = n.select(
+        "id", name.alias("table_id"), F.lit("r1").alias("revision"), "source_hash",
+        F.when(k % 5 == 0, "raw-old").otherwise(name).alias("snapshot_table_id"),
+        F.when(k % 4 == 0, "r0").otherwise("r1").alias("snapshot_revision"),
+        F.when(k % 3 == 0, F.lit(None)).otherwise(F.col("source_hash")).alias("snapshot_source_hash"),
+        F.lit("analysis").alias("analysis_id"),
+        F.when(k % 2 == 1, "other").when(k % 10 == 0, "analysis").alias("baseline_id"),
+    )
+    return C.bundle_parts(parts, "id")
+
+
+@query(
+    "document_checks",
+    "V21 C2",
+    """WITH d AS (SELECT p_partkey AS id, p_size % 30 AS lo, 20 AS hi, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size % 3 + 1 END AS step, p_size AS dflt FROM part)
+SELECT 'definition.bounds' AS rule, CAST(id AS VARCHAR) AS object_id FROM d WHERE lo > hi UNION ALL SELECT 'definition.step', CAST(id AS VARCHAR) FROM d WHERE step = 0 OR (step <> 0 AND dflt % step <> 0)""",
+)
+def document_checks(spark, folder):
+    found = B.entity_findings(figures(spark, folder))
+    odd = C.stand_alone_findings(found)
+    k = F.col("p_partkey")
+    d = scan(spark, folder, "part").select(
+        k.alias("id"), (F.col("p_size") % 30).alias("minimum"), F.lit(20).alias("maximum"),
+        F.when(k % 9 == 0, 0).otherwise(F.col("p_size") % 3 + 1).alias("step"), F.col("p_size").alias("default"),
+    )
+    return C.stand_alone_definitions(d, "id").unionByName(odd)
+
+
+@query(
+    "shape_expectations",
+    "V20 S2",
+    r"""WITH ln AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, UNNEST(range(1, len(string_split(text, chr(10))) + 1)) AS at_line FROM documents),
+ rec AS (SELECT doc_id, len(string_split(line, ',')) AS width, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY at_line) AS ordinal FROM ln WHERE trim(replace(line, ',', '')) <> ''),
+ a AS (SELECT doc_id, COUNT(*) AS records, MAX(width) FILTER (WHERE ordinal = 1) AS header_columns, MAX(width) AS widest FROM rec GROUP BY 1),
+ d AS (SELECT doc_id, doc_id % 4 + 5 AS records, 3 AS header_columns, doc_id % 6 + 4 AS widest FROM documents WHERE doc_id % 10 <> 0)
+SELECT CAST(a.doc_id AS VARCHAR) AS file_id, 'shape.records' AS rule, d.records AS expected, a.records AS actual FROM a LEFT JOIN d ON d.doc_id = a.doc_id WHERE a.records IS DISTINCT FROM d.records
+UNION ALL SELECT CAST(a.doc_id AS VARCHAR), 'shape.header_columns', d.header_columns, a.header_columns FROM a LEFT JOIN d ON d.doc_id = a.doc_id WHERE a.header_columns IS DISTINCT FROM d.header_columns
+UNION ALL SELECT CAST(a.doc_id AS VARCHAR), 'shape.widest', d.widest, a.widest FROM a LEFT JOIN d ON d.doc_id = a.doc_id WHERE a.widest IS DISTINCT FROM d.widest""",
+)
+def shape_expectations(spark, folder):
+    from tabulith.queries.ingest import records
+
+    docs, k = scan(spark, folder, "documents"), F.col("doc_id")
+    declared = docs.filter(k % 10 != 0).select(
+        k.cast("string").alias("file_id"), (k % 4 + 5).alias("records"), F.lit(3).alias("header_columns"), (k % 6 + 4).alias("widest")
+    )
+    return C.file_shapes(records(spark, folder), declared)

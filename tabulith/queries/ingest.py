@@ -156,7 +156,7 @@ def csv_cells(spark, folder):
 
 @query(
     "header_labels",
-    "P5 P6 F14 N8",
+    "P5 P6 F14 N8 W2",
     f"""WITH {HEADERS}, h AS (SELECT file_id, UNNEST(fields) AS raw, UNNEST(range(1, len(fields) + 1)) AS pos FROM tr WHERE is_header),
  l AS (SELECT file_id, pos, trim(raw) = '' AS blank, CASE WHEN trim(raw) = '' THEN 'Column ' || CASE WHEN pos > 26 THEN chr(CAST(64 + (pos - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (pos - 1) % 26 AS INTEGER)) ELSE raw END AS label FROM h),
  s AS (SELECT *, regexp_replace(regexp_replace(lower(trim(label)), '[^a-z0-9؀-ۿ]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug0 FROM l),
