@@ -432,7 +432,7 @@ def ledger_table(spark, folder):
 @query(
     "figures_table",
     "K3",
-    f"""WITH {METRICS} SELECT metric_id, value, unit, eligible_rows || '/' || eligible_rows AS coverage, NULL AS exact_note FROM metrics WHERE unit <> 'ratio'""",
+    f"""WITH {METRICS} SELECT metric_id, value, unit, eligible_rows || '/' || eligible_rows AS coverage, CAST(NULL AS VARCHAR) AS exact_note FROM metrics WHERE unit <> 'ratio'""",
 )
 def figures_table(spark, folder):
     return K.figures_table(metrics(spark, folder)).filter("unit <> 'ratio'")
