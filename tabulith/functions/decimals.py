@@ -10,7 +10,7 @@ from __future__ import annotations
 import decimal as pydec
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,30 +127,51 @@ def limb_columns(prefix: str) -> list[Column]:
     return [F.col(f"{prefix}{i}") for i in range(2 * LIMBS_PER_SIDE)]
 
 
-def limb_digits(s: Column) -> Column:
-    """Integer and fraction digits padded to a fixed width around the point."""
+def with_exact_parts(df: DataFrame, text: Column, ok: Column, prefix: str) -> DataFrame:
+    """Stage the whole-number parts of a decimal text for an exact sum.
+
+    Values of up to 18 digits on each side of the point become two longs. Wider
+    ones keep all their digits, padded to 108 on each side. Rows where ``ok`` is
+    false have neither.
+    """
+    i, f, w = f"{prefix}_i", f"{prefix}_f", f"{prefix}_w"
+    staged = df.withColumn(w, F.when(ok, text))
+    whole, fraction = _integer_digits(F.col(w)), _fraction_digits(F.col(w))
+    staged = staged.withColumn(i, whole).withColumn(f, fraction)
+    narrow = (F.length(i) <= LIMB) & (F.length(f) <= LIMB)
+    sign = F.when(F.col(w).startswith("-"), F.lit(-1)).otherwise(F.lit(1))
     width = LIMB * LIMBS_PER_SIDE
-    return F.concat(F.lpad(_integer_digits(s), width, "0"), F.rpad(_fraction_digits(s), width, "0"))
+    digits = F.concat(F.lpad(i, width, "0"), F.rpad(f, width, "0"))
+    return staged.withColumns(
+        {
+            w: F.when(~narrow, digits),
+            i: F.when(narrow, F.col(i).cast("long") * sign),
+            f: F.when(narrow, F.rpad(f, LIMB, "0").cast("long") * sign),
+            f"{prefix}_s": sign,
+        }
+    )
 
 
-def limb_aggregates(s: Column, digits: Column, prefix: str) -> list[Column]:
-    """Partial-aggregable exact sum of decimal texts of any width.
+def limb_aggregates(prefix: str, out: str) -> list[Column]:
+    """Partial-aggregable exact sum over the columns ``with_exact_parts`` staged.
 
-    The digits (``limb_digits``, null for rows left out) are cut into 18-digit
-    limbs, six before and six after the point, each summed as its own decimal.
-    ``combine_limbs`` rebuilds the total on the aggregated row. 10^20 rows
-    fit before a limb's sum could overflow, which would raise, never wrap.
+    Twelve 18-digit limbs are summed on their own, six before and six after the
+    point; ordinary values only touch the two next to the point. ``combine_limbs``
+    rebuilds the total on the aggregated row. 10^20 rows fit before a limb's sum
+    could overflow, which would raise, never wrap.
     """
-    sign = F.when(s.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    out = []
-    for i in range(2 * LIMBS_PER_SIDE):
-        limb = F.substring(digits, i * LIMB + 1, LIMB).cast("long") * sign
-        out.append(F.sum(limb.cast("decimal(28,0)")).alias(f"{prefix}{i}"))
-    return out
+    near = {LIMBS_PER_SIDE - 1: f"{prefix}_i", LIMBS_PER_SIDE: f"{prefix}_f"}
+    sums = []
+    for p in range(2 * LIMBS_PER_SIDE):
+        limb = F.substring(f"{prefix}_w", p * LIMB + 1, LIMB).cast("long") * F.col(f"{prefix}_s")
+        if p in near:
+            limb = F.coalesce(F.col(near[p]), limb)
+        sums.append(F.sum(limb.cast("decimal(28,0)")).alias(f"{out}{p}"))
+    return sums
 
 
 def combine_limbs(prefix: str) -> Column:
-    """Exact canonical total from the columns ``limb_aggregates`` produced."""
+    """Exact canonical total from the columns ``limb_aggregates`` made."""
     return _join_limbs(F.array(*[c.cast("string") for c in limb_columns(prefix)]))
 
 

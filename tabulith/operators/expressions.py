@@ -22,8 +22,8 @@ from tabulith.functions.decimals import (
     is_decimal,
     is_zero,
     limb_aggregates,
-    limb_digits,
     results_agree,
+    with_exact_parts,
 )
 from tabulith.operators.spans import join_spans
 
@@ -99,7 +99,8 @@ def selection_leaves(rows: DataFrame, spans: DataFrame, fields: Sequence[str]) -
     aggs = [F.count(F.lit(1)).alias("present")]
     for i, f in enumerate(fields):
         ok = is_decimal(F.col(f"`{f}`"))
-        aggs += limb_aggregates(F.col(f"`{f}`"), F.when(ok, limb_digits(F.col(f"`{f}`"))), f"s{i}_")
+        covered = with_exact_parts(covered, F.col(f"`{f}`"), ok, f"_x{i}")
+        aggs += limb_aggregates(f"_x{i}", f"s{i}_")
         aggs.append(F.count_if(~ok).alias(f"bad{i}"))
     sums = covered.groupBy("selection_id").agg(*aggs)
     declared = spans.groupBy("selection_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("declared"))

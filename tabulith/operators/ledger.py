@@ -13,7 +13,7 @@ from tabulith.functions.dates import SLASH_DATE
 from tabulith.functions.decimals import DECIMAL_PATTERN, significant_digits
 from tabulith.functions.text import fold_key, is_blank, trim_blanks
 from tabulith.operators.profile import NUMERIC_TYPES, case_ambiguous_headers, long_values
-from tabulith.operators.skew import salted_join
+from tabulith.operators.skew import hot_keys, salted_join
 from tabulith.policy import POLICY
 from tabulith.table import Sheet
 
@@ -68,7 +68,9 @@ def duplicate_rows(sheet: Sheet) -> DataFrame:
         .agg(F.min("source_row").alias("canonical"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
     )
-    later = salted_join(keyed, groups, ["digest"], "n", ["source_row"]).filter(
+    copies = keyed.agg(F.count(F.lit(1)).alias("t")).scalar()
+    hot = hot_keys(groups, ["digest"], "n", copies)
+    later = salted_join(keyed, groups, ["digest"], hot, ["source_row"]).filter(
         F.col("source_row") > F.col("canonical")
     )
     return _issues(
@@ -79,30 +81,35 @@ def duplicate_rows(sheet: Sheet) -> DataFrame:
     )
 
 
+def _spellings(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
+    """(field, text, first_row, n): distinct spellings, combined map-side."""
+    return long_values(sheet, columns).groupBy("field", "text").agg(
+        F.min("source_row").alias("first_row"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def spelling_map(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
     """(field, text, canonical, n): spellings whose fold key was first seen otherwise.
 
-    Cells collapse to distinct spellings map-side before anything is folded, so
-    the composed form is computed once per spelling.
+    Cells collapse to distinct spellings before anything is folded, so the
+    composed form is computed once per spelling.
     """
-    spelled = (
-        long_values(sheet, columns)
-        .groupBy("field", "text")
-        .agg(F.min("source_row").alias("first_row"), F.count(F.lit(1)).alias("n"))
-        .withColumn("fold", fold_key(F.col("text")))
-    )
+    spelled = _spellings(sheet, columns).withColumn("fold", fold_key(F.col("text")))
     canon = spelled.groupBy("field", "fold").agg(
         F.min_by("text", "first_row").alias("canonical"), F.count(F.lit(1)).alias("spellings")
     )
     several = canon.filter(F.col("spellings") > 1)
-    joined = salted_join(spelled, several, ["field", "fold"], "spellings", ["text"])
+    # A category is only hot here when it has very many spellings, not rows.
+    hot = hot_keys(several, ["field", "fold"], "spellings")
+    joined = salted_join(spelled, several.drop("spellings"), ["field", "fold"], hot, ["text"])
     return joined.filter(F.col("text") != F.col("canonical")).select("field", "text", "canonical", "n")
 
 
 def category_variants(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
     """Cells spelled differently from the first-seen spelling of their category."""
-    variants = spelling_map(sheet, columns)
-    cells = salted_join(long_values(sheet, columns), variants, ["field", "text"], "n", ["source_row"])
+    variants = spelling_map(sheet, columns).drop("n")
+    hot = hot_keys(_spellings(sheet, columns), ["field", "text"], "n")
+    cells = salted_join(long_values(sheet, columns), variants, ["field", "text"], hot, ["source_row"])
     places = F.array(*[F.lit(c) for c in sheet.ids])
     # At most one entry per column of one row, so this window is narrow.
     nth = F.row_number().over(W.partitionBy("source_row").orderBy(F.array_position(places, F.col("field"))))

@@ -16,12 +16,12 @@ from tabulith.functions.decimals import (
     is_decimal,
     limb_aggregates,
     limb_columns,
-    limb_digits,
     ratio6,
+    with_exact_parts,
 )
 from tabulith.operators.ordinals import null_safe_join, running_total, with_ordinal
 from tabulith.operators.scope import Scope, in_scope
-from tabulith.operators.skew import salted_join
+from tabulith.operators.skew import hot_keys, salted_join
 from tabulith.table import ColumnInfo
 
 
@@ -69,8 +69,8 @@ def scoped_sums(
 
     aggs = [F.count(F.lit(1)).alias("_n")]
     for k, f in enumerate(fields):
-        tagged = tagged.withColumn(f"_d{k}", F.when(F.col(f"_ok_{f}"), limb_digits(F.col(f))))
-        aggs += limb_aggregates(F.col(f), F.col(f"_d{k}"), f"f{k}_")
+        tagged = with_exact_parts(tagged, F.col(f), F.col(f"_ok_{f}"), f"_x{k}")
+        aggs += limb_aggregates(f"_x{k}", f"f{k}_")
         aggs.append(F.max(F.when(F.col(f"_ok_{f}"), fraction_scale(F.col(f)))).alias(f"s{k}"))
     per_tag = tagged.groupBy("_t", "_e").agg(*aggs)
 
@@ -243,22 +243,21 @@ def largest_remainder(rows: DataFrame, keys: Sequence[str], weight: str, total:
     those counts; only the rows tied at it are numbered.
     """
     keys = list(keys)
-    sums = rows.groupBy(*keys).agg(
-        F.sum(weight).cast("long").alias("_w"), F.max(total).alias("_t"), F.count(F.lit(1)).alias("_n")
-    )
-    joined = salted_join(rows, sums, keys, "_n", [order])
+    sums = rows.groupBy(*keys).agg(F.sum(weight).cast("long").alias("_w"), F.max(total).alias("_t"))
+    hot = hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n")
+    joined = salted_join(rows, sums, keys, hot, [order])
     product = F.col("_t").cast("decimal(19,0)") * F.col(weight).cast("decimal(19,0)")
     divisor = F.col("_w").cast("decimal(38,0)")
     parts = joined.withColumn("_base", F.call_function("div", product, divisor)).withColumn(
         "_short", F.col("_w") - (product % divisor).cast("long")
     )
-    left = parts.groupBy(*keys).agg((F.max("_t") - F.sum("_base")).alias("_left"), F.max("_n").alias("_n"))
+    left = parts.groupBy(*keys).agg((F.max("_t") - F.sum("_base")).alias("_left"))
     per_short = parts.groupBy(*keys, "_short").agg(F.count(F.lit(1)).alias("_c"))
     filled = null_safe_join(running_total(per_short, "_short", F.col("_c"), "_cum", keys), left, keys)
     cut = filled.filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left"))).select(
-        *keys, "_n", F.col("_short").alias("_cut"), (F.col("_left") - F.col("_cum") + F.col("_c")).alias("_take")
+        *keys, F.col("_short").alias("_cut"), (F.col("_left") - F.col("_cum") + F.col("_c")).alias("_take")
     )
-    marked = salted_join(parts.drop("_n", "_t", "_w"), cut, keys, "_n", [order], "left").drop("_n")
+    marked = salted_join(parts.drop("_t", "_w"), cut, keys, hot, [order], "left")
     tied = marked.filter(F.col("_short") == F.col("_cut")).select(*keys, order)
     ranked = null_safe_join(marked, with_ordinal(tied, order, keys, "_tie"), [*keys, order], "left")
     extra = (F.col("_short") < F.col("_cut")) | (F.col("_tie") <= F.col("_take"))

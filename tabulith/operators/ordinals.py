@@ -22,22 +22,29 @@ def block_of(row: Column, bits: int = BLOCK_BITS) -> Column:
 
 
 def _block_offsets(tagged: DataFrame, keys: list[str]) -> DataFrame:
-    """Per (keys, _block): its own total and the total of every earlier block."""
+    """Per ``_node`` (keys and block): its own total and that of every earlier block."""
     blocks = (
-        tagged.groupBy(*keys, "_block")
+        tagged.groupBy("_node")
         .agg(F.sum("_v").alias("_inside"))
-        .withColumn("_super", block_of(F.col("_block")))
+        .withColumn("_block", F.col("_node._block"))
+        .withColumn("_parent", F.struct(*[F.col(f"_node.{k}").alias(k) for k in keys], block_of(F.col("_block")).alias("_super")))
     )
-    before = W.partitionBy(*keys, "_super").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("_parent").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_inside").over(before), F.lit(0)))
-    supers = blocks.groupBy(*keys, "_super").agg(F.sum("_inside").alias("_sv"))
-    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_super").rowsBetween(W.unboundedPreceding, -1)
-    supers = supers.withColumn("_earlier", F.coalesce(F.sum("_sv").over(earlier), F.lit(0)))
-    return null_safe_join(blocks, supers, [*keys, "_super"]).select(
-        *keys, "_block", "_inside", (F.col("_before") + F.col("_earlier")).alias("_offset")
+    supers = blocks.groupBy("_parent").agg(F.sum("_inside").alias("_sv"))
+    family = [F.col(f"_parent.{k}") for k in keys] or [F.lit(0)]
+    earlier = W.partitionBy(*family).orderBy("_parent._super").rowsBetween(W.unboundedPreceding, -1)
+    supers = supers.withColumn("_earlier", F.coalesce(F.sum("_sv").over(earlier), F.lit(0))).drop("_sv")
+    return blocks.join(supers, "_parent").select(
+        "_node", "_inside", (F.col("_before") + F.col("_earlier")).alias("_offset")
     )
 
 
+def _tagged(df: DataFrame, order: str, value: Column, keys: Sequence[str]) -> DataFrame:
+    node = F.struct(*[F.col(k).alias(k) for k in keys], block_of(F.col(order)).alias("_block"))
+    return df.withColumn("_v", value).withColumn("_node", node)
+
+
 def running_total(
     df: DataFrame,
     order: str,
@@ -47,15 +54,16 @@ def running_total(
 ) -> DataFrame:
     """Add ``out``: the total of ``value`` over this row and every earlier one.
 
-    ``order`` must be a whole-number column, unique within ``keys``.
+    ``order`` must be a whole-number column, unique within ``keys``. The window,
+    the block totals and the join back share one partitioning, so the rows are
+    shuffled once.
     """
     keys = list(keys)
-    node = [*keys, "_block"]
-    tagged = df.withColumn("_v", value).withColumn("_block", block_of(F.col(order)))
-    inside = W.partitionBy(*node).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    tagged = _tagged(df, order, value, keys)
+    inside = W.partitionBy("_node").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = tagged.withColumn("_local", F.sum("_v").over(inside))
-    joined = null_safe_join(local, _block_offsets(tagged, keys).drop("_inside"), node)
-    return joined.withColumn(out, F.col("_local") + F.col("_offset")).drop("_v", "_block", "_local", "_offset")
+    joined = local.join(_block_offsets(tagged, keys).drop("_inside"), "_node")
+    return joined.withColumn(out, F.col("_local") + F.col("_offset")).select(*df.columns, out)
 
 
 def with_ordinal(df: DataFrame, order: str, keys: Sequence[str] = (), out: str = "ordinal") -> DataFrame:
@@ -64,13 +72,14 @@ def with_ordinal(df: DataFrame, order: str, keys: Sequence[str] = (), out: str =
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on same-named columns where null matches null; keeps the left copy."""
-    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = None
-    for c in on:
-        term = left[c].eqNullSafe(r[f"_r_{c}"])
-        cond = term if cond is None else cond & term
-    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
+    """Equi-join on same-named columns where null matches null; keeps the left copy.
+
+    The keys are compared as one struct: its fields may be null, the struct never
+    is, so this stays an ordinary hash-partitioned join.
+    """
+    l = left.withColumn("_on", F.struct(*[F.col(c).alias(c) for c in on]))
+    r = right.withColumn("_on", F.struct(*[F.col(c).alias(c) for c in on])).drop(*on)
+    return l.join(r, "_on", how).drop("_on")
 
 
 def page(df: DataFrame, order: str, offset: int, size: int) -> DataFrame:
@@ -80,12 +89,12 @@ def page(df: DataFrame, order: str, offset: int, size: int) -> DataFrame:
     the page, so at most ``size`` blocks survive; that short list is broadcast and
     the other rows are dropped where they are read, before any sort.
     """
-    tagged = df.withColumn("_v", F.lit(1).cast("long")).withColumn("_block", block_of(F.col(order)))
+    tagged = _tagged(df, order, F.lit(1).cast("long"), [])
     touched = _block_offsets(tagged, []).filter(
         (F.col("_offset") < offset + size) & (F.col("_offset") + F.col("_inside") > offset)
     )
-    kept = tagged.join(F.broadcast(touched), "_block")
-    position = F.col("_offset") + F.row_number().over(W.partitionBy("_block").orderBy(order))
+    kept = tagged.join(F.broadcast(touched), "_node")
+    position = F.col("_offset") + F.row_number().over(W.partitionBy("_node").orderBy(order))
     ranked = kept.withColumn("_position", position)
     return ranked.filter(F.col("_position").between(offset + 1, offset + size)).select(*df.columns)
 

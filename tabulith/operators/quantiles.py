@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.operators.ordinals import null_safe_join
-from tabulith.operators.skew import salted_join
+from tabulith.operators.skew import hot_keys, salted_join
 
 ACCURACY = 200_000
 MARGIN = 2.0 / ACCURACY
@@ -42,11 +42,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Seq
         F.max("v").alias("_max"),
         F.count(F.lit(1)).alias("n"),
     )
+    hot = hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n")
     # Equal values collapse before any join, so a hot value is one row from here on.
     values = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
 
     counted = (
-        salted_join(values, sketch, keys, "n", ["v"])
+        salted_join(values, sketch, keys, hot, ["v"])
         .groupBy(*keys)
         .agg(
             F.first("n").alias("n"),
@@ -77,7 +78,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Seq
 
     targets = counted.select(*keys, "n", F.array(*[target(i) for i in positions]).alias("_t"))
     inside = F.filter("_t", lambda t: F.col("v").between(t["lo"], t["hi"]))
-    candidates = salted_join(values, targets, keys, "n", ["v"]).select(
+    candidates = salted_join(values, targets, keys, hot, ["v"]).select(
         *keys, "n", "v", "c", F.explode(inside).alias("t")
     )
     upto = W.partitionBy(*keys, "t.p").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
@@ -116,9 +117,10 @@ def outliers(
     iqr = F.col("q3") - F.col("q1")
     fences = stats.select(
         *keys,
-        "count",
         (F.col("q1") - iqr * multiplier).alias("lower"),
         (F.col("q3") + iqr * multiplier).alias("upper"),
     )
-    flagged = salted_join(df.select(*keys, row, value), fences, keys, "count", [row])
-    return flagged.filter((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper"))).drop("count")
+    rows = df.select(*keys, row, value)
+    hot = hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "n")
+    flagged = salted_join(rows, fences, keys, hot, [row])
+    return flagged.filter((F.col(value) < F.col("lower")) | (F.col(value) > F.col("upper")))

@@ -77,28 +77,42 @@ def oversized(spans: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame
     return checked.withColumn("reason", reason).filter("reason is not null").select(*keys, "reason")
 
 
-def _blocks(spans: DataFrame) -> DataFrame:
-    """Cut each span at block edges, one row per touched block."""
-    cut = spans.withColumn(
-        "_block", F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("end"))))
-    )
-    low = F.shiftleft(F.col("_block"), BLOCK_BITS)
-    return cut.withColumn("_lo", F.greatest(F.col("start"), low)).withColumn(
-        "_hi", F.least(F.col("end"), low + ((1 << BLOCK_BITS) - 1))
+# Rows and spans meet in cells of 64 row numbers: a span is cut into at most one
+# piece per cell, and a row is compared with the few pieces of its own cell.
+JOIN_BITS = 6
+
+
+def _pieces(spans: DataFrame, bits: int) -> DataFrame:
+    """Cut each span at the edges of 2^bits cells: (_cell, _lo, _hi) per piece.
+
+    Cells are listed block by block, so no array grows with a span's length.
+    """
+    coarse = max(bits, BLOCK_BITS)
+    cut = spans.withColumn("_block", F.explode(F.sequence(block_of(F.col("start"), coarse), block_of(F.col("end"), coarse))))
+    low = F.shiftleft(F.col("_block"), coarse)
+    cut = cut.withColumn("_lo", F.greatest(F.col("start"), low)).withColumn(
+        "_hi", F.least(F.col("end"), low + ((1 << coarse) - 1))
     )
+    if bits == coarse:
+        return cut.withColumnRenamed("_block", "_cell")
+    fine = cut.withColumn("_cell", F.explode(F.sequence(block_of(F.col("_lo"), bits), block_of(F.col("_hi"), bits))))
+    first = F.shiftleft(F.col("_cell"), bits)
+    return fine.withColumn("_lo", F.greatest("_lo", first)).withColumn(
+        "_hi", F.least(F.col("_hi"), first + ((1 << bits) - 1))
+    ).drop("_block")
 
 
 def expand_spans(spans: DataFrame, out: str = "source_row") -> DataFrame:
     """One row per covered source row; arrays never exceed one block."""
-    return _blocks(spans).withColumn(out, F.explode(F.sequence("_lo", "_hi"))).drop("_block", "_lo", "_hi")
+    return _pieces(spans, BLOCK_BITS).withColumn(out, F.explode(F.sequence("_lo", "_hi"))).drop("_cell", "_lo", "_hi")
 
 
 def join_spans(rows: DataFrame, spans: DataFrame, row: str = "source_row") -> DataFrame:
-    """Range join ``row`` in [start, end] as an equi-join on the row's block."""
-    s = _blocks(spans)
-    r = rows.withColumn("_block", block_of(F.col(row)))
-    inside = (r["_block"] == s["_block"]) & r[row].between(s["_lo"], s["_hi"])
-    return r.join(s, inside).drop("_block", "_lo", "_hi")
+    """Range join ``row`` in [start, end] as an equi-join on the row's cell."""
+    s = _pieces(spans, JOIN_BITS)
+    r = rows.withColumn("_cell", block_of(F.col(row), JOIN_BITS))
+    inside = (r["_cell"] == s["_cell"]) & r[row].between(s["_lo"], s["_hi"])
+    return r.join(s, inside).drop("_cell", "_lo", "_hi")
 
 
 def check_spans(spans: DataFrame, declared: DataFrame, key: str) -> DataFrame:

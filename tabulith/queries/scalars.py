@@ -87,8 +87,9 @@ def wide_exact_sums(spark, folder):
     k = F.col("o_orderkey")
     whole = (k.cast("decimal(38,0)") * F.lit("1000000000000000000000").cast("decimal(22,0)") + 123_456_789).cast("decimal(38,0)").cast("string")
     text = F.concat(whole, F.lit("."), F.lpad((k % 1000 + 1).cast("string"), 30, "0"))
-    t = o.select("o_orderstatus", text.alias("t")).withColumn("d", DC.limb_digits(F.col("t")))
-    sums = t.groupBy("o_orderstatus").agg(*DC.limb_aggregates(F.col("t"), F.col("d"), "x"))
+    t = o.select("o_orderstatus", text.alias("t"))
+    parts = DC.with_exact_parts(t, F.col("t"), DC.is_decimal(F.col("t")), "p")
+    sums = parts.groupBy("o_orderstatus").agg(*DC.limb_aggregates("p", "x"))
     total = sums.select("o_orderstatus", DC.combine_limbs("x").alias("total"))
     return total.select("o_orderstatus", DC.format_scale(F.col("total"), F.lit(30)).alias("total_padded"))
 

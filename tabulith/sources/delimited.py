@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,29 +32,56 @@ def _records(text: str, delimiter: str) -> Iterator[tuple[int, int, list[str]]]:
             yield start, before, fields
 
 
+def spread_files(files: DataFrame) -> DataFrame:
+    """Hash files over the cores when the scan has fewer tasks than that.
+
+    A large landing zone already has enough tasks and is left where it lies.
+    """
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores, "file_id") if files.rdd.getNumPartitions() < cores else files
+
+
+RECORD_BATCH = 20_000
+RECORD_SCHEMA = "file_id string, ordinal long, start_line long, end_line long, fields array<string>"
+_RECORD_ARROW = pa.schema(
+    [("file_id", pa.string()), ("ordinal", pa.int64()), ("start_line", pa.int64()), ("end_line", pa.int64()),
+     ("fields", pa.list_(pa.string()))]
+)
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Gather tuples into Arrow batches of bounded size."""
+    while chunk := list(itertools.islice(rows, RECORD_BATCH)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(column, type=field.type) for column, field in zip(zip(*chunk), schema)], schema=schema
+        )
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["text"] is not None:
+                yield row
+
+
 def read_records(files: DataFrame, delimiter: str | None = None) -> DataFrame:
     """(file_id, ordinal, start_line, end_line, fields) for files of (file_id, text).
 
     A record spans as many physical lines as its quoted newlines need; blank lines
     are skipped but counted. A ``delimiter`` column, when present, wins over the
-    argument. Files are independent, so they are read where they lie, with no
-    shuffle; a file too large for one task goes through ``read_large``.
+    argument. Files are independent, so reading needs no grouping; a file too
+    large for one task goes through ``read_large``.
     """
-    by_column = "delimiter" in files.columns
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                if row.text is None:
-                    continue
-                used = (row.delimiter if by_column else delimiter) or ","
-                rows = [(row.file_id, i, s, e, f) for i, (s, e, f) in enumerate(_records(row.text, used), 1)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=["file_id", "ordinal", "start_line", "end_line", "fields"])
-
-    return files.mapInPandas(
-        parse, "file_id string, ordinal long, start_line long, end_line long, fields array<string>"
-    )
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (f["file_id"], i, start, end, fields)
+            for f in _files(batches)
+            for i, (start, end, fields) in enumerate(_records(f["text"], f.get("delimiter") or delimiter or ","), 1)
+        )
+        return _batches(rows, _RECORD_ARROW)
+
+    return spread_files(files).mapInArrow(parse, RECORD_SCHEMA)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -100,12 +128,14 @@ def read_large(lines: DataFrame, delimiter: str) -> DataFrame:
     text = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
     whole = grouped.select("file_id", "start_line", "end_line", text.alias("text")).filter(F.trim("text") != "")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fields = [next((f for _, _, f in _records(t, delimiter)), []) for t in batch["text"]]
-            yield batch.drop(columns="text").assign(fields=fields)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            (f["file_id"], f["start_line"], f["end_line"], next((x for _, _, x in _records(f["text"], delimiter)), []))
+            for f in _files(batches)
+        )
+        return _batches(rows, pa.schema([f for f in _RECORD_ARROW if f.name != "ordinal"]))
 
-    parsed = whole.mapInPandas(parse, "file_id string, start_line long, end_line long, fields array<string>")
+    parsed = whole.mapInArrow(parse, "file_id string, start_line long, end_line long, fields array<string>")
     parsed = parsed.filter(F.size("fields") > 0)
     return running_total(parsed, "start_line", F.lit(1).cast("long"), "ordinal", ["file_id"]).select(
         "file_id", "ordinal", "start_line", "end_line", "fields"
@@ -119,19 +149,23 @@ def delimiter_votes(files: DataFrame) -> DataFrame:
     """(file_id, delimiter, position, records, min_width, max_width) per candidate."""
     limit = POLICY.delimiter_sample_chars
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if row.text is None:
-                    continue
-                for position, d in enumerate(DELIMITERS):
-                    widths = [len(f) for _, _, f in _records(row.text[:limit], d)]
-                    if widths:
-                        out.append((row.file_id, d, position, len(widths), min(widths), max(widths)))
-            yield pd.DataFrame(out, columns=["file_id", "delimiter", "position", "records", "min_width", "max_width"])
-
-    return files.mapInPandas(
+    schema = pa.schema(
+        [("file_id", pa.string()), ("delimiter", pa.string()), ("position", pa.int32()), ("records", pa.int64()),
+         ("min_width", pa.int64()), ("max_width", pa.int64())]
+    )
+
+    def votes(files_: Iterator[dict]) -> Iterator[tuple]:
+        for f in files_:
+            head = f["text"][:limit]
+            for position, d in enumerate(DELIMITERS):
+                widths = [len(x) for _, _, x in _records(head, d)]
+                if widths:
+                    yield f["file_id"], d, position, len(widths), min(widths), max(widths)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(votes(_files(batches)), schema)
+
+    return spread_files(files).mapInArrow(
         vote, "file_id string, delimiter string, position int, records long, min_width long, max_width long"
     )
 

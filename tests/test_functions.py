@@ -49,8 +49,9 @@ def test_exact_arithmetic_and_order(spark, pairs):
 @given(st.lists(decimals, min_size=1, max_size=80))
 def test_limb_sum_is_exact_in_any_order(spark, values):
     def total(vs):
-        df = spark.createDataFrame([(v,) for v in vs], "v string").repartition(3).withColumn("d", D.limb_digits(F.col("v")))
-        return df.agg(*D.limb_aggregates(F.col("v"), F.col("d"), "x")).select(D.combine_limbs("x").alias("t")).first()["t"]
+        df = spark.createDataFrame([(v,) for v in vs], "v string").repartition(3)
+        parts = D.with_exact_parts(df, F.col("v"), D.is_decimal(F.col("v")), "p")
+        return parts.agg(*D.limb_aggregates("p", "x")).select(D.combine_limbs("x").alias("t")).first()["t"]
 
     assert Fraction(total(values)) == sum(map(Fraction, values))
     assert total(values) == total(list(reversed(values)))

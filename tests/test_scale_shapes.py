@@ -75,7 +75,7 @@ def test_quantiles_match_type7_with_ties_and_a_hot_value(spark):
 def test_salted_join_keeps_every_row_of_a_hot_key(spark):
     rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    joined = skew.salted_join(rows, groups, ["k"], "n", ["id"])
+    joined = skew.salted_join(rows, groups, ["k"], skew.hot_keys(groups, ["k"], "n"), ["id"])
     assert joined.count() == 30_000
     assert joined.filter("k = 'hot'").agg(F.count(F.lit(1)), F.max("first")).first()[:] == (10_000, 0)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
@@ -85,7 +85,7 @@ def test_salted_join_keeps_every_row_of_a_hot_key(spark):
 def test_salted_join_matches_null_keys(spark):
     rows = spark.createDataFrame([(1, None), (2, "a")], "id long, k string")
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    assert skew.salted_join(rows, groups, ["k"], "n", ["id"]).count() == 2
+    assert skew.salted_join(rows, groups, ["k"], skew.hot_keys(groups, ["k"], "n"), ["id"]).count() == 2
 
 
 def test_duplicates_of_a_hot_row(spark):
