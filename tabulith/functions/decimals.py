@@ -123,10 +123,6 @@ def results_agree(a: Column, b: Column) -> Column:
 # --- exact sums -----------------------------------------------------------
 
 
-def limb_columns(prefix: str) -> list[Column]:
-    return [F.col(f"{prefix}{i}") for i in range(2 * LIMBS_PER_SIDE)]
-
-
 def with_exact_parts(df: DataFrame, text: Column, ok: Column, prefix: str) -> DataFrame:
     """Stage the whole-number parts of a decimal text for an exact sum.
 
@@ -163,16 +159,16 @@ def limb_aggregates(prefix: str, out: str) -> list[Column]:
     near = {LIMBS_PER_SIDE - 1: f"{prefix}_i", LIMBS_PER_SIDE: f"{prefix}_f"}
     sums = []
     for p in range(2 * LIMBS_PER_SIDE):
-        limb = F.substring(f"{prefix}_w", p * LIMB + 1, LIMB).cast("long") * F.col(f"{prefix}_s")
+        limb = f"cast(substring({prefix}_w, {p * LIMB + 1}, {LIMB}) as bigint) * {prefix}_s"
         if p in near:
-            limb = F.coalesce(F.col(near[p]), limb)
-        sums.append(F.sum(limb.cast("decimal(28,0)")).alias(f"{out}{p}"))
+            limb = f"coalesce({near[p]}, {limb})"
+        sums.append(F.expr(f"sum(cast({limb} as decimal(28,0))) as {out}{p}"))
     return sums
 
 
 def combine_limbs(prefix: str) -> Column:
     """Exact canonical total from the columns ``limb_aggregates`` made."""
-    return _join_limbs(F.array(*[c.cast("string") for c in limb_columns(prefix)]))
+    return _join_limbs(F.expr("array(" + ", ".join(f"cast({prefix}{i} as string)" for i in range(2 * LIMBS_PER_SIDE)) + ")"))
 
 
 def _context(precision: int) -> pydec.Context:

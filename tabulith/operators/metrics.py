@@ -10,12 +10,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.decimals import (
+    LIMBS_PER_SIDE,
     combine_limbs,
     format_scale,
     fraction_scale,
     is_decimal,
     limb_aggregates,
-    limb_columns,
     ratio6,
     with_exact_parts,
 )
@@ -74,32 +74,22 @@ def scoped_sums(
         aggs.append(F.max(F.when(F.col(f"_ok_{f}"), fraction_scale(F.col(f)))).alias(f"s{k}"))
     per_tag = tagged.groupBy("_t", "_e").agg(*aggs)
 
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(s.id).alias("metric_id"),
-                (F.col("_e").bitwiseAND(F.lit(1 << i).cast("long")) != 0).alias("e"),
-                (F.col("_t").bitwiseAND(F.lit(1 << i).cast("long")) != 0).alias("t"),
-                F.array(*limb_columns(f"f{fields.index(s.field)}_")).alias("limbs"),
-                F.col(f"s{fields.index(s.field)}").alias("s"),
-            )
-            for i, s in enumerate(specs)
-        ]
+    limbs = range(2 * LIMBS_PER_SIDE)
+    entries = ", ".join(
+        f"struct({i} as i, _e & {1 << i}L <> 0 as e, _t & {1 << i}L <> 0 as t, s{k} as s, "
+        f"array({', '.join(f'f{k}_{p}' for p in limbs)}) as limbs)"
+        for i, k in ((i, fields.index(s.field)) for i, s in enumerate(specs))
     )
-    flat = per_tag.select("_n", F.explode(entries).alias("x")).select("_n", "x.*")
-    counted = flat.groupBy("metric_id").agg(
-        *[
-            F.sum(F.when(F.col("e"), F.col("limbs")[p]).cast("decimal(28,0)")).alias(f"v{p}")
-            for p in range(len(limb_columns("")))
-        ],
-        F.coalesce(F.sum(F.when(F.col("e"), F.col("_n"))), F.lit(0)).alias("eligible_rows"),
-        F.coalesce(F.sum(F.when(F.col("t"), F.col("_n"))), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.max(F.when(F.col("e"), F.col("s"))), F.lit(0)).alias("scale"),
+    flat = per_tag.select("_n", F.expr(f"explode(array({entries})) as x")).select("_n", "x.*")
+    counted = flat.groupBy("i").agg(
+        *[F.expr(f"sum(cast(if(e, limbs[{p}], null) as decimal(28,0))) as v{p}") for p in limbs],
+        F.expr("sum(if(e, _n, 0)) as eligible_rows"),
+        F.expr("sum(if(t, _n, 0)) as total_rows"),
+        F.expr("max(if(e, s, 0)) as scale"),
     )
     # A spec no row fell in still has a figure: zero over zero rows.
-    declared = rows.sparkSession.createDataFrame([(s.id,) for s in specs], "metric_id string")
-    full = declared.join(counted, "metric_id", "left").withColumn("_x", F.coalesce(combine_limbs("v"), F.lit("0")))
+    declared = rows.sparkSession.createDataFrame(list(enumerate(s.id for s in specs)), "i int, metric_id string")
+    full = declared.join(counted, "i", "left").withColumn("_x", F.coalesce(combine_limbs("v"), F.lit("0")))
     scale = F.coalesce("scale", F.lit(0))
     return full.select(
         "metric_id",

@@ -198,7 +198,7 @@ def selection_build(spark, folder):
     orders = scan(spark, folder, "orders").withColumn("source_row", F.col("o_orderkey") + 2)
     wanted = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O")
     head, spans = E.build_selection(orders, wanted, "urgent-open", "amount")
-    return spans.join(head.select("selection_id", "row_count", "field"), "selection_id")
+    return spans.withColumn("row_count", head.select("row_count").scalar()).withColumn("field", F.lit("amount"))
 
 
 @query(

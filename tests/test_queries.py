@@ -28,7 +28,8 @@ def results(spark, data):
     def run(name):
         try:
             df = QUERIES[name](spark, data)
-            return name, (df.columns, [tuple(r) for r in df.collect()])
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            return name, (df.columns, [tuple(r) for r in df.collect()], plan)
         except Exception as error:  # reported by the test of that query
             return name, error
 
@@ -51,7 +52,10 @@ def test_query(name, results, duck):
     got = results[name]
     if isinstance(got, Exception):
         raise got
-    columns, rows = got
+    columns, rows, plan = got
+    # No query may pair rows without a key, nor fall back to per-row Python.
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert operator not in plan
     assert len(set(columns)) == len(columns)
     if name not in ORACLES:
         assert rows
