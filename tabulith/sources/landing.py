@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.functions.text import trim_blanks
+from tabulith.functions.text import BLANKS
 from tabulith.policy import Limits
 
 # Leading bytes of container formats, as hex.
@@ -53,7 +53,8 @@ def decode(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     content = F.col("content")
     raw = content.cast("string")
     valid = F.is_valid_utf8(raw)
-    text = F.regexp_replace(F.make_valid_utf8(raw), "^" + BYTE_ORDER_MARK, "")
+    marked = raw.startswith(BYTE_ORDER_MARK)
+    text = F.when(marked, F.substring(raw, 2, 2_147_483_647)).otherwise(raw)
     format_ = detect_format(content)
     too_big = F.lit(False) if limits.input_bytes is None else F.length(content) > limits.input_bytes
     problem = (
@@ -61,9 +62,11 @@ def decode(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
         .when(format_ == "ole2", "unsupported.ole2-container")
         .when(format_ == "zip", "cells-required")
         .when(~valid, "csv.invalid-utf8")
-        .when(trim_blanks(text) == "", "csv.empty")
+        # The first character that is not blank settles it; the text is not copied.
+        .when(~raw.rlike(f"[^{BLANKS}]"), "csv.empty")
     )
-    return files.select("file_id", F.when(problem.isNull(), text).alias("text"), problem.alias("problem"))
+    judged = files.withColumn("problem", problem)
+    return judged.select("file_id", F.when(F.col("problem").isNull(), text).alias("text"), "problem")
 
 
 def limit_problems(records: DataFrame, limits: Limits) -> DataFrame:
