@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.operators.ordinals import page, with_ordinal
+from tabulith.operators.ordinals import page, page_blocks, with_ordinal
 from tabulith.operators.spans import expand_spans, join_spans, to_spans
 from tabulith.policy import POLICY
+from tabulith.session import cut_lineage
 
 
 class PageError(ValueError):
@@ -42,15 +43,17 @@ def absent_sample(rows: DataFrame, spans: DataFrame, key: str, k: int = 5) -> Da
 def evidence_page(rows: DataFrame, spans: DataFrame, offset: int, size: int) -> DataFrame:
     """One page of the rows behind a selection, with total and next offset.
 
-    Beyond the end the page is empty. Only block counts are ranked.
+    Beyond the end the page is empty. One pass counts the covered rows per block,
+    which gives the total and the page's blocks; a second one fetches the rows.
     """
     if offset < 0:
         raise PageError(f"offset must not be negative: {offset}")
     if not 1 <= size <= POLICY.max_page:
         raise PageError(f"page size must be 1..{POLICY.max_page}: {size}")
     covered = join_spans(rows, spans.select("start", "end")).select(*rows.columns)
-    total = covered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    slice_ = page(covered, "source_row", offset, size)
+    blocks = cut_lineage(page_blocks(covered, "source_row"))
+    total = blocks.agg(F.coalesce(F.sum("_inside"), F.lit(0)).alias("n")).scalar()
+    slice_ = page(covered, "source_row", offset, size, blocks)
     following = F.lit(offset + size)
     return slice_.withColumn("total", total).withColumn(
         "next_offset", F.when(following < F.col("total"), following)

@@ -143,14 +143,19 @@ def missing_cells(sheet: Sheet) -> DataFrame:
 
 
 def cell_issues(sheet: Sheet) -> DataFrame:
-    """Formula, slash-date, precision and malformed issues in one narrow pass."""
+    """Formula, slash-date, precision and malformed issues in one narrow pass.
+
+    Trimmed text and the numeric test are projections of their own, so each is
+    computed once per cell.
+    """
+    staged = sheet.rows.withColumns({f"{c.id}__t": trim_blanks(F.col(f"`{c.id}`")) for c in sheet.columns})
+    staged = staged.withColumns({f"{c.id}__d": F.col(f"`{c.id}__t`").rlike(DECIMAL_PATTERN) for c in sheet.columns})
     per_column = []
     for c in sheet.columns:
         text = F.col(f"`{c.id}`")
-        t = trim_blanks(text)
+        t, numeric = F.col(f"`{c.id}__t`"), F.col(f"`{c.id}__d`")
         kind = sheet.kind_of(c.id)
         formula = kind == "formula"
-        numeric = t.rlike(DECIMAL_PATTERN)
         limit = F.when(kind == "number", POLICY.spreadsheet_significant_digits).otherwise(POLICY.max_significant_digits)
         at = F.lit(c.source_column)
 
@@ -176,7 +181,8 @@ def cell_issues(sheet: Sheet) -> DataFrame:
                   "upload.ambiguousDate")
         )
         per_column.append(
-            found(filled & numeric & (significant_digits(t) > limit), "precision", "precision", text, text,
+            # A text no longer than the limit cannot hold more digits than it.
+            found(filled & numeric & (F.length(t) > limit) & (significant_digits(t) > limit), "precision", "precision", text, text,
                   "confirm-type", "quality.proposed")
         )
         if c.type in NUMERIC_TYPES:
@@ -185,7 +191,7 @@ def cell_issues(sheet: Sheet) -> DataFrame:
                       "quality.proposed")
             )
     hits = F.filter(F.array(*per_column), lambda x: x.isNotNull())
-    rows = sheet.rows.select("source_row", F.explode(hits).alias("x")).select("source_row", "x.*")
+    rows = staged.select("source_row", F.explode(hits).alias("x")).select("source_row", "x.*")
     id_ = F.concat(F.lit("quality-"), F.col("prefix"), F.lit("-"), F.col("source_row").cast("string"), F.lit("-c"),
                    F.col("at").cast("string"))
     return rows.select(

@@ -82,7 +82,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return l.join(r, "_on", how).drop("_on")
 
 
-def page(df: DataFrame, order: str, offset: int, size: int) -> DataFrame:
+def page_blocks(df: DataFrame, order: str) -> DataFrame:
+    """Row counts per block with running offsets: what ``page`` needs to find its blocks."""
+    return _block_offsets(_tagged(df.select(order), order, F.lit(1).cast("long"), []), [])
+
+
+def page(df: DataFrame, order: str, offset: int, size: int, blocks: DataFrame | None = None) -> DataFrame:
     """Rows ``offset`` .. ``offset + size - 1`` in ``order`` (unique whole numbers).
 
     Only per-block counts are ranked. Every block kept holds at least one row of
@@ -90,7 +95,7 @@ def page(df: DataFrame, order: str, offset: int, size: int) -> DataFrame:
     the other rows are dropped where they are read, before any sort.
     """
     tagged = _tagged(df, order, F.lit(1).cast("long"), [])
-    touched = _block_offsets(tagged, []).filter(
+    touched = (page_blocks(df, order) if blocks is None else blocks).filter(
         (F.col("_offset") < offset + size) & (F.col("_offset") + F.col("_inside") > offset)
     )
     kept = tagged.join(F.broadcast(touched), "_node")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.dates import to_real_date
 from tabulith.functions.decimals import is_decimal
+from tabulith.session import cut_lineage
 from tabulith.table import ColumnInfo
 
 
@@ -73,13 +74,16 @@ def period_completeness(rows: DataFrame, calendar: DataFrame, date: str = "date"
     return joined.select("period", "scheduled", gaps.alias("missing"), (gaps == 0).alias("complete"))
 
 
-def month_region_grid(cells: DataFrame, months: DataFrame, measures: Sequence[str]) -> DataFrame:
+def month_region_grid(cells: DataFrame, months: DataFrame | None, measures: Sequence[str]) -> DataFrame:
     """Every (month, region) pair, empty ones as zero-row totals.
 
     ``cells`` is (month, region, measures...) already aggregated and ``months``
-    a bounded list of month keys; the grid is regions times that list by
-    exploding the list, then one equi-join.
+    a bounded list of month keys (the months of the cells when None); the grid is regions times that list by
+    exploding the list, then one equi-join. Three branches read the cells, so the
+    small aggregate is written first and the fact is scanned once.
     """
+    cells = cut_lineage(cells)
+    months = cells if months is None else months
     listed = months.agg(F.collect_set("month").alias("m")).scalar()
     grid = cells.select("region").distinct().withColumn("month", F.explode(listed))
     full = grid.join(cells, ["month", "region"], "left")

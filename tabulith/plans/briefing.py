@@ -16,6 +16,7 @@ from tabulith.functions.decimals import dec_div, ratio6
 from tabulith.operators import metrics as M
 from tabulith.operators.scope import Scope
 from tabulith.policy import POLICY
+from tabulith.session import cut_lineage
 from tabulith.sources.tables import money_text
 
 WHOLE = "all"
@@ -34,11 +35,15 @@ class Briefing:
 
 
 def figures(fact: DataFrame, current: Scope, previous: Scope, entity: str = "region") -> DataFrame:
-    """Two-period totals per entity plus one ``all`` row, from a single scan."""
+    """Two-period totals per entity plus one ``all`` row, from a single scan.
+
+    Metrics, findings and charts all read this frame, so the few rows are written
+    before they branch.
+    """
     per_entity = M.two_periods(fact, entity, current, previous, (*MONEY, *COUNTS), "rows")
     names = [c for c in per_entity.columns if c != entity]
     rolled = per_entity.rollup(entity).agg(*[F.sum(c).alias(c) for c in names])
-    return rolled.withColumn(entity, F.coalesce(entity, F.lit(WHOLE))).withColumnRenamed(entity, "entity")
+    return cut_lineage(rolled.withColumn(entity, F.coalesce(entity, F.lit(WHOLE))).withColumnRenamed(entity, "entity"))
 
 
 def _slug(entity: Column) -> Column:

@@ -22,6 +22,7 @@ from tabulith.queries.registry import (
     query,
     ratio_sql,
 )
+from tabulith.session import cut_lineage
 from tabulith.sources.tables import MEASURES, fact_by_order, fact_lines, money_text, placed_orders, scan
 
 NOW, BEFORE = Scope(*CURRENT), Scope(*PREVIOUS)
@@ -54,7 +55,7 @@ FROM grid g LEFT JOIN cells c ON c.month = g.month AND c.region = g.region""",
 )
 def month_region_totals(spark, folder):
     cells = monthly(spark, folder)
-    full = month_region_grid(cells, cells.select("month"), [*MEASURES, "rows"])
+    full = month_region_grid(cells, None, [*MEASURES, "rows"])
     cash = [money_text(F.col(m)).alias(m) for m in ("revenue", "target", "cost")]
     return full.select("month", "region", *cash, "orders", "downtime", "rows")
 
@@ -260,7 +261,7 @@ def contribution_margin(spark, folder):
  ABS(downtime_cur - downtime_prev) * 20 >= SUM(downtime_prev) OVER () AS material FROM g""",
 )
 def materiality(spark, folder):
-    figs = region_figures(spark, folder).select("region", "downtime_cur", "downtime_prev")
+    figs = cut_lineage(region_figures(spark, folder).select("region", "downtime_cur", "downtime_prev"))
     prior = figs.agg(F.sum("downtime_prev").alias("p")).scalar()
     change = F.col("downtime_cur") - F.col("downtime_prev")
     threshold = F.lit(POLICY.materiality_share) * F.col("prior_scope")
@@ -309,7 +310,7 @@ SELECT strftime(end_month, '%Y-%m') AS month, region, CASE WHEN lo > 0 THEN 'up'
 FROM s WHERE least > 0 AND lo = hi AND lo <> 0""",
 )
 def trend_four_months(spark, folder):
-    m = _month_starts_frame(spark, folder)
+    m = cut_lineage(_month_starts_frame(spark, folder))
     # Each month feeds the four windows that end at it or up to three months later.
     ends = m.select("month_start").distinct().withColumnRenamed("month_start", "end_month")
     spread = m.withColumn("end_month", F.explode(trailing_months(F.add_months("month_start", 3), 4)))
