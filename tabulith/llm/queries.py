@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabulith.llm.bands import compression_bands
+from tabulith.llm.minhash import near_duplicates
 from tabulith.llm.packing import pack
 from tabulith.llm.positions import decontaminate
 from tabulith.llm.registry import ORACLES, QUERIES, query
@@ -14,6 +15,28 @@ from tabulith.llm.words import documents
 __all__ = ["ORACLES", "QUERIES"]
 
 
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS start, doc_id AS node FROM documents UNION SELECT start, b FROM reach JOIN both_ways ON node = a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id, d.doc_id = least_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT start, min(node) AS least_id FROM reach GROUP BY start) ON start = d.doc_id"""
+
+
+@query("op1_near_duplicates", OP1_SQL)
+def op1_near_duplicates(spark, folder):
+    return near_duplicates(documents(spark, folder), shingle=2)
+
+
 @query("op3_compression_bands")
 def op3_compression_bands(spark, folder):
     return compression_bands(documents(spark, folder))
