@@ -13,7 +13,7 @@ from tabulith.session import cut_lineage
 BROADCAST_IDS = 500_000
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, key: str | list[str] = "doc_id") -> DataFrame:
     """Semi or anti join of documents with a materialised list of distinct ids.
 
     The list is counted first. A short one is broadcast, so that texts stay where

@@ -10,6 +10,7 @@ from tabulith.llm.minhash import near_duplicates
 from tabulith.llm.packing import pack
 from tabulith.llm.positions import decontaminate
 from tabulith.llm.registry import ORACLES, QUERIES, query
+from tabulith.llm.repeats import suffix_dedup
 from tabulith.llm.words import documents
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -37,6 +38,11 @@ def op1_near_duplicates(spark, folder):
     return near_duplicates(documents(spark, folder), shingle=2)
 
 
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, folder):
+    return suffix_dedup(documents(spark, folder))
+
+
 @query("op3_compression_bands")
 def op3_compression_bands(spark, folder):
     return compression_bands(documents(spark, folder))
