@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tabulith.llm.bands import compression_bands
+from tabulith.llm.interpolation import lm_scores
 from tabulith.llm.minhash import near_duplicates
 from tabulith.llm.packing import pack
 from tabulith.llm.positions import decontaminate
@@ -48,6 +49,11 @@ def op3_compression_bands(spark, folder):
     return compression_bands(documents(spark, folder))
 
 
+@query("op4_deleted_interpolation")
+def op4_deleted_interpolation(spark, folder):
+    return lm_scores(documents(spark, folder))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
