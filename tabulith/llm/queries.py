@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.bands import compression_bands
 from tabulith.llm.interpolation import lm_scores
+from tabulith.llm.licenses import license_labels
 from tabulith.llm.minhash import near_duplicates
 from tabulith.llm.packing import pack
 from tabulith.llm.positions import decontaminate
 from tabulith.llm.registry import ORACLES, QUERIES, query
 from tabulith.llm.repeats import suffix_dedup
+from tabulith.llm.token_cache import count_tokens
 from tabulith.llm.words import documents
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -54,6 +56,11 @@ def op4_deleted_interpolation(spark, folder):
     return lm_scores(documents(spark, folder))
 
 
+@query("op5_digest_cache")
+def op5_digest_cache(spark, folder):
+    return count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
@@ -82,3 +89,8 @@ def op7_positional_decontamination(spark, folder):
 @query("op8_bounded_packing")
 def op8_bounded_packing(spark, folder):
     return pack(documents(spark, folder).select("doc_id", F.col("text")), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_diagonal_licenses")
+def op9_diagonal_licenses(spark, folder):
+    return license_labels(documents(spark, folder))
