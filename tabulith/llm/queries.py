@@ -14,6 +14,7 @@ from tabulith.llm.positions import decontaminate
 from tabulith.llm.registry import ORACLES, QUERIES, query
 from tabulith.llm.repeats import suffix_dedup
 from tabulith.llm.token_cache import count_tokens
+from tabulith.llm.toxicity import toxicity
 from tabulith.llm.words import documents
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -94,3 +95,8 @@ def op8_bounded_packing(spark, folder):
 @query("op9_diagonal_licenses")
 def op9_diagonal_licenses(spark, folder):
     return license_labels(documents(spark, folder))
+
+
+@query("op10_nnpu_toxicity")
+def op10_nnpu_toxicity(spark, folder):
+    return toxicity(documents(spark, folder), documents(spark, folder, "labels"))
