@@ -34,8 +34,8 @@ POSITIVE, UNLABELLED = 4000, 8000
 BITS = 20
 #: Beginnings of words, in bytes, besides the whole word.
 STEMS = (4, 5, 6)
-#: Features kept, and the toxic training documents that must have one.
-FEATURES, SUPPORT = 4096, 3
+#: Features kept, the toxic training documents that must have one, and the standard errors that it must stand out by.
+FEATURES, SUPPORT, STRENGTH = 4096, 3, 3.0
 STEPS, RATE, RIDGE = 400, 0.05, 2e-4
 FOLD = "crc32(cast(doc_id as string)) % 5 = 0"
 
@@ -102,7 +102,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def chosen_features(positive: Sets, unlabelled: Sets, prior: float, most: int = FEATURES, support: int = SUPPORT) -> np.ndarray:
+def chosen_features(positive: Sets, unlabelled: Sets, prior: float, most: int = FEATURES, support: int = SUPPORT, least: float = STRENGTH) -> np.ndarray:
     """The features whose share among toxic texts differs most from that among the others."""
     p, u = positive.counts(), unlabelled.counts()
     share_p, share_u = p / max(positive.n, 1), u / max(unlabelled.n, 1)
@@ -110,7 +110,7 @@ def chosen_features(positive: Sets, unlabelled: Sets, prior: float, most: int =
     spread = share_p * (1 - share_p) / max(positive.n, 1) + other * (1 - other) / max(unlabelled.n, 1) + 1e-9
     strength = np.where((p >= support) | (u >= 20 * support), np.abs(share_p - other) / np.sqrt(spread), 0)
     best = np.argsort(-strength, kind="stable")[:most]
-    return np.sort(best[strength[best] > 4])
+    return np.sort(best[strength[best] > least])
 
 
 def train(positive: Sets, unlabelled: Sets, prior: float, size: int, steps: int = STEPS, rate: float = RATE, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
