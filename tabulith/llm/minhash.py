@@ -8,11 +8,11 @@ those that are clearly different; the full sets confirm the rest. With 48 bands
 registers a pair at similarity 0.8 shares no band with a probability of 5e-7, at 0.85 of 2e-10.
 
 Equal sets are collapsed before anything is paired. Members of a band's bucket are
-compared with the bucket's smallest member first (as many pairs as members); after
-the links found that way have been followed, only members of one bucket that are still in
-different components are compared with each other, again without their copies. So a
-large group of copies or near copies costs pairs in proportion to its size, and no
-link between different components is passed over.
+compared with the bucket's smallest member first (as many pairs as members). When those
+links have been followed, members that share a bucket with a set of another component
+and could be similar to it are compared across components by exact prefix filtering. So a large
+group of copies or near copies costs pairs in proportion to its size, and no link
+between different components is passed over.
 
 Edge cases: a text without words is an empty set and linked with nothing; a text
 shorter than a shingle is one shingle; a document without an id keeps its own row
@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabulith.llm.joins import by_ids, components
 from tabulith.llm.words import IN_WORD, U, Words, arrow, batch, id_and_text, mix, pieces, window_hashes
@@ -194,21 +195,57 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, PAIR)
 
 
-def across(shared: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket's members that are still in different components.
+def undecided(shared: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Ids that share a bucket with a set of another component which could meet the threshold.
 
-    Sizes and sketches are compared inside the join, so that pairs which cannot meet
-    the threshold are never produced.
+    Sizes and sketches are compared inside a semi join: it gives each member once,
+    however many partners it has.
     """
-    labelled = shared.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    labelled = cut_lineage(labelled)
+    labelled = cut_lineage(labels(shared.select("key", "id"), found, "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     bits = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), "s0", "s1", "s2", "s3")
     left = cut_lineage(labelled.join(mixed, "key", "left_semi").join(bits, "id"))
-    a, b = left.alias("a"), left.alias("b")
     differ = " + ".join(f"bit_count(a.s{i} ^ b.s{i})" for i in range(4))
-    close = F.expr(f"a.key = b.key and a.component < b.component and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {differ} <= {DIFFERENT}")
-    return a.join(b, close).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    close = F.expr(f"a.key = b.key and a.component <> b.component and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {differ} <= {DIFFERENT}")
+    return left.alias("a").join(left.alias("b"), close, "left_semi").select(F.col("id").alias("doc_id")).distinct()
+
+
+def labels(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the component of ``key``; what has no link is its own component."""
+    return rows.join(found.withColumnRenamed("node", key), key, "left").withColumn("component", F.coalesce("component", key))
+
+
+def across(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may meet the threshold, by exact prefix filtering.
+
+    With shingles in order of their frequency, two sets at the threshold share one
+    among the first few of each: the smaller set's first n - ceil(2t / (1 + t) n) + 1,
+    the larger set's first n - ceil(t n) + 1. What a large family has in common is
+    frequent and comes last, so members that differ too much never meet or meet too
+    late. A shingle's most frequent component is only paired with the others.
+    """
+    def explode(batches):
+        for rows in batches:
+            for i, raw in zip(rows.column("doc_id").to_pylist(), rows.column("shingles"), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                yield batch(arrow("id bigint, n bigint, shingle bigint"), np.full(len(own), i), np.full(len(own), len(own)), own)
+
+    tokens = sets.mapInArrow(explode, "id bigint, n bigint, shingle bigint").distinct()
+    common = tokens.groupBy("shingle").count().filter("count > 1")
+    # Shingles of one set only come first and match nothing: their number is all that is needed of them.
+    kept = labels(tokens.join(common, "shingle"), found, "id")
+    w = W.partitionBy("id", "n")
+    placed = kept.withColumn("place", F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("count", "shingle")))
+    probe, index = (F.col("n") - F.ceil(F.lit(x) * F.col("n") / y) + 1 for x, y in ((percent, 100), (2 * percent, 100 + percent)))
+    first = cut_lineage(placed.filter(F.col("place") <= probe).select("shingle", "id", "n", "place", "component", (F.col("place") <= index).alias("indexed")))
+    groups = first.groupBy("shingle", "component").count().groupBy("shingle").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("components")).filter("components > 1")
+    mixed = first.join(groups.select("shingle", "main"), "shingle")
+    other, every = mixed.filter("component <> main").alias("a"), mixed.alias("b")
+    smaller = "(a.n < b.n or (a.n = b.n and a.id < b.id))"
+    # At the first shingle that two sets share, all they can share is what follows it in both.
+    enough = f"(1 + least(a.n - a.place, b.n - b.place)) * (100 + {percent}) >= {percent} * (a.n + b.n)"
+    meet = F.expr(f"a.shingle = b.shingle and a.component <> b.component and {enough} and if({smaller}, a.indexed, b.indexed)")
+    return other.join(every, meet).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, margin: float = MARGIN) -> DataFrame:
@@ -224,16 +261,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     heads = placed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     shared = cut_lineage(placed.join(heads, "key").select("key", "id", "head"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = cut_lineage(full_sets(by_ids(texts, cut_lineage(wanted), "left_semi"), shingle).distinct())
-        return cut_lineage(confirmed(pairs, sets, percent))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return cut_lineage(full_sets(by_ids(texts, cut_lineage(ids), "left_semi"), shingle).distinct())
 
     stars = shared.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     tried = cut_lineage(alike(stars, reps, percent, registers, margin))
-    first = links(tried)
-    apart = across(shared, components(first), reps, percent)
-    second = links(cut_lineage(alike(apart, reps, percent, registers, margin).join(tried, ["a", "b"], "left_anti")))
+    ends = tried.select(F.col("a").alias("doc_id")).unionByName(tried.select(F.col("b").alias("doc_id"))).distinct()
+    first = cut_lineage(confirmed(tried, sets_of(ends), percent))
+    known = cut_lineage(components(first))
+    sets = sets_of(undecided(shared, known, reps, percent))
+    pairs = across(sets, known, percent).join(tried, ["a", "b"], "left_anti")
+    second = cut_lineage(confirmed(cut_lineage(alike(pairs, reps, percent, registers, margin)), sets, percent))
     found = components(first.unionByName(second))
 
     named_sets = reps.select("set_hash", F.col("doc_id").alias("node")).join(found, "node", "left").select("set_hash", F.coalesce("component", "node").alias("component_id"))
