@@ -37,7 +37,7 @@ LISTED = 8
 #: Steps of the evidence grid per octave, and its lowest octave.
 STEPS, LOWEST = 4, 48
 ROUNDS = 60
-PIECE = 4 << 20
+PIECE = 2 << 20
 PER_PARTITION = 4
 
 START, RARE = 0, 1
@@ -207,10 +207,15 @@ def pair_counts(rows: DataFrame, head, buckets: int, parts: int) -> DataFrame:
             yield batch(arrow(PACKED), full, np.zeros(len(full)), payloads)
 
     def evidence(batches):
+        held: dict[int, list] = {}
+        for rows in batches:
+            for bucket, raw in zip(*(rows.column(c).to_pylist() for c in ("bucket", "payload")), strict=True):
+                held.setdefault(bucket, []).append(raw)
+        for bucket in list(held):
+            yield from of_bucket([_unpack(raw) for raw in held.pop(bucket)])
+
+    def of_bucket(got):
         h = head.value
-        got = [_unpack(r) for rows in batches for r in rows.column("payload").to_pylist()]
-        if not got:
-            return
         words = np.concatenate([np.repeat(g[0], g[1]) for g in got])
         contexts, est, out = (np.concatenate([g[i] for g in got]) for i in (2, 3, 4))
         key = _pair_key(words, contexts)
@@ -334,30 +339,31 @@ def partial_scores(rows: DataFrame, model, buckets: int, parts: int) -> DataFram
 
     def score(batches):
         m = model.value
-        got, names = [], []
+        held: dict[int, list] = {}
         for rows in batches:
-            for piece, raw in zip(rows.column("piece").to_pylist(), rows.column("payload").to_pylist(), strict=True):
+            for bucket, piece, raw in zip(*(rows.column(c).to_pylist() for c in ("bucket", "piece", "payload")), strict=True):
                 if raw[:1] == b"i":
                     yield batch(arrow(PACKED), [-1], [piece], [raw[1:]])
                 else:
-                    got.append(_unpack(raw))
-                    names.append(piece)
-        if not got:
-            return
-        words = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        contexts = np.concatenate([np.repeat(g[2], g[3]) for g in got]).astype(np.int64)
-        doc = np.concatenate([g[4] for g in got]).astype(np.int64)
-        trained = np.concatenate([np.unpackbits(g[5])[: int(g[6][0])][g[4]] for g in got]).astype(np.int64)
-        row = np.repeat(np.arange(len(got)), [len(g[4]) for g in got])
-        distinct, slot = np.unique(words, return_inverse=True)
-        single = m.head.word_counts(distinct, np.bincount(slot, weights=trained, minlength=len(distinct)).astype(np.int64), "all")[slot]
-        _, slot = np.unique(_pair_key(words, contexts), return_inverse=True)
-        pair = np.bincount(slot, weights=trained)[slot]
-        base, p = m.terms(words, contexts, pair, single)
-        for piece in np.unique(names):
-            mine = np.isin(row, [i for i, name in enumerate(names) if name == piece])
-            docs = next(int(g[6][0]) for g, name in zip(got, names, strict=True) if name == piece)
-            yield batch(arrow(PACKED), [0], [piece], [_pack(np.bincount(doc[mine & (single > 0)], minlength=docs).astype(np.uint32), np.bincount(doc[mine], weights=base[mine], minlength=docs), np.bincount(doc[mine], weights=p[mine], minlength=docs))])
+                    held.setdefault(bucket, []).append((piece, raw))
+        sums: dict[int, list] = {}
+        for bucket in list(held):  # one bucket's tokens at a time
+            got = [(piece, _unpack(raw)) for piece, raw in held.pop(bucket)]
+            words = np.concatenate([np.repeat(g[0], g[1]) for _, g in got])
+            contexts = np.concatenate([np.repeat(g[2], g[3]) for _, g in got]).astype(np.int64)
+            trained = np.concatenate([np.unpackbits(g[5])[: int(g[6][0])][g[4]] for _, g in got])
+            distinct, slot = np.unique(words, return_inverse=True)
+            single = m.head.word_counts(distinct, np.bincount(slot, weights=trained, minlength=len(distinct)).astype(np.int64), "all")[slot]
+            _, slot = np.unique(_pair_key(words, contexts), return_inverse=True)
+            base, p = m.terms(words, contexts, np.bincount(slot, weights=trained)[slot], single)
+            end = 0
+            for piece, g in got:
+                begin, end, docs = end, end + len(g[4]), int(g[6][0])
+                doc, known = g[4].astype(np.int64), single[begin:end] > 0
+                own = [np.bincount(doc[known], minlength=docs), np.bincount(doc, weights=base[begin:end], minlength=docs), np.bincount(doc, weights=p[begin:end], minlength=docs)]
+                sums[piece] = [x + y for x, y in zip(sums[piece], own, strict=True)] if piece in sums else own
+        for piece, (known, base, p) in sums.items():
+            yield batch(arrow(PACKED), [0], [piece], [_pack(known.astype(np.uint32), base, p)])
 
     return rows.mapInArrow(send, PACKED).repartition(parts, "bucket").mapInArrow(score, PACKED)
 
