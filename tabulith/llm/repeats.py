@@ -46,7 +46,7 @@ GRAM = 20
 #: Documents that share an anchor before its windows are dealt out one by one.
 SPLIT_ABOVE = 20_000
 #: Bytes of passages sorted as one suffix array; a shard of a task is cut at anchors.
-SHARD = 3 << 20
+SHARD = 1 << 20
 #: Buckets and shards for each shuffle partition, so that hashing them deals evenly.
 PER_PARTITION = 4
 
