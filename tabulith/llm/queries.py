@@ -15,6 +15,7 @@ from tabulith.llm.registry import ORACLES, QUERIES, query
 from tabulith.llm.repeats import suffix_dedup
 from tabulith.llm.token_cache import count_tokens
 from tabulith.llm.toxicity import toxicity
+from tabulith.llm.warc import archive
 from tabulith.llm.words import documents
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -62,6 +63,20 @@ def op5_digest_cache(spark, folder):
     return count_tokens(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
+@query("op6_capture_index", OP6_SQL)
+def op6_capture_index(spark, folder):
+    return archive(documents(spark, folder, "pages")).records().drop("target")
+
+
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
