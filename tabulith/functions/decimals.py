@@ -101,11 +101,37 @@ def format_scale(s: Column, scale: Column) -> Column:
     return F.when((have >= scale) | (scale == 0), s).otherwise(padded)
 
 
+def digits_at_scale(s: Column, scale: int) -> Column:
+    """The digits of ``|s| * 10 ** scale``; for values whose minimal form has no more fraction digits."""
+    plain = normalize_decimal(s)
+    return F.concat(_integer_digits(plain), F.rpad(_fraction_digits(plain), scale, "0"))
+
+
+def remainder_of_digits(digits: Column, divisor: int) -> Column:
+    """Remainder of a whole number of any length, nine digits at a time (``divisor`` up to 18 digits)."""
+    limbs = F.ceil(F.length(digits) / 9).cast("int")
+    padded = F.lpad(digits, limbs * 9, "0")
+    parts = F.transform(F.sequence(F.lit(0), limbs - 1), lambda i: F.substring(padded, i * 9 + 1, F.lit(9)).cast("decimal(38,0)"))
+    wide = lambda x: x.cast("decimal(38,0)")
+    step = lambda rest, part: wide((wide(rest * F.lit(10**9).cast("decimal(10,0)")) + part) % F.lit(divisor).cast("decimal(18,0)"))
+    return F.aggregate(parts, F.lit(0).cast("decimal(38,0)"), step)
+
+
 def is_multiple_of(s: Column, step: str) -> Column:
-    """Exact multiple test for values that fit ``decimal(38,18)``."""
-    value = s.try_cast("decimal(38,18)")
-    remainder = value % F.lit(step).cast("decimal(38,18)")
-    return F.coalesce(is_decimal_shape(s) & (remainder == 0), F.lit(False))
+    """Exact multiple test on the digits, for decimal texts of any length."""
+    unit = pydec.Decimal(step).normalize()
+    scale = max(0, -unit.as_tuple().exponent)
+    fits = fraction_scale(normalize_decimal(s)) <= scale
+    whole = remainder_of_digits(digits_at_scale(s, scale), int(unit.scaleb(scale))) == 0
+    return F.coalesce(is_decimal_shape(s) & F.when(is_decimal_shape(s) & fits, whole).otherwise(False), F.lit(False))
+
+
+def hundredth(s: Column) -> Column:
+    """A decimal text with its point moved two places to the left."""
+    whole = F.lpad(_integer_digits(s), F.greatest(F.length(_integer_digits(s)), F.lit(3)), "0")
+    moved = F.concat(F.substring(whole, F.lit(1), F.length(whole) - 2), F.lit("."), F.substring(whole, F.length(whole) - 1, F.lit(2)), _fraction_digits(s))
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return normalize_decimal(F.concat(sign, moved))
 
 
 def quantize_money(value: Column, places: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import normalize_decimal
+from tabulith.functions.decimals import compare_decimal, hundredth, is_decimal, is_multiple_of, normalize_decimal
 from tabulith.functions.text import trim_blanks
 from tabulith.policy import POLICY
 
@@ -58,9 +58,8 @@ def with_percent(df: DataFrame, source: str, out: str = "fraction") -> DataFrame
     """Add the fraction of a typed percent, null when out of range or off the step."""
     bare = F.regexp_replace(trim_blanks(F.col(source)), r"%\z|^%", "")
     parsed = with_localized(df.withColumn("_p", bare), "_p", "_v", "_why")
-    fraction = F.col("_v").try_cast("decimal(20,15)") * F.lit("0.01").cast("decimal(2,2)")
-    sized = parsed.withColumn("_f", fraction.cast("decimal(38,18)"))
-    low, high = F.lit(POLICY.scenario_min), F.lit(POLICY.scenario_max)
-    ok = F.col("_f").between(low, high) & (F.col("_f") % F.lit(POLICY.scenario_step) == 0)
-    text = sized.withColumn("_t", F.when(ok, F.col("_f")).cast("string"))
-    return text.withColumn(out, normalize_decimal(F.col("_t"))).drop("_p", "_v", "_why", "_f", "_t")
+    sized = parsed.withColumn("_f", F.when(is_decimal(F.col("_v")), hundredth(F.col("_v"))))
+    low, high = F.lit(str(POLICY.scenario_min)), F.lit(str(POLICY.scenario_max))
+    inside = (compare_decimal(F.col("_f"), low) >= 0) & (compare_decimal(F.col("_f"), high) <= 0)
+    ok = inside & is_multiple_of(F.col("_f"), str(POLICY.scenario_step))
+    return sized.withColumn(out, F.when(ok, F.col("_f"))).drop("_p", "_v", "_why", "_f")

@@ -45,16 +45,16 @@ def slug(label: Column) -> Column:
 
 
 def column_letter(n: Column) -> Column:
-    """Bijective base-26 letters (1 = A, 27 = AA), up to three letters."""
-    n = n.cast("long")
-    one = F.char(65 + (n - 1) % 26)
-    rest = F.floor((n - 1) / 26)
-    two = F.char(65 + (rest - 1) % 26)
-    rest2 = F.floor((rest - 1) / 26)
-    three = F.char(65 + (rest2 - 1) % 26)
-    return F.concat(
-        F.when(rest2 > 0, three).otherwise(F.lit("")), F.when(rest > 0, two).otherwise(F.lit("")), one
-    )
+    """Bijective base-26 letters (1 = A, 27 = AA) of any positive long."""
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("letters"))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"] - 1
+        more = F.struct(F.call_function("div", rest, F.lit(26)).cast("long").alias("rest"), F.concat(F.char(65 + F.pmod(rest, F.lit(26))), state["letters"]).alias("letters"))
+        return F.when(state["rest"] > 0, more).otherwise(state)
+
+    # 26 ** 14 exceeds a long.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda state: state["letters"])
 
 
 def row_id(sheet_id: Column, source_row: Column) -> Column:

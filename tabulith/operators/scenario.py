@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import is_decimal, is_multiple_of, ratio6
+from tabulith.functions.decimals import compare_decimal, is_decimal, is_multiple_of, ratio6
 from tabulith.policy import POLICY
 
 
@@ -18,10 +18,11 @@ class ScenarioError(ValueError):
 
 def change_problem(change: Column) -> Column:
     """Why a cost change text is refused, or null; values are never clamped."""
-    value = change.try_cast("decimal(38,18)")
+    below = compare_decimal(change, F.lit(str(POLICY.scenario_min))) < 0
+    above = compare_decimal(change, F.lit(str(POLICY.scenario_max))) > 0
     return (
         F.when(~is_decimal(change), "not-a-decimal")
-        .when(value.isNull() | (value < F.lit(POLICY.scenario_min)) | (value > F.lit(POLICY.scenario_max)), "out-of-range")
+        .when(below | above, "out-of-range")
         .when(~is_multiple_of(change, str(POLICY.scenario_step)), "off-step")
     )
 

@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "tabulith", memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+    """A local session for tests and the bench; a cluster brings its own.
+
+    Only here a folder of this machine stands in for the shared one, and only where
+    the configuration names none.
+    """
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -23,18 +27,20 @@ def local_session(cores: int | str = 8, app: str = "tabulith", memory: str = "8g
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tabulith-"))
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    A temporary one is made only where the session names none (tests, local runs).
+    There is no substitute: on a cluster every executor would write to its own disk
+    and a later read would miss files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="tabulith-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return named
 
 

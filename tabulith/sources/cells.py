@@ -152,9 +152,9 @@ def sparse_header_row(cells: DataFrame, keys: Sequence[str], preview: int) -> Da
     return best.select(*keys, (-F.col("b.f")).alias("header_row"))
 
 
-def data_rows(cells: DataFrame, header_row: int) -> DataFrame:
-    """Physical lines below the header that produced at least one cell."""
-    return cells.filter(F.col("row") > header_row).select("row").distinct()
+def data_rows(cells: DataFrame, header_row: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Physical lines below the header that produced at least one cell, per file or sheet named by ``keys``."""
+    return cells.filter(F.col("row") > header_row).select(*keys, "row").distinct()
 
 
 def to_sheet(

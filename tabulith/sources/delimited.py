@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import itertools
+import re
 import sys
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from tabulith.functions.text import starts_like_formula
 from tabulith.operators.ordinals import running_total
 from tabulith.policy import POLICY
+from tabulith.session import cut_lineage
 
 # Delimiters that may be detected, in order.
 DELIMITERS = (",", "\t", ";")
@@ -32,13 +34,9 @@ def _records(text: str, delimiter: str) -> Iterator[tuple[int, int, list[str]]]:
             yield start, before, fields
 
 
-def spread_files(files: DataFrame) -> DataFrame:
-    """Hash files over the cores when the scan has fewer tasks than that.
-
-    A large landing zone already has enough tasks and is left where it lies.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(cores, "file_id") if files.rdd.getNumPartitions() < cores else files
+def spread_files(files: DataFrame, parts: int | None = None) -> DataFrame:
+    """Hash files over ``parts`` tasks; without it they are left where they lie."""
+    return files.repartition(parts, "file_id") if parts else files
 
 
 RECORD_BATCH = 20_000
@@ -58,13 +56,14 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 
 
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one at a time: only one text is held as a Python string."""
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["text"] is not None:
-                yield row
+        for i in range(batch.num_rows):
+            if batch.column("text")[i].is_valid:
+                yield batch.slice(i, 1).to_pylist()[0]
 
 
-def read_records(files: DataFrame, delimiter: str | None = None) -> DataFrame:
+def read_records(files: DataFrame, delimiter: str | None = None, parts: int | None = None) -> DataFrame:
     """(file_id, ordinal, start_line, end_line, fields) for files of (file_id, text).
 
     A record spans as many physical lines as its quoted newlines need; blank lines
@@ -81,62 +80,88 @@ def read_records(files: DataFrame, delimiter: str | None = None) -> DataFrame:
         )
         return _batches(rows, _RECORD_ARROW)
 
-    return spread_files(files).mapInArrow(parse, RECORD_SCHEMA)
+    return spread_files(files, parts).mapInArrow(parse, RECORD_SCHEMA)
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file_id, line, value) of splittable text files of any size.
+    """(file_id, line, value, ending) of splittable text files of any size.
 
     Spark reads the splits in parallel; a line's number is its position in its
-    split plus the line counts of the file's earlier splits.
+    split plus the line counts of the file's earlier splits. A line ends with a line
+    feed, a carriage return or both; ``value`` keeps the carriage return and
+    ``ending`` is the line feed, so nothing of the file is lost.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("split"),
-        F.monotonically_increasing_id().alias("_id"),
-        "value",
+    fed = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("_size"),
+        (F.octet_length("value") + 1).cast("long").alias("_bytes"), F.split("value", r"(?<=\r)(?!\z)").alias("_parts"),
     )
-    splits = lines.groupBy("file_id", "split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    lines = fed.select("file_id", "split", "_size", "_bytes", F.size("_parts").alias("_of"), F.posexplode("_parts").alias("_at", "value")).select(
+        "file_id", "split", "value", "_size", F.when(F.col("_at") == 0, F.col("_bytes")).otherwise(0).alias("_bytes"),
+        (F.col("_at") == F.col("_of") - 1).alias("_fed"), F.monotonically_increasing_id().alias("_id"),
+    )
+    splits = lines.groupBy("file_id", "split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"), F.sum("_bytes").alias("_bytes"), F.max("_size").alias("_size"))
     # One row per split of a file, a few thousand per terabyte.
     earlier = W.partitionBy("file_id").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    joined = lines.join(splits, ["file_id", "split"])
-    return joined.select(
-        "file_id", (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias("line"), "value"
-    )
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    # A file without a final line feed is one byte shorter than its lines (a byte order mark is not read: three more).
+    beyond = F.sum("_bytes").over(W.partitionBy("file_id")) - F.col("_size")
+    splits = splits.withColumn("_unfed", F.when(beyond.isin(1, -2), F.sum("_n").over(W.partitionBy("file_id")))).drop("_n", "_bytes", "_size")
+    joined = lines.drop("_bytes", "_size").join(splits, ["file_id", "split"]).withColumn("line", F.col("_before") + F.col("_id") - F.col("_first") + 1)
+    fed_at = F.col("_fed") & ~F.coalesce(F.col("line") == F.col("_unfed"), F.lit(False))
+    return joined.select("file_id", "line", "value", F.when(fed_at, "\n").otherwise("").alias("ending"))
 
 
-def read_large(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Records of numbered lines: the form of ``read_records`` for huge files.
+def ends_quoted(value: Column, delimiter: str) -> tuple[Column, Column]:
+    """Whether a line leaves a quoted field open, entered at a record's start and entered inside one.
 
-    A line opens a record when an even number of quotes precedes it in its file;
-    the running quote count is taken block by block, and only the lines of one
-    record ever meet.
+    A quote opens a field only as its first character; after a closing quote the rest
+    up to the delimiter is plain text, quotes included.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    counted = running_total(lines, "line", quotes.cast("long"), "_seen", ["file_id"])
-    counted = counted.withColumn("_q", quotes.cast("long"))
-    opens = F.pmod(F.col("_seen") - F.col("_q"), F.lit(2)) == 0
-    tagged = running_total(
-        counted.withColumn("_opens", opens), "line", F.col("_opens").cast("long"), "_record", ["file_id"]
-    )
+    d = re.escape(delimiter)
+    inside = '(?:[^"]|"")*+'
+    field = f'(?:"{inside}"(?!")[^{d}]*+|[^"{d}][^{d}]*+|)'
+    opened = f'"{inside}\\z'
+    from_start = value.rlike(f"^(?:{field}{d})*+{opened}")
+    from_quoted = value.rlike(f'^{inside}(?:\\z|"(?!")[^{d}]*+{d}(?:{field}{d})*+{opened})')
+    return from_start, from_quoted
+
+
+def read_large(lines: DataFrame, delimiter: str) -> DataFrame:
+    """Records of numbered lines: the form of ``read_records`` for huge files, with the same result.
+
+    Each line is a step of a two-state automaton (at a record's start, or inside a
+    quoted field). A line either forces a state or leaves it or swaps it, so the state
+    before a line is what the last forcing line left, turned by the swaps since; both
+    are running totals, taken block by block. Only the lines of one record ever meet;
+    a quote that is never closed makes the rest of its file one record, as it does for
+    any reader.
+    """
+    from_start, from_quoted = ends_quoted(F.col("value"), delimiter)
+    steps = lines.withColumns({"_a": from_start, "_b": from_quoted})
+    steps = steps.select("file_id", "line", "value", "ending", "_a", (F.col("_a") == F.col("_b")).cast("long").alias("_forces"), (F.col("_a") & ~F.col("_b")).cast("long").alias("_swaps"))
+    swapped = running_total(steps, "line", F.col("_swaps"), "_swapped", ["file_id"])
+    forced = cut_lineage(running_total(swapped, "line", F.col("_forces"), "_forced", ["file_id"]))
+    own = forced.withColumn("_last", F.col("_forced") - F.col("_forces"))
+    # What the last forcing line before this one left, and the swaps counted by then.
+    left = forced.filter("_forces = 1").select("file_id", F.col("_forced").alias("_last"), F.col("_a").cast("long").alias("_state"), F.col("_swapped").alias("_until"))
+    first = own.filter("_last = 0").select("*", F.lit(0).cast("long").alias("_state"), F.lit(0).cast("long").alias("_until"))
+    rest = own.filter("_last > 0").join(left, ["file_id", "_last"]).select(*first.columns)
+    before = F.pmod(F.col("_state") + F.col("_swapped") - F.col("_swaps") - F.col("_until"), F.lit(2))
+    opening = first.unionByName(rest).select("file_id", "line", "value", "ending", (before == 0).cast("long").alias("_opens"))
+    tagged = running_total(opening, "line", F.col("_opens"), "_record", ["file_id"])
     grouped = tagged.groupBy("file_id", "_record").agg(
         F.min("line").alias("start_line"),
         F.max("line").alias("end_line"),
-        F.sort_array(F.collect_list(F.struct("line", "value"))).alias("_lines"),
+        F.sort_array(F.collect_list(F.struct("line", F.concat("value", "ending").alias("value")))).alias("_lines"),
     )
-    text = F.array_join(F.transform("_lines", lambda x: x["value"]), "\n")
-    whole = grouped.select("file_id", "start_line", "end_line", text.alias("text")).filter(F.trim("text") != "")
+    text = F.array_join(F.transform("_lines", lambda x: x["value"]), "")
+    whole = grouped.select("file_id", "start_line", "end_line", text.alias("text"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (
-            (f["file_id"], f["start_line"], f["end_line"], next((x for _, _, x in _records(f["text"], delimiter)), []))
-            for f in _files(batches)
-        )
+        rows = ((f["file_id"], f["start_line"], f["end_line"], x) for f in _files(batches) for _, _, x in _records(f["text"], delimiter))
         return _batches(rows, pa.schema([f for f in _RECORD_ARROW if f.name != "ordinal"]))
 
     parsed = whole.mapInArrow(parse, "file_id string, start_line long, end_line long, fields array<string>")
-    parsed = parsed.filter(F.size("fields") > 0)
     return running_total(parsed, "start_line", F.lit(1).cast("long"), "ordinal", ["file_id"]).select(
         "file_id", "ordinal", "start_line", "end_line", "fields"
     )
@@ -145,9 +170,11 @@ def read_large(lines: DataFrame, delimiter: str) -> DataFrame:
 # --- votes -----------------------------------------------------------------
 
 
-def delimiter_votes(files: DataFrame) -> DataFrame:
-    """(file_id, delimiter, position, records, min_width, max_width) per candidate."""
-    limit = POLICY.delimiter_sample_chars
+def delimiter_votes(files: DataFrame, sample_chars: int | None = None, parts: int | None = None) -> DataFrame:
+    """(file_id, delimiter, position, records, min_width, max_width) per candidate.
+
+    The whole file votes; ``sample_chars`` (``POLICY.delimiter_sample_chars``) lets only its head vote.
+    """
 
     schema = pa.schema(
         [("file_id", pa.string()), ("delimiter", pa.string()), ("position", pa.int32()), ("records", pa.int64()),
@@ -156,16 +183,18 @@ def delimiter_votes(files: DataFrame) -> DataFrame:
 
     def votes(files_: Iterator[dict]) -> Iterator[tuple]:
         for f in files_:
-            head = f["text"][:limit]
+            head = f["text"][:sample_chars] if sample_chars else f["text"]
             for position, d in enumerate(DELIMITERS):
-                widths = [len(x) for _, _, x in _records(head, d)]
-                if widths:
-                    yield f["file_id"], d, position, len(widths), min(widths), max(widths)
+                n, low, high = 0, sys.maxsize, 0
+                for _, _, fields in _records(head, d):
+                    n, low, high = n + 1, min(low, len(fields)), max(high, len(fields))
+                if n:
+                    yield f["file_id"], d, position, n, low, high
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(votes(_files(batches)), schema)
 
-    return spread_files(files).mapInArrow(
+    return spread_files(files, parts).mapInArrow(
         vote, "file_id string, delimiter string, position int, records long, min_width long, max_width long"
     )
 

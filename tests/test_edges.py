@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tabulith.functions import decimals as DC
+from tabulith.functions import text as TX
 from tabulith.functions.dates import to_real_date
 from tabulith.operators import ledger as L
+from tabulith.operators import scenario as SC
 from tabulith.operators import metrics, normalize as N, profile as P
 from tabulith.operators.scope import Scope
 from tabulith.policy import Limits
@@ -60,6 +65,55 @@ def test_large_reader_agrees_with_the_file_reader(spark, files, tmp_path):
     assert got == want
 
 
+NASTY = {
+    "stray": 'id,size,note\n1,5" pipe,ok\n2,b,ok\n3,c,ok\n4,d,ok\n',
+    "crlf": 'a,b\r\n"x\r\ny",1\r\n"q ""z"" ",2\r\n',
+    "after": 'a,b\n"x"y"z,1\n"p",""\n"",x"\n',
+    "open": 'a,b\n1,"never closed\n2,x\n',
+    "openend": 'a,b\n1,"never closed\n2,x',
+    "bare": "a,b\n1,2",
+    "returns": 'a,b\r1,"x\ry"\r\r2,z\r',
+    "mixed": 'a,b\n\n"1\n\n2",3\r\n , \nq"\n"r,s""\n",t\n',
+    "swaps": 'a,b\n"1,\n",2\n","\n"\n","\n3,4\n',
+}
+
+
+def test_large_reader_loses_nothing(spark, tmp_path):
+    rng = random.Random(6)
+    texts = dict(NASTY, **{f"r{i}": "".join(rng.choice(['"', '""', ",", "\n", "\r\n", "\r", "a", " b"]) for _ in range(60)) for i in range(40)})
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+    large = D.read_large(D.numbered_lines(spark, str(tmp_path)), ",")
+    name = F.regexp_extract("file_id", r"([a-z0-9]+)\.csv$", 1).alias("f")
+    got = sorted((r["f"], r["ordinal"], r["start_line"], r["end_line"], r["fields"]) for r in large.select(name, "*").collect())
+    small = D.read_records(spark.createDataFrame(list(texts.items()), "file_id string, text string"), ",")
+    assert got == sorted((r["file_id"], r["ordinal"], r["start_line"], r["end_line"], r["fields"]) for r in small.collect())
+
+
+def test_digits_are_not_rounded(spark):
+    texts = ["0.0010000000000000000001", "0.001", "1234567890123456789012345", "0.3000000000000000000001", "0.3", "-0.3", "0.30000", "1e3", "0.0005"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    milli = {r.s: r.m for r in df.select("s", DC.is_multiple_of(F.col("s"), "0.001").alias("m")).collect()}
+    assert milli == {t: t not in ("0.0010000000000000000001", "0.3000000000000000000001", "1e3", "0.0005") for t in texts}
+    ones = {r.s: r.m for r in df.select("s", DC.is_multiple_of(F.col("s"), "7").alias("m")).collect()}
+    assert ones["1234567890123456789012345"] == (1234567890123456789012345 % 7 == 0)
+    problems = {r.s: r.p for r in df.select("s", SC.change_problem(F.col("s")).alias("p")).collect()}
+    assert problems["0.3000000000000000000001"] == "out-of-range" and problems["0.3"] is None and problems["0.0010000000000000000001"] == "off-step"
+
+
+def test_letters_beyond_three(spark):
+    def letters(n):
+        out = ""
+        while n:
+            n, r = divmod(n - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    numbers = [1, 26, 27, 702, 703, 18278, 18279, 475254, 475255, 10**12, 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long")
+    assert {r.n: r.l for r in df.select("n", TX.column_letter(F.col("n")).alias("l")).collect()} == {n: letters(n) for n in numbers}
+
+
 def test_header_cells_and_warnings(files):
     r = cut_lineage(D.read_records(files, ","))
     heads = {x["file_id"]: x["header"] for x in D.header_ordinals(r).collect()}
