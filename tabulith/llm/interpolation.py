@@ -176,7 +176,7 @@ def _pair_key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         return mix(words * U(0x9E3779B97F4A7C15) + contexts.astype(U))
 
 
-def pair_counts(rows: DataFrame, head, buckets: int, parts: int) -> DataFrame:
+def pair_counts(rows: DataFrame, head, buckets: int, parts: int, most_hot: int = HOT) -> DataFrame:
     """Evidence on the grid (kind 0: octave, bigram and word steps, held-out count) and hot pairs (kind 1)."""
     ddl = "kind bigint, a bigint, b bigint, c bigint, n bigint"
 
@@ -224,7 +224,7 @@ def pair_counts(rows: DataFrame, head, buckets: int, parts: int) -> DataFrame:
         words, contexts = words[order][heads], contexts[order][heads].astype(np.int64)
         est, out = (np.add.reduceat(x[order].astype(np.int64), heads) for x in (est, out))
         total, n_est = h.totals["n_all"], max(h.totals["n_est"], 1)
-        hot = (est + out) * HOT >= total
+        hot = (est + out) * most_hot >= total
         schema = arrow(ddl)
         yield batch(schema, np.ones(hot.sum()), words[hot].view(np.int64), contexts[hot], np.zeros(hot.sum()), (est + out)[hot])
         distinct, slot = np.unique(words, return_inverse=True)
@@ -376,7 +376,8 @@ def lm_scores(docs: DataFrame, out: str = "crc32(cast(doc_id as string)) % 7 = 2
     buckets = PER_PARTITION * parts
     known = learn_head(rows, buckets, parts, head)
     sent = spark.sparkContext.broadcast(known)
-    found = cut_lineage(pair_counts(rows, sent, buckets, parts))
+    # The word of a hot pair has to be a frequent one.
+    found = cut_lineage(pair_counts(rows, sent, buckets, parts, min(HOT, head)))
     cells = np.array([tuple(r) for r in found.filter("kind = 0").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()], np.int64).reshape(-1, 4)
     hot = [tuple(r) for r in found.filter("kind = 1").select("a", "b", "n").collect()]
     model = Model(known, mixture_weights(cells, 1 / (known.totals["v_est"] + 1)), hot)
