@@ -74,6 +74,22 @@ def period_completeness(rows: DataFrame, calendar: DataFrame, date: str = "date"
     return joined.select("period", "scheduled", gaps.alias("missing"), (gaps == 0).alias("complete"))
 
 
+def complete_periods(rows: DataFrame, calendar: DataFrame, periods: DataFrame, confirmed: bool = True, date: str = "date") -> DataFrame:
+    """``periods`` (period, start, end) with a ``complete`` flag.
+
+    A confirmed period is complete when every day that ``calendar`` schedules in it
+    has rows; one without scheduled days when it has any row; an unconfirmed one never.
+    """
+    days = periods.select("period", F.explode(F.sequence("start", "end")).alias("date"))
+    present = rows.select(F.col(date).alias("date")).distinct().withColumn("_present", F.lit(True))
+    scheduled = calendar.select("date").distinct().withColumn("_scheduled", F.lit(True))
+    per_period = days.join(scheduled, "date", "left").join(present, "date", "left").groupBy("period").agg(
+        F.count("_scheduled").alias("_n"), F.count(F.when(F.col("_scheduled") & F.col("_present").isNull(), 1)).alias("_m"), F.count("_present").alias("_p")
+    )
+    complete = F.when(F.col("_n") == 0, F.col("_p") > 0).otherwise(F.col("_m") == 0) & F.lit(confirmed)
+    return periods.join(per_period, "period").select(*periods.columns, complete.alias("complete"))
+
+
 def month_region_grid(cells: DataFrame, months: DataFrame | None, measures: Sequence[str]) -> DataFrame:
     """Every (month, region) pair, empty ones as zero-row totals.
 

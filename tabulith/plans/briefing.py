@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.decimals import dec_div, ratio6
 from tabulith.operators import metrics as M
-from tabulith.operators.scope import Scope
+from tabulith.operators.scope import Scope, complete_periods
 from tabulith.policy import POLICY
 from tabulith.session import cut_lineage
 from tabulith.sources.tables import money_text
@@ -166,6 +166,13 @@ def material_change(prior_total: Column, complete: Column) -> Column:
     )
 
 
+def both_complete(fact: DataFrame, current: Scope, previous: Scope, calendar: DataFrame, confirmed: bool = True) -> Column:
+    """Whether both periods have rows on every scheduled day, as one scalar."""
+    named = fact.sparkSession.createDataFrame([("current", current.start, current.end), ("previous", previous.start, previous.end)], "period string, start string, end string")
+    periods = named.select("period", F.to_date("start").alias("start"), F.to_date("end").alias("end"))
+    return complete_periods(fact, calendar, periods, confirmed).agg(F.bool_and("complete").alias("c")).scalar()
+
+
 FINDING_SCHEMA = (
     "finding_id", "rule_id", "kind", "severity", "entity", "class_priority", "coverage", "magnitude", "metric_ids",
     "chart_id", "limitations", "complete", "coverage_note",
@@ -176,7 +183,8 @@ def entity_findings(figs: DataFrame, complete: Column | bool = True) -> DataFram
     """Divergence and period-change findings of every entity at once."""
     complete = F.lit(complete) if isinstance(complete, bool) else complete
     prior = figs.filter(F.col("entity") == WHOLE).select("downtime_prev").scalar()
-    rows = figs.filter(F.col("entity") != WHOLE).withColumn("_prior", prior)
+    rows = figs.filter(F.col("entity") != WHOLE).withColumns({"_prior": prior, "_complete": complete})
+    complete = F.col("_complete")
     base = _slug(F.col("entity"))
     ids = lambda *s: F.array(*[F.concat(base, F.lit(f"-{x}")) for x in s])
 
@@ -297,11 +305,17 @@ def emphasised_points(points: DataFrame, findings: DataFrame) -> DataFrame:
     ).select("chart_id", F.when(F.col("chronology") == "ltr", F.col("_last")).otherwise(F.col("_first")).alias("key"))
 
 
-def brief(fact: DataFrame, current: Scope, previous: Scope, ledger: DataFrame | None = None) -> Briefing:
-    """The whole analysis of one fact and, optionally, its quality ledger."""
+def brief(fact: DataFrame, current: Scope, previous: Scope, ledger: DataFrame | None = None, calendar: DataFrame | None = None) -> Briefing:
+    """The whole analysis of one fact and, optionally, its quality ledger.
+
+    Findings that compare periods are withheld unless both cover ``calendar`` (date, period);
+    without one, each has to have a row.
+    """
+    fact = cut_lineage(fact)
     figs = figures(fact, current, previous)
     metrics = metric_frame(figs, current, previous)
-    found = entity_findings(figs).unionByName(descriptive_finding(metrics))
+    days = calendar if calendar is not None else fact.select("date").limit(0)
+    found = entity_findings(figs, both_complete(fact, current, previous, days)).unionByName(descriptive_finding(metrics))
     if ledger is not None:
         found = found.unionByName(quality_findings(ledger))
     return Briefing(figs, metrics, proof_frame(metrics), found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulith.functions.dates import month_starts, weekday_calendar
 from tabulith.functions.decimals import ratio6
 from tabulith.operators import checks as C
 from tabulith.operators import evidence as E
@@ -19,12 +20,21 @@ from tabulith.plans import briefing as B
 from tabulith.queries.quality import CLEAN, LEDGER, RESOLVED, resolved
 from tabulith.queries.registry import CURRENT, IN_CURRENT, IN_PREVIOUS, OPS, PLACED, PREVIOUS, money_sql, query, ratio_sql
 from tabulith.queries.totals import NOW, BEFORE, TWO
+from tabulith.session import cut_lineage
 from tabulith.sinks import tables as K
 from tabulith.sources.tables import fact_by_order, money_text, placed_orders, scan
 
 
+TWO_MONTHS = (PREVIOUS[0], CURRENT[1])
+
+
+def reporting_days(spark: SparkSession) -> DataFrame:
+    """The calendar that both periods have to cover: the first 20 weekdays of each month."""
+    return weekday_calendar(month_starts(spark, *TWO_MONTHS))
+
+
 def figures(spark: SparkSession, folder: str) -> DataFrame:
-    return B.figures(fact_by_order(spark, folder), NOW, BEFORE)
+    return B.figures(fact_by_order(spark, folder, TWO_MONTHS), NOW, BEFORE)
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,15 +167,24 @@ def expression_operands(spark, folder):
     return X.operands(B.proof_frame(metrics(spark, folder)))
 
 
-FINDINGS = f"""{FIGS}, x AS (SELECT *, (SELECT downtime_prev FROM figs WHERE entity = 'all') AS prior FROM f WHERE entity <> 'all'),
+FINDINGS = f"""{FIGS}, days AS (SELECT CAST(UNNEST(generate_series(DATE '{PREVIOUS[0]}', DATE '{CURRENT[1]}', INTERVAL 1 DAY)) AS DATE) AS date),
+ cal AS (SELECT date, ROW_NUMBER() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS rn FROM days WHERE isodow(date) < 6),
+ whole AS (SELECT COUNT(*) = 0 AS ok FROM cal WHERE rn <= 20 AND date NOT IN (SELECT date FROM ops)), x AS (SELECT *, (SELECT downtime_prev FROM figs WHERE entity = 'all') AS prior FROM f WHERE entity <> 'all'),
  found AS (SELECT 'finding-target-' || slug AS finding_id, 'divergence' AS kind, entity, 1 AS class_priority, ABS({ratio_sql('(revenue_cur - target_cur)', 'target_cur')}) AS magnitude FROM x
-   WHERE target_cur > 0 AND orders_prev > 0 AND (revenue_cur - target_cur) * 100 <= -5 * target_cur AND (orders_cur - orders_prev) * 100 >= 5 * orders_prev AND rows_cur >= 20
+   WHERE (SELECT ok FROM whole) AND target_cur > 0 AND orders_prev > 0 AND (revenue_cur - target_cur) * 100 <= -5 * target_cur AND (orders_cur - orders_prev) * 100 >= 5 * orders_prev AND rows_cur >= 20
   UNION ALL SELECT 'finding-downtime-' || slug, 'period-change', entity, 2, {ratio_sql('(downtime_cur - downtime_prev)', 'downtime_prev')} FROM x
-   WHERE downtime_prev > 0 AND ABS(downtime_cur - downtime_prev) * 10 >= downtime_prev AND ABS(downtime_cur - downtime_prev) * 20 >= prior AND rows_cur >= 20 AND rows_prev >= 20)"""
+   WHERE (SELECT ok FROM whole) AND downtime_prev > 0 AND ABS(downtime_cur - downtime_prev) * 10 >= downtime_prev AND ABS(downtime_cur - downtime_prev) * 20 >= prior AND rows_cur >= 20 AND rows_prev >= 20)"""
+
+
+def figures_and_findings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Figures of both periods, and the findings that complete periods allow."""
+    fact = cut_lineage(fact_by_order(spark, folder, TWO_MONTHS))
+    figs = B.figures(fact, NOW, BEFORE)
+    return figs, B.entity_findings(figs, B.both_complete(fact, NOW, BEFORE, reporting_days(spark)))
 
 
 def _entity_findings(spark, folder) -> DataFrame:
-    return B.entity_findings(figures(spark, folder))
+    return figures_and_findings(spark, folder)[1]
 
 
 @query("entity_findings", "E6 E7 A13", f"WITH {FINDINGS} SELECT * FROM found")
@@ -183,7 +202,7 @@ SELECT * FROM u ORDER BY class_priority, magnitude DESC, finding_id LIMIT 3""",
 )
 def findings_ranked(spark, folder):
     _, done = resolved(spark, folder)
-    whole = B.brief(fact_by_order(spark, folder), NOW, BEFORE, done)
+    whole = B.brief(fact_by_order(spark, folder, TWO_MONTHS), NOW, BEFORE, done, reporting_days(spark))
     return B.top_findings(whole.findings).select("finding_id", "kind", "entity", "class_priority", "magnitude")
 
 
@@ -214,9 +233,9 @@ LEFT JOIN (SELECT DISTINCT metric_id FROM claim) c ON c.metric_id = m.metric_id
 ORDER BY CASE WHEN c.metric_id IS NULL THEN 1 ELSE 0 END, m.entity, ordinal LIMIT 8""",
 )
 def headline_metrics(spark, folder):
-    figs = figures(spark, folder)
+    figs, found = figures_and_findings(spark, folder)
     m = B.metric_frame(figs, NOW, BEFORE)
-    return B.headline_metrics(m, B.entity_findings(figs), 8).select("metric_id", "entity")
+    return B.headline_metrics(m, found, 8).select("metric_id", "entity")
 
 
 @query(
@@ -227,9 +246,9 @@ def headline_metrics(spark, folder):
 SELECT c.finding_id, c.metric_id, c.metric_id || '-proof' AS proof_id, m.status FROM claim c JOIN metrics m ON m.metric_id = c.metric_id""",
 )
 def evidence_subject(spark, folder):
-    figs = figures(spark, folder)
+    figs, claimed = figures_and_findings(spark, folder)
     m = B.metric_frame(figs, NOW, BEFORE)
-    found, _ = E.resolve_references(B.entity_findings(figs), m.select("metric_id", "provenance_id", "status"), B.proof_frame(m))
+    found, _ = E.resolve_references(claimed, m.select("metric_id", "provenance_id", "status"), B.proof_frame(m))
     return found.select("finding_id", "metric_id", "proof_id", "status")
 
 
@@ -239,8 +258,8 @@ def evidence_subject(spark, folder):
     f"WITH {FINDINGS} SELECT 'chart-downtime-' || replace(lower(entity), ' ', '-') AS chart_id, 'current' AS key FROM found WHERE kind = 'period-change'",
 )
 def emphasised_points(spark, folder):
-    figs = figures(spark, folder)
-    return B.emphasised_points(B.downtime_chart(figs), B.entity_findings(figs))
+    figs, found = figures_and_findings(spark, folder)
+    return B.emphasised_points(B.downtime_chart(figs), found)
 
 
 @query(
@@ -306,7 +325,7 @@ BASE = f"""{OPS}, b AS (SELECT COALESCE(region, 'all') AS region, CAST(SUM(reven
 
 
 def _baseline(spark, folder) -> DataFrame:
-    now = fact_by_order(spark, folder).filter(F.col("date").between(*[F.lit(d).cast("date") for d in CURRENT]))
+    now = fact_by_order(spark, folder, CURRENT)
     return now.rollup("region").agg(F.sum("revenue").alias("revenue"), F.sum("cost").alias("cost")).withColumn(
         "region", F.coalesce("region", F.lit("all"))
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabulith.functions.dates import month_key, month_starts, trailing_months, weekday_calendar
 from tabulith.functions.decimals import ratio6
 from tabulith.operators import metrics, quantiles
-from tabulith.operators.scope import Scope, month_region_grid, period_completeness
+from tabulith.operators.scope import Scope, complete_periods, month_region_grid, period_completeness
 from tabulith.policy import POLICY
 from tabulith.queries.registry import (
     CURRENT,
@@ -38,7 +38,7 @@ def monthly(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def region_figures(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.two_periods(fact_by_order(spark, folder), "region", NOW, BEFORE, MEASURES, "rows")
+    return metrics.two_periods(fact_by_order(spark, folder, (PREVIOUS[0], CURRENT[1])), "region", NOW, BEFORE, MEASURES, "rows")
 
 
 @query(
@@ -67,7 +67,7 @@ def month_region_totals(spark, folder):
  CAST(SUM(downtime) AS BIGINT) AS downtime, COUNT(*) AS rows FROM ops WHERE {IN_CURRENT} GROUP BY ROLLUP(region)""",
 )
 def region_rollup(spark, folder):
-    now = fact_by_order(spark, folder).filter(F.col("date").between(*[F.lit(d).cast("date") for d in CURRENT]))
+    now = fact_by_order(spark, folder, CURRENT)
     sums = now.rollup("region").agg(
         F.sum("revenue").alias("revenue"), F.sum("downtime").alias("downtime"), F.sum("rows").alias("rows")
     )
@@ -196,7 +196,7 @@ SELECT region, {money_sql('r')} AS revenue, {money_sql('t')} AS target,
  CASE WHEN t > 0 THEN NULL ELSE 'metric.targetNonPositive' END AS reason, n AS rows FROM g""",
 )
 def target_gap(spark, folder):
-    now = fact_by_order(spark, folder).filter(F.col("date").between(*[F.lit(d).cast("date") for d in CURRENT]))
+    now = fact_by_order(spark, folder, CURRENT)
     sums = now.groupBy("region").agg(
         F.sum("revenue").alias("r"), F.sum("target").alias("t"), F.sum("rows").alias("rows")
     )
@@ -299,24 +299,37 @@ def _month_starts_frame(spark, folder) -> DataFrame:
 @query(
     "trend_four_months",
     "W4 W3 F9 J7 J8",
-    f"""WITH {MONTHLY}, ends AS (SELECT DISTINCT month_start AS end_month FROM m),
- grid AS (SELECT e.end_month, r.region, CAST(e.end_month - to_months(k.k) AS DATE) AS month_start
-   FROM ends e, (SELECT DISTINCT region FROM m) r, (SELECT UNNEST([0, 1, 2, 3]) AS k) k),
- v AS (SELECT g.*, COALESCE(m.revenue, 0) AS revenue, COALESCE(m.n, 0) AS n,
-   LAG(COALESCE(m.revenue, 0)) OVER (PARTITION BY g.end_month, g.region ORDER BY g.month_start) AS prev
-   FROM grid g LEFT JOIN m ON m.region = g.region AND m.month_start = g.month_start),
- s AS (SELECT end_month, region, MIN(n) AS least, MIN(SIGN(revenue - prev)) AS lo, MAX(SIGN(revenue - prev)) AS hi FROM v GROUP BY 1, 2)
-SELECT strftime(end_month, '%Y-%m') AS month, region, CASE WHEN lo > 0 THEN 'up' ELSE 'down' END AS direction
+    f"""WITH {OPS}, c AS (SELECT UNNEST(['revenue', 'target', 'cost']) AS measure),
+ m AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month_start, region, measure, COUNT(*) AS n,
+   SUM(CASE measure WHEN 'revenue' THEN revenue WHEN 'target' THEN target ELSE cost END) AS value FROM ops, c GROUP BY 1, 2, 3),
+ days AS (SELECT DISTINCT month_start, CAST(UNNEST(generate_series(month_start, last_day(month_start), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT month_start FROM m)),
+ cal AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY month_start ORDER BY date) AS rn FROM days WHERE isodow(date) < 6),
+ whole AS (SELECT month_start FROM cal WHERE rn <= 20 GROUP BY 1 HAVING COUNT(*) FILTER (WHERE date NOT IN (SELECT date FROM ops)) = 0),
+ ends AS (SELECT DISTINCT month_start AS end_month FROM m),
+ grid AS (SELECT e.end_month, r.region, c.measure, CAST(e.end_month - to_months(k.k) AS DATE) AS month_start
+   FROM ends e, (SELECT DISTINCT region FROM m) r, c, (SELECT UNNEST([0, 1, 2, 3]) AS k) k),
+ v AS (SELECT g.*, COALESCE(m.value, 0) AS value, CASE WHEN g.month_start IN (SELECT month_start FROM whole) THEN COALESCE(m.n, 0) ELSE 0 END AS n,
+   LAG(COALESCE(m.value, 0)) OVER (PARTITION BY g.end_month, g.region, g.measure ORDER BY g.month_start) AS prev
+   FROM grid g LEFT JOIN m ON m.region = g.region AND m.month_start = g.month_start AND m.measure = g.measure),
+ s AS (SELECT end_month, region, measure, MIN(n) AS least, MIN(SIGN(value - prev)) AS lo, MAX(SIGN(value - prev)) AS hi FROM v GROUP BY 1, 2, 3)
+SELECT strftime(end_month, '%Y-%m') AS month, region, measure, CASE WHEN lo > 0 THEN 'up' ELSE 'down' END AS direction
 FROM s WHERE least > 0 AND lo = hi AND lo <> 0""",
 )
 def trend_four_months(spark, folder):
-    m = cut_lineage(_month_starts_frame(spark, folder))
+    cash = ("revenue", "target", "cost")
+    daily = cut_lineage(fact_by_order(spark, folder).groupBy("date", "region").agg(*[F.sum(c).alias(c) for c in cash], F.sum("rows").alias("rows")))
+    m = daily.groupBy(F.trunc("date", "month").alias("month_start"), "region").agg(*[F.sum(c).alias(c) for c in cash], F.sum("rows").alias("rows"))
+    months = daily.select(F.trunc("date", "month").alias("month_start")).distinct()
+    spans = months.select(month_key(F.col("month_start")).alias("period"), F.col("month_start").alias("start"), F.last_day("month_start").alias("end"))
+    complete = complete_periods(daily, weekday_calendar(months), spans).select(F.col("start").alias("month_start"), "complete")
+    long = m.join(complete, "month_start").select(
+        "month_start", "region", "rows", "complete", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in cash])).alias("_v")
+    ).select("month_start", "region", "rows", "complete", "_v.measure", "_v.value")
     # Each month feeds the four windows that end at it or up to three months later.
-    ends = m.select("month_start").distinct().withColumnRenamed("month_start", "end_month")
-    spread = m.withColumn("end_month", F.explode(trailing_months(F.add_months("month_start", 3), 4)))
-    spread = spread.join(ends, "end_month", "left_semi").withColumn("complete", F.lit(True))
-    trends = metrics.monotonic_trend(spread, ["end_month", "region"], "revenue", POLICY.trend_periods)
-    return trends.select(month_key(F.col("end_month")).alias("month"), "region", "direction")
+    spread = long.withColumn("end_month", F.explode(trailing_months(F.add_months("month_start", 3), 4)))
+    spread = spread.join(months.withColumnRenamed("month_start", "end_month"), "end_month", "left_semi")
+    trends = metrics.monotonic_trend(spread, ["end_month", "region", "measure"], "value", POLICY.trend_periods)
+    return trends.select(month_key(F.col("end_month")).alias("month"), "region", "measure", "direction")
 
 
 def _quantile_sql(source: str, keys: str, value: str, scale: int) -> str:

@@ -90,16 +90,16 @@ def fact_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def fact_by_order(spark: SparkSession, folder: str) -> DataFrame:
+def fact_by_order(spark: SparkSession, folder: str, days: tuple[str, str] | None = None) -> DataFrame:
     """Operations fact pre-added to one row per order, with its line count.
 
     Every measure is additive, so lines are summed map-side before the join: an
     order that owned a third of all lines is one row by the time it is shuffled.
+    With ``days`` (first and last date) only the lines of orders placed then are added up.
     """
-    per_order = (
-        line_measures(spark, folder)
-        .groupBy("l_orderkey")
-        .agg(*[F.sum(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("rows"))
-    )
-    placed = placed_orders(spark, folder)
+    placed, lines = placed_orders(spark, folder), line_measures(spark, folder)
+    if days:
+        placed = placed.filter(F.col("date").between(*[F.lit(d).cast("date") for d in days]))
+        lines = lines.join(placed.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    per_order = lines.groupBy("l_orderkey").agg(*[F.sum(m).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("rows"))
     return placed.join(per_order, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
