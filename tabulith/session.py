@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,27 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application.
+
+    Workers import it by name; a driver that only extended its own ``sys.path`` would
+    leave them without it. A package that is installed on the cluster is found first.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tabulith_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tabulith-"), "tabulith.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("tabulith", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._tabulith_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
