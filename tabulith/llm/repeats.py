@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.induced import sorted_suffixes
 from tabulith.llm.joins import by_ids
-from tabulith.llm.words import _BYTE, U, arrow, batch, in_text, mix, pieces, powers
+from tabulith.llm.words import _BYTE, U, arrow, batch, in_text, mix, pieces, powers, span_hashes
 from tabulith.session import cut_lineage
 
 LENGTH = 50
@@ -185,6 +185,18 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return *out, np.frombuffer(raw, np.uint8, offset=place)
 
 
+def copies_of_smaller(data, start, size, whole, doc, order) -> np.ndarray:
+    """In ``order`` (equal hashes together, the smallest document first): is it a copy of a smaller document's passage?"""
+    first = np.ones(len(order), bool)
+    first[1:] = whole[order[1:]] != whole[order[:-1]]
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    out = np.zeros(len(order), bool)
+    for i in np.flatnonzero(~first & (doc[order] > doc[lead])):  # the same bytes, not only the same hash
+        a, b = order[i], lead[i]
+        out[i] = size[a] == size[b] and data[start[a] : start[a] + size[a]].tobytes() == data[start[b] : start[b] + size[b]].tobytes()
+    return out
+
+
 def passages(blocks: DataFrame, shared: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
     """Per block and shard: the passages whose windows may be repeats, and runs settled within the block.
 
@@ -215,31 +227,17 @@ def passages(blocks: DataFrame, shared: DataFrame, shards: int, length: int, gra
                     step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     upper, owner, start, count, hot = upper[place], owner[place], start[place] + step, np.where(hot, 1, count)[place], hot[place]
                 size = count + length - 1
-                whole = np.zeros(len(start), U)
-                if len(start):
-                    up, down = powers(len(data) + 1)
-                    sums = np.zeros(len(data) + 1, U)
-                    with np.errstate(over="ignore"):
-                        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-                        whole = mix((sums[start + size] - sums[start]) * down[start] + size.astype(U))
+                whole = span_hashes(data, start, start + size)
                 key = np.where(hot, whole, upper)
                 shard = (((mix(key) >> U(32)) * U(shards)) >> U(32)).astype(np.int64)
                 doc = ids[owner]
                 order = np.lexsort((doc, whole, shard))
-                first = np.ones(len(order), bool)
-                first[1:] = whole[order[1:]] != whole[order[:-1]]
-                # The same bytes, not only the same hash: compare with the group's first passage.
-                lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                rest = np.flatnonzero(~first)
-                equal = np.zeros(len(order), bool)
-                for i in rest:
-                    a, b = order[i], order[lead[i]]
-                    equal[i] = size[a] == size[b] and data[start[a] : start[a] + size[a]].tobytes() == data[start[b] : start[b] + size[b]].tobytes()
-                settled = order[equal & (doc[order] > doc[order[lead]])]
+                copied = copies_of_smaller(data, start, size, whole, doc, order)
+                settled = order[copied]
                 if len(settled):
                     spans = np.stack([start[settled], start[settled] + size[settled]], 1).astype(np.int32)
                     yield batch(schema, [-1], [row["block"]], [spans.tobytes()])
-                sent = order[~(equal & (doc[order] > doc[order[lead]]))]
+                sent = order[~copied]
                 cuts = np.searchsorted(shard[sent], np.arange(shards + 1))
                 for s in np.flatnonzero(np.diff(cuts)):
                     part = sent[cuts[s] : cuts[s + 1]]
@@ -271,6 +269,12 @@ def removed_runs(moved: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """Per block: the byte runs that a smaller document has too."""
     schema = arrow(REMOVED)
 
+    def runs_of(where, first, end):
+        by = np.argsort(where, kind="stable")
+        where, spans = where[by], np.stack([first[by], end[by]], 1).astype(np.int32)
+        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        yield batch(schema, where[cuts], [s.tobytes() for s in np.split(spans, cuts[1:])])
+
     def run(batches):
         got: dict[str, list] = {"block": [], "doc": [], "start": [], "size": [], "key": [], "data": []}
         for rows in batches:
@@ -294,19 +298,25 @@ def removed_runs(moved: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             part = order[i:j]
             at = np.concatenate([[0], np.cumsum(size[part])])
             own = np.arange(at[-1]) - np.repeat(at[:-1], size[part]) + np.repeat(begin[part], size[part])
-            passage, place = _repeated(data[own], at, doc[part], length)
+            text = data[own]
+            # What equals a passage of a smaller document goes whole; only distinct passages are sorted.
+            whole = span_hashes(text, at[:-1], at[1:])
+            order_in = np.lexsort((doc[part], whole))
+            copied = np.sort(order_in[copies_of_smaller(text, at[:-1], size[part], whole, doc[part], order_in)])
+            if len(copied):
+                yield from runs_of(block[part][copied], start[part][copied], start[part][copied] + size[part][copied])
+                left = np.ones(len(part), bool)
+                left[copied] = False
+                text, part = text[np.repeat(left, size[part])], part[left]
+                at = np.concatenate([[0], np.cumsum(size[part])])
+            passage, place = _repeated(text, at, doc[part], length)
             which = np.lexsort((place, passage))
             passage, first = passage[which], place[which] + start[part][passage[which]]
             if len(passage):
                 edge = np.concatenate([[True], (passage[1:] != passage[:-1]) | (first[1:] != first[:-1] + 1)])
                 heads = np.flatnonzero(edge)
                 tails = np.append(heads[1:] - 1, len(first) - 1)
-                where = block[part][passage[heads]]
-                spans = np.stack([first[heads], first[tails] + length], 1).astype(np.int32)
-                by = np.argsort(where, kind="stable")
-                where, spans = where[by], spans[by]
-                cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-                yield batch(schema, where[cuts], [s.tobytes() for s in np.split(spans, cuts[1:])])
+                yield from runs_of(block[part][passage[heads]], first[heads], first[tails] + length)
             i = j
 
     return moved.select("block", "payload").mapInArrow(run, REMOVED)
