@@ -35,7 +35,7 @@ END_ID = 2
 #: Partitions, then groups, whose leftovers one merging task repacks.
 FAN_IN = 32
 #: Words, and so memory, that a worker remembers at most (twice, in two generations).
-MEMORY = 250_000
+MEMORY = 120_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 PIECES = f"{SCHEMA}, part bigint, open boolean"
@@ -95,11 +95,16 @@ class WordIds:
         return [b"".join(map(get, words)) for words in split]
 
 
+    def forget(self) -> None:
+        """Give the words' memory back; the worker may go on with other work."""
+        self.young, self.old, self.stems = {}, {}, {}
+
+
 _encoders: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
-    """One per worker process, so that words stay known from task to task."""
+    """One per worker process, so that the vocabulary is read once."""
     if path not in _encoders:
         _encoders[path] = WordIds(path)
     return _encoders[path]
@@ -191,13 +196,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        encode, packer = encoder(tokenizer).encode, Packer(part << 32, capacity, windows)
+        words, packer = encoder(tokenizer), Packer(part << 32, capacity, windows)
         for rows, data, at in pieces(batches):
             raw = data.tobytes()
-            ids = encode([raw[at[i] : at[i + 1]] for i in range(len(at) - 1)])
+            ids = words.encode([raw[at[i] : at[i + 1]] for i in range(len(at) - 1)])
             for doc, one in zip(rows.column("doc_id").to_pylist(), ids, strict=True):
                 packer.add(doc, one + end)
             yield _rows(packer.take(), part, False)
+        words.forget()
         yield _rows(packer.left(), part, True)
 
     packed = cut_lineage(id_and_text(docs).mapInArrow(run, PIECES))

@@ -94,6 +94,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
             end = min(end, batch.num_rows)
             yield batch.slice(row, end - row), data[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+        del data, at, batch
+    pa.default_memory_pool().release_unused()
 
 
 class Words:
