@@ -64,6 +64,19 @@ def test_bands_keep_good_and_drop_bad(spark, data, docs):
     assert not any(r.kept for r in bands.compression_bands(frame).collect()) and mixed is not None
 
 
+def test_bands_keep_long_clean_texts(docs):
+    """A ratio that falls with length alone drops no text; a passage over and over is dropped at any length."""
+    for lang in ("en", "de", "fr", "es"):
+        text = "\n".join(dict.fromkeys(r.text for r in docs.filter(f"lang = '{lang}' and length(text) > 400").orderBy("doc_id").collect())).encode()
+        for size in (1 << 15, 1 << 17, 1 << 19, 1 << 20):
+            part = text[:size]
+            found = bands.judge(np.frombuffer(part, np.uint8), np.array([0, len(part)]))
+            assert found["in_bands"][0], (lang, size, found)
+    for unit, size in ((20, 128), (40, 256), (60, 512), (200, 2048), (600, 4096), (2000, 1 << 14), (2000, 1 << 20)):
+        again = (text[:unit] * (size // unit + 1))[:size]
+        assert not bands.judge(np.frombuffer(again, np.uint8), np.array([0, size]))["in_bands"][0], (unit, size)
+
+
 def test_kept_documents(odd):
     kept = {r.doc_id for r in bands.compression_bands(odd).collect() if r.kept}
     rows = bands.kept_documents(odd)
