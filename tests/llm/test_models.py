@@ -139,6 +139,21 @@ def test_licenses(spark, docs, odd, empty):
     assert licenses.license_labels(empty).collect() == []
 
 
+def test_relatives_are_not_the_license(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {}"
+    cc = "This work is licensed under a Creative Commons {} 4.0 International License"
+    mit = licenses.TEMPLATES["mit"][1]
+    half = mit.split(", to any person ")
+    cases = [
+        (gpl.format("General Public", 3), "gpl-3"), (gpl.format("General Public", 2), ""), (gpl.format("Lesser General Public", 3), ""), (gpl.format("Affero General Public", 3), ""),
+        ("This work is licensed under the GNU General Public License, version 2.", ""), (cc.format("Attribution-NonCommercial"), "cc-by-nc"), (cc.format("Attribution"), ""),
+        (cc.format("Attribution-ShareAlike"), ""), (cc.format("Attribution-NonCommercial-ShareAlike"), ""), (mit, "mit"), (mit.replace("deal in", "deal with"), ""),
+        ("x y z " + mit.replace("Permission", "Leave").replace("files, to", 'files (the "Software"), to') + ", including", "mit"), (half[1] + " " + half[0], ""), ("All rights reserved. " * 2000, "all-rights-reserved"),
+    ]
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.license_labels(frame).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_license_plan_is_native(docs):
     plan = licenses.license_labels(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
