@@ -68,6 +68,31 @@ def test_mixture(docs, monkeypatch):
     assert held[0] > held[1]
 
 
+@pytest.mark.parametrize("known", [300, 1 << 18])
+def test_every_context_has_its_own_counts(docs, monkeypatch, known):
+    seen = {}
+    monkeypatch.setattr(interpolation, "mixture_weights", lambda cells, uniform, f=interpolation.mixture_weights: seen.update(cells=cells) or seen.setdefault("w", f(cells, uniform)))
+    scores = {r.doc_id: r.score for r in interpolation.lm_scores(docs, known=known).collect()}
+    rows = [(r.doc_id, tokens(r.text)) for r in docs.collect()]
+    train = [(i, t) for i, t in rows if fold(i, 7) != 2]
+    single, pairs, contexts, octaves = Counter(w for _, t in train for w in t), Counter(), Counter(), Counter()
+    for _, t in train:
+        pairs.update(zip([None, *t], t))
+        contexts.update([None, *t[:-1]])
+    estimate = Counter(v for i, t in train if fold(i, 7) != 3 for v in [None, *t[:-1]])
+    for i, t in train:
+        if fold(i, 7) == 3:
+            octaves.update(1 + int(math.log2(max(estimate[v], 1))) for v in [None, *t[:-1]])
+    n, v = sum(single.values()), len(single)
+    assert octaves == Counter({o: int(seen["cells"][seen["cells"][:, 0] == o, 3].sum()) for o in set(seen["cells"][:, 0].tolist())})
+    for i, t in rows[:60]:
+        total = 0.0
+        for a, b in zip([None, *t], t):
+            w = seen["w"][1 + int(math.log2(max(contexts[a], 1)))]
+            total += math.log10(w[0] * pairs[a, b] / max(contexts[a], 1) + w[1] * single[b] / n + w[2] / (v + 1))
+        assert total == pytest.approx(scores[i], rel=1e-6)
+
+
 def test_weights_are_learned():
     # In octave 3 the pair share explains the held-out counts, in octave 5 the word share does.
     step = interpolation._step
