@@ -8,8 +8,8 @@ of their sources, likewise give the root.
 A level is one self-join: each node asks for its siblings by their computed places
 (for two children a place is XORed with 1, else the slot is shifted within the run),
 and the rows in slot zero, who then know their whole run, emit the parents. Both
-sides lie by run, so that the join and the gathering of a node's siblings need one
-exchange of digests. All trees go up together; a finished tree stays behind. Levels
+sides lie by run, so that the join and the gathering of a node's siblings need no
+other exchange than that of the nodes themselves. All trees go up together; a finished tree stays behind. Levels
 above the leaves are tables in the shared folder. Paths are then handed down from the
 top: a parent's path is read once by each of its children, so a leaf is joined to
 its siblings and to one row of its parent, and is folded up to the root in place.
@@ -106,16 +106,18 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def _siblings(nodes: DataFrame, arity: int) -> DataFrame:
-    """Nodes with the digests left and right of them in their run, by one equijoin on computed sibling places."""
-    slot = F.pmod("place", F.lit(arity))
+    """Nodes with the digests left and right of them in their run, by one equijoin on the run that their place computes to.
+
+    Which of the run's places are siblings is the second half of the computed index
+    (the slot shifted by 1 to ``arity`` - 1, XOR 1 for two children). It is tested
+    inside the join: as a join key of its own it would cost every digest a further
+    exchange for each sibling.
+    """
     by_run = nodes.withColumn("run", F.floor(F.col("place") / arity)).repartition("tree", "run")
-    if arity == 2:
-        asked = F.array(F.col("place").bitwiseXOR(F.lit(1).cast("long")))
-    else:
-        asked = F.transform(F.sequence(F.lit(1), F.lit(arity - 1)), lambda k: F.col("place") - slot + F.pmod(slot + k, F.lit(arity)))
-    asking = by_run.withColumn("asked", F.explode_outer(F.filter(asked, lambda p: p < F.col("n"))))  # a run of one has no sibling to ask
-    answers = by_run.select("tree", "run", F.col("place").alias("asked"), F.col("digest").alias("other"))
-    met = asking.join(answers, ["tree", "run", "asked"], "left")
+    own = by_run.select("*")
+    other = by_run.select(F.col("tree").alias("_tree"), F.col("run").alias("_run"), F.col("place").alias("asked"), F.col("digest").alias("other"))
+    shift = F.col("asked").bitwiseXOR(F.col("place")) == 1 if arity == 2 else F.pmod(F.col("asked") - F.col("place"), F.lit(arity)) > 0
+    met = own.join(other, (F.col("tree") == F.col("_tree")) & (F.col("run") == F.col("_run")) & shift, "left")
     keep = [c for c in nodes.columns if c not in ("tree", "place")]
     gathered = met.groupBy("tree", "run", "place").agg(*[F.first(c).alias(c) for c in keep], F.sort_array(F.collect_list(F.struct("asked", "other"))).alias("run_of"))
     side = lambda test: F.transform(F.filter("run_of", test), lambda x: x["other"])
