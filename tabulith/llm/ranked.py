@@ -42,7 +42,7 @@ from tabulith.session import cut_lineage
 
 K = 50
 #: Words of queries in one block, bytes of text in one segment, postings up to which an interval is scored outright, intervals of a query opened at once.
-BLOCK_WORDS, SEGMENT, SHORT, WIDTH, SALTS = 200_000, 4 << 20, 96, 8, 64
+BLOCK_WORDS, SEGMENT, SHORT, WIDTH, SALTS = 200_000, 2 << 20, 96, 8, 64
 
 SEGMENTS = "docs binary, lengths binary, postings binary, counts binary, cuts binary"
 FOUND = "number int, doc_id bigint, score bigint, salt int"
