@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.operators.ordinals import page, page_blocks, with_ordinal
-from tabulith.operators.spans import expand_spans, join_spans, to_spans
+from tabulith.operators.ordinals import running_total, with_ordinal
+from tabulith.operators.spans import combine, expand_spans, join_spans, to_spans
 from tabulith.policy import POLICY
 from tabulith.session import cut_lineage
 
@@ -40,23 +41,73 @@ def absent_sample(rows: DataFrame, spans: DataFrame, key: str, k: int = 5) -> Da
     return counts.join(head, key)
 
 
-def evidence_page(rows: DataFrame, spans: DataFrame, offset: int, size: int) -> DataFrame:
+def selection_index(spans: DataFrame, keys: Sequence[str] = (), present: DataFrame | None = None) -> DataFrame:
+    """(keys, start, end, first): a selection's spans with the number of their first row, as a written table.
+
+    The lengths of the spans are added up in their order, so the directory answers
+    which span holds the n-th row and how many rows lie before a span. It is sorted by
+    ``first``: a reader of a few rows reads one row group of it. With ``present``, the
+    spans of the rows a table holds, absent rows are left out.
+    """
+    keys = list(keys)
+    if present is not None:
+        spans = combine(spans, present, keys, "intersect", shared=True)
+    length = F.col("end") - F.col("start") + 1
+    numbered = running_total(cut_lineage(spans.select(*keys, "start", "end")), "start", length, "_upto", keys)
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = numbered.select(*keys, "start", "end", (F.col("_upto") - length + 1).alias("first"))
+    return cut_lineage(placed.repartitionByRange(parts, *keys, "first").sortWithinPartitions(*keys, "first"))
+
+
+#: Row ranges of a page that are pushed into the scan; nearer ones are taken together.
+PAGE_RANGES = 16
+
+
+def page_ranges(index: DataFrame, offset: int, size: int) -> tuple[list[tuple[int, int]], int]:
+    """(row ranges, total): the row numbers of one page of an index of one selection, and all its rows.
+
+    Every span that is read holds a row of the page, so there are at most ``size`` of them.
+    """
+    total = index.agg(F.coalesce(F.max(F.col("first") + F.col("end") - F.col("start")), F.lit(0))).first()[0]
+    last = F.col("first") + F.col("end") - F.col("start")
+    touched = index.filter((F.col("first") <= offset + size) & (last > offset)).select("start", "end", "first").collect()
+    ranges = []
+    for start, end, first in sorted(tuple(r) for r in touched):
+        low, high = max(start, start + offset + 1 - first), min(end, start + offset + size - first)
+        ranges.append((low, high))
+    return ranges, total
+
+
+def _within(key: Column, ranges: list[tuple[int, int]]) -> Column:
+    """A predicate on a stored column that prunes row groups and then keeps exactly the wanted rows."""
+    gaps = sorted(range(1, len(ranges)), key=lambda i: ranges[i][0] - ranges[i - 1][1], reverse=True)[: PAGE_RANGES - 1]
+    cuts = [0, *sorted(gaps), len(ranges)]
+    coarse = [(ranges[a][0], ranges[b - 1][1]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+    near = reduce(Column.__or__, [key.between(lo, hi) for lo, hi in coarse], F.lit(False))
+    if len(coarse) == len(ranges):
+        return near
+    return near & key.isin([n for lo, hi in ranges for n in range(lo, hi + 1)])
+
+
+def evidence_page(rows: DataFrame, index: DataFrame, offset: int, size: int, key: str = "source_row", shift: int = 0) -> DataFrame:
     """One page of the rows behind a selection, with total and next offset.
 
-    Beyond the end the page is empty. One pass counts the covered rows per block,
-    which gives the total and the page's blocks; a second one fetches the rows.
+    ``index`` is the ``selection_index`` of one selection; ``key`` the stored column that
+    is the row number less ``shift``. The page's row numbers are read off the index and
+    pushed into the scan of ``rows``: nothing is joined or shuffled. Beyond the end the
+    page is empty.
     """
     if offset < 0:
         raise PageError(f"offset must not be negative: {offset}")
     if not 1 <= size <= POLICY.max_page:
         raise PageError(f"page size must be 1..{POLICY.max_page}: {size}")
-    covered = join_spans(rows, spans.select("start", "end")).select(*rows.columns)
-    blocks = cut_lineage(page_blocks(covered, "source_row"))
-    total = blocks.agg(F.coalesce(F.sum("_inside"), F.lit(0)).alias("n")).scalar()
-    slice_ = page(covered, "source_row", offset, size, blocks)
-    following = F.lit(offset + size)
-    return slice_.withColumn("total", total).withColumn(
-        "next_offset", F.when(following < F.col("total"), following)
+    ranges, total = page_ranges(index, offset, size)
+    page = rows.filter(_within(F.col(key), [(lo - shift, hi - shift) for lo, hi in ranges]))
+    following = offset + sum(hi - lo + 1 for lo, hi in ranges)
+    number = (F.col(key).cast("long") + shift).alias("source_row")
+    return page.select(
+        number, *[c for c in rows.columns if c not in (key, "source_row")], F.lit(total).cast("long").alias("total"),
+        F.lit(following if following < total else None).cast("int").alias("next_offset"),
     )
 
 
@@ -160,8 +211,3 @@ def resolve_references(findings: DataFrame, metrics: DataFrame, proofs: DataFram
     )
     dangling = wanted.join(metrics, "metric_id", "left_anti").select("finding_id", "metric_id")
     return found, dangling
-
-
-def in_first_seen_order(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Distinct keys with the smallest position at which each was seen."""
-    return df.groupBy(key).agg(F.min(F.struct(*order)).alias("first_seen"))

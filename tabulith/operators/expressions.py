@@ -1,4 +1,4 @@
-"""The closed metric grammar: figures defined as data, compiled to columns.
+"""The closed metric grammar: figures defined as data (``proofs`` evaluates them).
 
 A definition is a nested dict. Operators: ``literal`` (value), ``metric``
 (metric_id), ``sum`` (selection_id, field), ``count-rows`` (selection_id),
@@ -13,22 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import (
-    combine_limbs,
-    dec_add,
-    dec_div,
-    dec_mul,
-    dec_sub,
-    is_decimal,
-    is_zero,
-    limb_aggregates,
-    results_agree,
-    with_exact_parts,
-)
+from tabulith.functions.decimals import combine_limbs, is_decimal, limb_aggregates, with_exact_parts
 from tabulith.operators.spans import join_spans
 
 Expression = Mapping[str, object]
-ARITHMETIC = {"add": dec_add, "subtract": dec_sub, "multiply": dec_mul, "divide": dec_div}
 
 
 def literal(value: str) -> dict:
@@ -47,49 +35,6 @@ def binary(op: str, left: Expression, right: Expression) -> dict:
     return {"op": op, "left": left, "right": right}
 
 
-def _undefined(reason: str) -> tuple[Column, Column]:
-    return F.lit(None).cast("string"), F.lit(reason)
-
-
-def compile_expression(
-    expr: Expression,
-    definitions: Mapping[str, Expression],
-    leaf,
-    active: tuple[str, ...] = (),
-) -> tuple[Column, Column]:
-    """(value, reason) columns for an expression.
-
-    ``definitions`` maps a metric id to its defining expression, so a reference
-    is inlined down to leaves; a reference back to an active id is a cycle.
-    ``leaf(kind, *args)`` returns the (value, reason) columns of a sum or count.
-    """
-    op = expr["op"]
-    if op == "literal":
-        ok = is_decimal(F.lit(expr["value"]))
-        return F.when(ok, F.lit(expr["value"])), F.when(~ok, F.lit("literal.invalid"))
-    if op == "metric":
-        id_ = expr["metric_id"]
-        if id_ in active:
-            return _undefined("metric.cycle")
-        if id_ not in definitions:
-            return _undefined("metric.missing")
-        return compile_expression(definitions[id_], definitions, leaf, (*active, id_))
-    if op == "sum":
-        return leaf("sum", expr["selection_id"], expr["field"])
-    if op == "count-rows":
-        return leaf("count-rows", expr["selection_id"])
-    if op == "count-issues":
-        return leaf("count-issues", expr["set_id"])
-    if op not in ARITHMETIC:
-        raise ValueError(f"unknown operator {op!r}")
-    lv, lr = compile_expression(expr["left"], definitions, leaf, active)
-    rv, rr = compile_expression(expr["right"], definitions, leaf, active)
-    reason = F.coalesce(lr, rr)
-    if op == "divide":
-        reason = F.coalesce(reason, F.when(is_zero(rv), F.lit("divideByZero")))
-    return ARITHMETIC[op](lv, rv), reason
-
-
 def selection_leaves(rows: DataFrame, spans: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Per selection: exact sums of ``fields``, rows present, declared and non-decimal.
 
@@ -123,49 +68,6 @@ def selection_leaves(rows: DataFrame, spans: DataFrame, fields: Sequence[str]) -
     )
 
 
-def recompute(
-    definitions: Mapping[str, Expression],
-    leaves: DataFrame,
-    issue_counts: DataFrame | None = None,
-) -> DataFrame:
-    """(metric_id, value, reason) of every definition from its leaves.
-
-    ``leaves`` has one small row per (selection, field); it is folded into one
-    map so that every definition is an expression over a single row.
-    """
-    key = F.concat_ws("|", "selection_id", "field")
-    rows = F.col("declared").cast("string")
-    one = leaves.agg(
-        F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.struct("value", "reason").alias("v")))).alias("_leaf"),
-        F.map_from_entries(F.collect_set(F.struct("selection_id", rows.alias("d")))).alias("_rows"),
-    )
-    if issue_counts is not None:
-        packed = issue_counts.agg(
-            F.map_from_entries(F.collect_list(F.struct("set_id", F.struct("value", "reason")))).alias("m")
-        )
-        one = one.withColumn("_issues", packed.select("m").scalar())
-
-    def leaf(kind: str, *args: str) -> tuple[Column, Column]:
-        if kind == "sum":
-            entry = F.try_element_at("_leaf", F.lit("|".join(args)))
-            return entry["value"], F.when(entry.isNull(), F.lit("selection.missing")).otherwise(entry["reason"])
-        if kind == "count-rows":
-            n = F.try_element_at("_rows", F.lit(args[0]))
-            return n, F.when(n.isNull(), F.lit("selection.missing"))
-        if issue_counts is None:
-            return _undefined("issueIds.missing")
-        entry = F.try_element_at("_issues", F.lit(args[0]))
-        return entry["value"], F.when(entry.isNull(), F.lit("issueIds.missing")).otherwise(entry["reason"])
-
-    packed = []
-    for id_ in definitions:
-        value, reason = compile_expression(metric(id_), definitions, leaf)
-        packed.append(
-            F.struct(F.lit(id_).alias("metric_id"), F.when(reason.isNull(), value).alias("value"), reason.alias("reason"))
-        )
-    return one.select(F.explode(F.array(*packed)).alias("r")).select("r.*")
-
-
 def issue_set_counts(members: DataFrame, ledger: DataFrame) -> DataFrame:
     """(set_id, value, reason) for issue sets: repeats and unknown ids are undefined."""
     known = ledger.select("issue_id").distinct().withColumn("_known", F.lit(True))
@@ -178,16 +80,6 @@ def issue_set_counts(members: DataFrame, ledger: DataFrame) -> DataFrame:
     return sums.select("set_id", F.when(reason.isNull(), F.col("_n").cast("string")).alias("value"), reason.alias("reason"))
 
 
-def arithmetic_mismatches(stated: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Stated figures whose recomputation differs or is undefined: (metric_id, rule)."""
-    r = recomputed.select("metric_id", F.col("value").alias("_v"), F.col("reason").alias("_r"))
-    joined = stated.filter(F.col("status") == "defined").join(r, "metric_id", "left")
-    rule = F.when(F.col("_r").isNotNull() | F.col("_v").isNull(), "metric.evaluate").when(
-        ~results_agree(F.col("value"), F.col("_v")), "metric.value.mismatch"
-    )
-    return joined.withColumn("rule", rule).filter("rule is not null").select("metric_id", "rule")
-
-
 # --- expressions stored as JSON text ---------------------------------------
 
 

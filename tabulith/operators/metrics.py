@@ -3,103 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import (
-    LIMBS_PER_SIDE,
-    combine_limbs,
-    format_scale,
-    fraction_scale,
-    is_decimal,
-    limb_aggregates,
-    ratio6,
-    with_exact_parts,
-)
+from tabulith.functions.decimals import ratio6
+from tabulith.operators.figures import SumSpec, scoped_sums
 from tabulith.operators.ordinals import null_safe_join, running_total, with_ordinal
 from tabulith.operators.scope import Scope, in_scope
 from tabulith.operators.skew import hot_keys, salted_join
 from tabulith.table import ColumnInfo
 
 
-@dataclass(frozen=True)
-class SumSpec:
-    """One wanted figure: a field summed over a scope under a shared mask."""
-
-    id: str
-    field: str
-    scope: Scope
-    mask: tuple[str, ...] = ()
-
-
-def scoped_sums(
-    rows: DataFrame, specs: Sequence[SumSpec], date: Column | None, region: Column | None
-) -> DataFrame:
-    """(metric_id, value, eligible_rows, total_rows, scale) for every spec.
-
-    Each row is tagged with the set of specs it is in scope of and eligible for
-    (two bit sets); one map-side aggregation per distinct tag sums every field
-    once, and the specs are then read off that handful of tags. The cost does not
-    grow with the number of specs. Values are exact decimal texts padded to the
-    widest input scale; missing or non-decimal cells are not eligible, never zero.
-    """
-    if len(specs) > 62:
-        raise ValueError("at most 62 figures per scan")
-    fields = sorted({s.field for s in specs})
-    checked = sorted({f for s in specs for f in (s.field, *s.mask)})
-    none = F.lit(0).cast("long")
-    inside = [in_scope(s.scope, date, region) for s in specs]
-    scoped = none
-    for i, test in enumerate(inside):
-        scoped = scoped.bitwiseOR(F.when(test, F.lit(1 << i).cast("long")).otherwise(none))
-    tagged = rows.select(
-        scoped.alias("_t"), *checked, *[is_decimal(F.col(f)).alias(f"_ok_{f}") for f in checked]
-    ).filter(F.col("_t") != 0)
-    eligible = none
-    for i, s in enumerate(specs):
-        ok = F.lit(True)
-        for f in (s.field, *s.mask):
-            ok = ok & F.col(f"_ok_{f}")
-        bit = F.lit(1 << i).cast("long")
-        eligible = eligible.bitwiseOR(F.when(ok, bit).otherwise(none).bitwiseAND(F.col("_t")))
-    tagged = tagged.withColumn("_e", eligible)
-
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for k, f in enumerate(fields):
-        tagged = with_exact_parts(tagged, F.col(f), F.col(f"_ok_{f}"), f"_x{k}")
-        aggs += limb_aggregates(f"_x{k}", f"f{k}_")
-        aggs.append(F.max(F.when(F.col(f"_ok_{f}"), fraction_scale(F.col(f)))).alias(f"s{k}"))
-    per_tag = tagged.groupBy("_t", "_e").agg(*aggs)
-
-    limbs = range(2 * LIMBS_PER_SIDE)
-    entries = ", ".join(
-        f"struct({i} as i, _e & {1 << i}L <> 0 as e, _t & {1 << i}L <> 0 as t, s{k} as s, "
-        f"array({', '.join(f'f{k}_{p}' for p in limbs)}) as limbs)"
-        for i, k in ((i, fields.index(s.field)) for i, s in enumerate(specs))
-    )
-    flat = per_tag.select("_n", F.expr(f"explode(array({entries})) as x")).select("_n", "x.*")
-    counted = flat.groupBy("i").agg(
-        *[F.expr(f"sum(cast(if(e, limbs[{p}], null) as decimal(28,0))) as v{p}") for p in limbs],
-        F.expr("sum(if(e, _n, 0)) as eligible_rows"),
-        F.expr("sum(if(t, _n, 0)) as total_rows"),
-        F.expr("max(if(e, s, 0)) as scale"),
-    )
-    # A spec no row fell in still has a figure: zero over zero rows.
-    declared = rows.sparkSession.createDataFrame(list(enumerate(s.id for s in specs)), "i int, metric_id string")
-    full = declared.join(counted, "i", "left").withColumn("_x", F.coalesce(combine_limbs("v"), F.lit("0")))
-    scale = F.coalesce("scale", F.lit(0))
-    return full.select(
-        "metric_id",
-        format_scale(F.col("_x"), scale).alias("value"),
-        F.coalesce("eligible_rows", F.lit(0)).alias("eligible_rows"),
-        F.coalesce("total_rows", F.lit(0)).alias("total_rows"),
-        scale.alias("scale"),
-    )
-
-
 def summed_measures(columns: Sequence[ColumnInfo], declared_labels: Sequence[str]) -> list[str]:
     """Measures a generic analysis may add up: declared, confirmed, additive, numeric."""
     return [

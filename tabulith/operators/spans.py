@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import span_token
-from tabulith.operators.ordinals import BLOCK_BITS, block_of, null_safe_join
+from tabulith.operators.ordinals import BLOCK_BITS, block_of, null_safe_join, running_total
+from tabulith.session import cut_lineage
 
 LEVELS = (BLOCK_BITS, 2 * BLOCK_BITS, 62)
 
@@ -115,6 +116,50 @@ def join_spans(rows: DataFrame, spans: DataFrame, row: str = "source_row") -> Da
     return r.join(s, inside).drop("_cell", "_lo", "_hi")
 
 
+SIDE = 31
+
+
+def combine(a: DataFrame, b: DataFrame | None, keys: Sequence[str], op: str, shared: bool = False) -> DataFrame:
+    """Set algebra on spans: ``union``, ``intersect`` or ``difference`` (a without b) per key, as canonical spans.
+
+    The ends of all spans are swept in their order: how many spans of either side are
+    open is a running total over the blocks of row numbers, and the result opens and
+    closes where the wanted relation of the two turns true or false. The n-th opening
+    belongs to the n-th closing. Spans may overlap, touch and repeat; no window holds
+    more than a block and no row is expanded. With ``shared`` the side ``b`` has no
+    keys and stands against every key of ``a`` (its parts within a key's reach only).
+    """
+    keys = list(keys)
+    if b is not None and shared:
+        b = _near(a, b, keys)
+
+    def ends(spans: DataFrame, weight: int) -> DataFrame:
+        edge = lambda at, step: F.struct(at.cast("long").alias("at"), F.lit(step).cast("long").alias("step"))
+        return spans.select(*keys, F.explode(F.array(edge(F.col("start"), weight), edge(F.col("end") + 1, -weight))).alias("e")).select(*keys, "e.*")
+
+    # Both depths in one number: a's in the low bits, b's above them.
+    swept = ends(a, 1) if b is None else ends(a, 1).unionByName(ends(b, 1 << SIDE))
+    # A running total reads its rows twice, so the ends, and later the turns, are written first.
+    at = cut_lineage(swept.groupBy(*keys, "at").agg(F.sum("step").alias("step")).filter("step <> 0"))
+    depth = running_total(at, "at", F.col("step"), "depth", keys)
+    in_a = lambda d: d.bitwiseAND(F.lit((1 << SIDE) - 1)) > 0
+    in_b = lambda d: F.shiftright(d, SIDE) > 0
+    test = {"union": lambda d: in_a(d) | in_b(d), "intersect": lambda d: in_a(d) & in_b(d), "difference": lambda d: in_a(d) & ~in_b(d)}[op]
+    turns = cut_lineage(depth.select(*keys, "at", test(F.col("depth") - F.col("step")).alias("_was"), test(F.col("depth")).alias("_is")).filter("_was <> _is"))
+    paired = running_total(turns, "at", F.col("_is").cast("long"), "_nth", keys)
+    return paired.groupBy(*keys, "_nth").agg(F.min("at").alias("start"), (F.max("at") - 1).alias("end")).drop("_nth")
+
+
+def _near(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The parts of ``b`` that lie in a block some key of ``a`` has spans in, once per such key."""
+    reach = F.explode(F.sequence(block_of(F.col("start")), block_of(F.col("end")))).alias("_block")
+    asked = a.select(*keys, reach).distinct()
+    cut = b.select("start", "end", reach)
+    low = F.shiftleft(F.col("_block"), BLOCK_BITS)
+    parts = cut.select("_block", F.greatest("start", low).alias("start"), F.least("end", low + ((1 << BLOCK_BITS) - 1)).alias("end"))
+    return asked.join(parts, "_block").select(*keys, "start", "end")
+
+
 def check_spans(spans: DataFrame, declared: DataFrame, key: str) -> DataFrame:
     """Violations of canonical form: (key, rule, start).
 

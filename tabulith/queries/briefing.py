@@ -18,7 +18,7 @@ from tabulith.operators.metrics import axis_domain
 from tabulith.operators.scope import Scope
 from tabulith.plans import briefing as B
 from tabulith.queries.quality import CLEAN, LEDGER, RESOLVED, resolved
-from tabulith.queries.registry import CURRENT, IN_CURRENT, IN_PREVIOUS, OPS, PLACED, PREVIOUS, money_sql, query, ratio_sql
+from tabulith.queries.registry import CURRENT, IN_CURRENT, IN_PREVIOUS, OPS, PLACED, PREVIOUS, long_division_sql, money_sql, query, ratio_sql
 from tabulith.queries.totals import NOW, BEFORE, TWO
 from tabulith.session import cut_lineage
 from tabulith.sinks import tables as K
@@ -108,23 +108,6 @@ def briefing_metrics(spark, folder):
     return m.select("entity", "metric_id", "label", "unit", plain.alias("value"), "ratio", "status", "eligible_rows")
 
 
-def _long_division_sql(num: str, den: str) -> str:
-    """40 significant digits, half-up, of two positive whole numbers below 10^18.
-
-    Three 18-digit fraction limbs are divided out, the first 40 significant digits
-    kept and a final carry applied in two halves.
-    """
-    return f"""l0 AS (SELECT id, ABS(n) // d AS q0, ABS(n) % d AS r0, d, n < 0 AS neg FROM nd),
- l1 AS (SELECT *, r0 * {10**18} // d AS f1, r0 * {10**18} % d AS r1 FROM l0), l2 AS (SELECT *, r1 * {10**18} // d AS f2, r1 * {10**18} % d AS r2 FROM l1),
- l3 AS (SELECT *, r2 * {10**18} // d AS f3 FROM l2),
- dg AS (SELECT id, neg, q0, CAST(q0 AS VARCHAR) AS whole, lpad(CAST(f1 AS VARCHAR), 18, '0') || lpad(CAST(f2 AS VARCHAR), 18, '0') || lpad(CAST(f3 AS VARCHAR), 18, '0') AS frac FROM l3),
- kp AS (SELECT *, CASE WHEN q0 > 0 THEN 40 - length(whole) ELSE 40 + length(frac) - length(ltrim(frac, '0')) END AS places FROM dg),
- cut AS (SELECT *, CAST('1' || substr(frac, 1, places - 20) AS HUGEINT) AS hi, CAST('1' || substr(frac, places - 19, 20) AS HUGEINT)
-   + CASE WHEN substr(frac, places + 1, 1) >= '5' THEN 1 ELSE 0 END AS lo FROM kp),
- car AS (SELECT *, hi + CASE WHEN lo >= {2 * 10**20} THEN 1 ELSE 0 END AS h2, CASE WHEN lo >= {2 * 10**20} THEN lo - {10**20} ELSE lo END AS l2 FROM cut),
- out AS (SELECT id, CASE WHEN neg THEN '-' ELSE '' END || rtrim(rtrim(whole || '.' || substr(CAST(h2 AS VARCHAR), 2) || substr(CAST(l2 AS VARCHAR), 2), '0'), '.') AS value FROM car)"""
-
-
 @query(
     "exact_quotients",
     "F5 A5 A6 A7",
@@ -133,7 +116,7 @@ def _long_division_sql(num: str, den: str) -> str:
   UNION ALL SELECT slug || '-orders-change', orders_cur - orders_prev, orders_prev FROM f WHERE orders_prev > 0
   UNION ALL SELECT slug || '-downtime-change', downtime_cur - downtime_prev, downtime_prev FROM f WHERE downtime_prev > 0
   UNION ALL SELECT slug || '-margin', revenue_cur - cost_cur, revenue_cur FROM f WHERE revenue_cur > 0),
- {_long_division_sql('n', 'd')} SELECT id AS metric_id, value FROM out""",
+ {long_division_sql()} SELECT id AS metric_id, value FROM out""",
 )
 def exact_quotients(spark, folder):
     return metrics(spark, folder).filter("unit = 'ratio' and status = 'defined'").select("metric_id", "value")

@@ -163,23 +163,6 @@ def summary_reconciled(spark, folder):
     return C.one_row_equal(claimed, expected, "qualitySummary")
 
 
-@query(
-    "proof_arithmetic",
-    "V10 E2 F21",
-    f"""WITH {FIGS} SELECT slug || '-current-orders' AS metric_id, 'metric.value.mismatch' AS rule FROM f WHERE rows_cur % 2 = 0
- UNION ALL SELECT slug || '-current-downtime', 'metric.evaluate' FROM f""",
-)
-def proof_arithmetic(spark, folder):
-    m = metrics(spark, folder).select("metric_id", "value", "status", "eligible_rows")
-    off = F.col("metric_id").endswith("-current-orders") & (F.col("eligible_rows") % 2 == 0)
-    again = m.select(
-        "metric_id",
-        F.when(~F.col("metric_id").endswith("-current-downtime"), F.when(off, F.concat("value", F.lit("1"))).otherwise(F.col("value"))).alias("value"),
-        F.when(F.col("metric_id").endswith("-current-downtime"), "row.missing").alias("reason"),
-    )
-    return X.arithmetic_mismatches(m, again)
-
-
 @query(
     "source_range_checks",
     "V15",

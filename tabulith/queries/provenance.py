@@ -11,8 +11,9 @@ from tabulith.operators import ledger as L
 from tabulith.operators import normalize as N
 from tabulith.operators import spans as S
 from tabulith.operators.ordinals import with_ordinal
+from tabulith.operators.proofs import evaluate_proofs, proof_rows
 from tabulith.queries.quality import CLEAN, LEDGER, RESOLVED, resolved, typed_messy_sheet
-from tabulith.queries.registry import query, ratio_sql
+from tabulith.queries.registry import long_division_sql, query, ratio_sql
 from tabulith.session import cut_lineage
 from tabulith.sources.tables import scan
 
@@ -118,8 +119,24 @@ def span_tokens(spark, folder):
 SELECT source_row, user_id, total, CASE WHEN 500 < total THEN 500 END AS next_offset FROM c WHERE n BETWEEN 301 AND 500""",
 )
 def evidence_page(spark, folder):
-    spans = event_spans(spark, folder).filter("event_type = 'view'")
-    return E.evidence_page(event_rows(spark, folder).select("source_row", "user_id"), spans, 300, 200)
+    views = event_rows(spark, folder).filter("event_type = 'view'")
+    index = E.selection_index(S.to_spans(views, "source_row", distinct=False))
+    rows = scan(spark, folder, "events").select("event_id", "user_id")
+    return E.evidence_page(rows, index, 300, 200, "event_id", shift=2)
+
+
+@query(
+    "evidence_page_present",
+    "T3 J5 E4",
+    """WITH c AS (SELECT event_type, event_id + 2 AS source_row, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY event_id) AS n, COUNT(*) OVER (PARTITION BY event_type) AS total
+  FROM events WHERE event_id % 10 <> 3)
+SELECT event_type, "start", "end", first FROM (SELECT event_type, MIN(source_row) AS "start", MAX(source_row) AS "end", MIN(n) AS first
+  FROM (SELECT *, source_row - ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY source_row) AS g FROM c) GROUP BY event_type, g)""",
+)
+def evidence_page_present(spark, folder):
+    """The directories of all selections at once, over a table that lost every tenth row."""
+    kept = event_rows(spark, folder).filter((F.col("source_row") - 2) % 10 != 3)
+    return E.selection_index(event_spans(spark, folder), ["event_type"], S.to_spans(kept, "source_row", distinct=False))
 
 
 @query(
@@ -263,6 +280,12 @@ def _proof_parts(spark, folder):
     return definitions, leaves, counts
 
 
+def _evaluated(spark, folder) -> DataFrame:
+    definitions, leaves, counts = _proof_parts(spark, folder)
+    stated = spark.createDataFrame([(k, f"{k}-proof", "defined") for k in definitions], "metric_id string, provenance_id string, status string")
+    return evaluate_proofs(stated, proof_rows(spark, {f"{k}-proof": v for k, v in definitions.items()}), cut_lineage(leaves), counts)
+
+
 PROOF = f"""{CLEAN}, h AS (SELECT * FROM clean WHERE regexp_matches(amount, '^[0-9]+\\.50$') AND regexp_matches(score, '^[0-9]+$')),
  s AS (SELECT SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE status = 'O') AS o, SUM(CAST(amount AS DECIMAL(18,2))) FILTER (WHERE status = 'F') AS f,
    SUM(CAST(score AS BIGINT)) FILTER (WHERE status = 'O') AS sc, COUNT(*) FILTER (WHERE status = 'O') AS n FROM h),
@@ -274,7 +297,8 @@ PROOF = f"""{CLEAN}, h AS (SELECT * FROM clean WHERE regexp_matches(amount, '^[0
 @query(
     "proof_recompute",
     "E1 E2 F5 V10 E11",
-    f"""WITH {PROOF} SELECT 'open-amount' AS metric_id, ot AS value, NULL AS reason FROM fmt UNION ALL SELECT 'done-amount', ft, NULL FROM fmt
+    f"""WITH {PROOF}, nd AS (SELECT 'gap' AS id, CAST((o - f) * 10 AS HUGEINT) AS n, CAST(f * 10 AS HUGEINT) AS d FROM s UNION ALL SELECT 'per-row', CAST(sc AS HUGEINT), CAST(n AS HUGEINT) FROM s),
+ {long_division_sql()} SELECT id AS metric_id, value, NULL AS reason FROM out UNION ALL SELECT 'open-amount', ot, NULL FROM fmt UNION ALL SELECT 'done-amount', ft, NULL FROM fmt
  UNION ALL SELECT 'open-score', CAST(sc AS VARCHAR), NULL FROM fmt UNION ALL SELECT 'open-rows', CAST(n AS VARCHAR), NULL FROM fmt
  UNION ALL SELECT 'scaled', rtrim(rtrim(CAST(CAST(o * 1.08 AS DECIMAL(30,4)) AS VARCHAR), '0'), '.'), NULL FROM fmt
  UNION ALL SELECT 'by-zero', NULL, 'divideByZero' UNION ALL SELECT 'loop', NULL, 'metric.cycle' UNION ALL SELECT 'loop-back', NULL, 'metric.cycle'
@@ -283,8 +307,7 @@ PROOF = f"""{CLEAN}, h AS (SELECT * FROM clean WHERE regexp_matches(amount, '^[0
  UNION ALL SELECT 'repeated-ids', NULL, 'issueIds.duplicate'""",
 )
 def proof_recompute(spark, folder):
-    definitions, leaves, counts = _proof_parts(spark, folder)
-    return X.recompute(definitions, leaves, counts).filter(~F.col("metric_id").isin("gap", "per-row"))
+    return _evaluated(spark, folder)
 
 
 @query(
@@ -294,8 +317,6 @@ def proof_recompute(spark, folder):
  UNION ALL SELECT 'per-row', {ratio_sql('sc', 'n')} FROM fmt""",
 )
 def proof_ratios(spark, folder):
-    definitions, leaves, counts = _proof_parts(spark, folder)
-    r = X.recompute(definitions, leaves, counts).filter(F.col("metric_id").isin("gap", "per-row"))
+    r = _evaluated(spark, folder).filter(F.col("metric_id").isin("gap", "per-row"))
     # The recomputed value carries 40 digits; six are compared here.
-    value = F.round(F.substring("value", 1, 36).cast("decimal(38,30)"), 6).cast("double")
-    return r.select("metric_id", value.alias("ratio"))
+    return r.select("metric_id", F.round(F.col("value").cast("decimal(38,30)"), 6).cast("double").alias("ratio"))
