@@ -116,30 +116,27 @@ def scoped_sums(rows: DataFrame, specs: Sequence[SumSpec], date: Column | None,
     if not specs:
         return spark.createDataFrame([], "metric_id string, value string, eligible_rows long, total_rows long, scale int")
     cells = Cells(specs, date, region)
-    staged = cells.rows(rows)
-    aggs, wides = [F.count(F.lit(1)).alias("_n")], []
-    for k, f in enumerate(cells.fields):
-        staged = with_exact_parts(staged, F.col(f"`{f}`"), F.col(f"_ok_{f}"), f"_x{k}")
-        wide = F.when(F.col(f"_x{k}_w").isNotNull(), F.concat(F.when(F.col(f"_x{k}_s") < 0, "-").otherwise("+"), F.col(f"_x{k}_w")))
-        wides.append(wide.alias(f"_w{k}"))
-        aggs += [F.sum(F.col(f"_x{k}_{p}").cast("decimal(28,0)")).alias(f"_{p}{k}") for p in ("i", "f")]
-        aggs.append(F.max(F.when(F.col(f"_ok_{f}"), fraction_scale(F.col(f"`{f}`")))).alias(f"_s{k}"))
-    groups = staged.groupBy("_day", "_place", "_bits", *wides).agg(*aggs)
+    wanted = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f).alias("text"), F.col(f"_ok_{f}").alias("ok")) for k, f in enumerate(cells.fields)])
+    staged = cells.rows(rows).select("_day", "_place", "_bits", F.explode(wanted).alias("x")).select("_day", "_place", "_bits", "x.*")
+    staged = with_exact_parts(staged, F.col("text"), F.col("ok"), "_x")
+    wide = F.when(F.col("_x_w").isNotNull(), F.concat(F.when(F.col("_x_s") < 0, "-").otherwise("+"), F.col("_x_w")))
+    groups = staged.groupBy("_day", "_place", "_bits", "field", wide.alias("_w")).agg(
+        F.count("*").alias("_n"), *[F.sum(F.col(f"_x_{p}").cast("decimal(28,0)")).alias(f"_{p}") for p in ("i", "f")],
+        F.max(F.when(F.col("ok"), fraction_scale(F.col("text")))).alias("_s"),
+    )
 
     # From here on rows are as few as days, regions and patterns of missing cells.
-    def limb(k: int, p: int) -> str:
-        near = {LIMBS_PER_SIDE - 1: f"_i{k}", LIMBS_PER_SIDE: f"_f{k}"}.get(p, "cast(0 as decimal(28,0))")
-        wide = f"cast(concat(substring(_w{k}, 1, 1), substring(_w{k}, {p * LIMB + 2}, {LIMB})) as decimal(19,0)) * _n"
-        return f"cast(if(_w{k} is null, coalesce({near}, 0), {wide}) as decimal(38,0))"
+    def limb(p: int) -> str:
+        near = {LIMBS_PER_SIDE - 1: "_i", LIMBS_PER_SIDE: "_f"}.get(p, "cast(0 as decimal(28,0))")
+        far = f"cast(concat(substring(_w, 1, 1), substring(_w, {p * LIMB + 2}, {LIMB})) as decimal(19,0)) * _n"
+        return f"cast(if(_w is null, coalesce({near}, 0), {far}) as decimal(38,0))"
 
     limbs = range(2 * LIMBS_PER_SIDE)
-    per_field = ", ".join(f"named_struct('s', _s{k}, 'limbs', array({', '.join(limb(k, p) for p in limbs)}))" for k in range(len(cells.fields)))
-    known = groups.select(cells.interval().alias("interval"), "_place", "_bits", "_n", F.expr(f"array({per_field})").alias("_fields"))
-    known = known.select("interval", F.explode(F.array(F.lit(ANY), "_place")).alias("_place"), "_bits", "_n", "_fields")
-    met = cells.table(spark).join(known, ["interval", "_place"]).withColumn("e", _eligible()).withColumn("x", F.col("_fields")[F.col("field")])
+    known = groups.select(cells.interval().alias("interval"), F.explode(F.array(F.lit(ANY), "_place")).alias("_place"), "_bits", "field", "_n", "_s", F.expr(f"array({', '.join(map(limb, limbs))})").alias("_limbs"))
+    met = cells.table(spark).join(known, ["interval", "_place", "field"]).withColumn("e", _eligible())
     counted = met.groupBy("i").agg(
-        *[F.expr(f"sum(if(e, x.limbs[{p}], null)) as v{p}") for p in limbs],
-        F.expr("sum(if(e, _n, 0)) as eligible_rows"), F.sum("_n").alias("total_rows"), F.expr("max(if(e, x.s, 0)) as scale"),
+        *[F.expr(f"sum(if(e, _limbs[{p}], null)) as v{p}") for p in limbs],
+        F.expr("sum(if(e, _n, 0)) as eligible_rows"), F.sum("_n").alias("total_rows"), F.expr("max(if(e, _s, 0)) as scale"),
     )
     # A spec no row fell in still has a figure: zero over zero rows.
     declared = spark.createDataFrame(list(enumerate(s.id for s in specs)), schema)
