@@ -40,6 +40,8 @@ def spread_files(files: DataFrame, parts: int | None = None) -> DataFrame:
 
 
 RECORD_BATCH = 20_000
+#: Bytes of a record that the reader of split files puts together.
+RECORD_BYTES = 64 << 20
 RECORD_SCHEMA = "file_id string, ordinal long, start_line long, end_line long, fields array<string>"
 _RECORD_ARROW = pa.schema(
     [("file_id", pa.string()), ("ordinal", pa.int64()), ("start_line", pa.int64()), ("end_line", pa.int64()),
@@ -126,15 +128,19 @@ def ends_quoted(value: Column, delimiter: str) -> tuple[Column, Column]:
     return from_start, from_quoted
 
 
-def read_large(lines: DataFrame, delimiter: str) -> DataFrame:
-    """Records of numbered lines: the form of ``read_records`` for huge files, with the same result.
+PIECES = "file_id string, record long, line long, piece int, text string, closed int"
+_PIECE_ARROW = pa.schema(
+    [("file_id", pa.string()), ("record", pa.int64()), ("line", pa.int64()), ("piece", pa.int32()), ("text", pa.string()), ("closed", pa.int32())]
+)
+
+
+def _stated_lines(lines: DataFrame, delimiter: str) -> DataFrame:
+    """Lines with the number of their record and whether they start inside a quoted field.
 
     Each line is a step of a two-state automaton (at a record's start, or inside a
     quoted field). A line either forces a state or leaves it or swaps it, so the state
     before a line is what the last forcing line left, turned by the swaps since; both
-    are running totals, taken block by block. Only the lines of one record ever meet;
-    a quote that is never closed makes the rest of its file one record, as it does for
-    any reader.
+    are running totals, taken block by block.
     """
     from_start, from_quoted = ends_quoted(F.col("value"), delimiter)
     steps = lines.withColumns({"_a": from_start, "_b": from_quoted})
@@ -147,24 +153,66 @@ def read_large(lines: DataFrame, delimiter: str) -> DataFrame:
     first = own.filter("_last = 0").select("*", F.lit(0).cast("long").alias("_state"), F.lit(0).cast("long").alias("_until"))
     rest = own.filter("_last > 0").join(left, ["file_id", "_last"]).select(*first.columns)
     before = F.pmod(F.col("_state") + F.col("_swapped") - F.col("_swaps") - F.col("_until"), F.lit(2))
-    opening = first.unionByName(rest).select("file_id", "line", "value", "ending", (before == 0).cast("long").alias("_opens"))
-    tagged = running_total(opening, "line", F.col("_opens"), "_record", ["file_id"])
-    grouped = tagged.groupBy("file_id", "_record").agg(
-        F.min("line").alias("start_line"),
-        F.max("line").alias("end_line"),
-        F.sort_array(F.collect_list(F.struct("line", F.concat("value", "ending").alias("value")))).alias("_lines"),
-    )
-    text = F.array_join(F.transform("_lines", lambda x: x["value"]), "")
-    whole = grouped.select("file_id", "start_line", "end_line", text.alias("text"))
+    opening = cut_lineage(first.unionByName(rest).select("file_id", "line", F.concat("value", "ending").alias("text"), (before == 0).cast("long").alias("_opens")))
+    return running_total(opening, "line", F.col("_opens"), "record", ["file_id"])
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((f["file_id"], f["start_line"], f["end_line"], x) for f in _files(batches) for _, _, x in _records(f["text"], delimiter))
-        return _batches(rows, pa.schema([f for f in _RECORD_ARROW if f.name != "ordinal"]))
 
-    parsed = whole.mapInArrow(parse, "file_id string, start_line long, end_line long, fields array<string>")
-    return running_total(parsed, "start_line", F.lit(1).cast("long"), "ordinal", ["file_id"]).select(
-        "file_id", "ordinal", "start_line", "end_line", "fields"
+def _cut_into_pieces(delimiter: str):
+    """One line at a time: the pieces of fields it holds, and how many fields end before its last piece."""
+
+    def pieces(text: str, inside: bool) -> list[str]:
+        return next(csv.reader([('"' + text) if inside else text], delimiter=delimiter), [])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        csv.field_size_limit(sys.maxsize)
+        for f in _files(batches):
+            found = pieces(f["text"], not f["_opens"])
+            for i, text in enumerate(found):
+                yield f["file_id"], f["record"], f["line"], i, text, len(found) - 1 if i == 0 else 0
+            if not found:
+                yield f["file_id"], f["record"], f["line"], 0, None, 0
+
+    return lambda batches: _batches(rows(batches), _PIECE_ARROW)
+
+
+def field_pieces(lines: DataFrame, delimiter: str) -> DataFrame:
+    """(file_id, record, field, line, text): what each line of numbered text adds to a field.
+
+    The pieces of a field, in the order of their lines, are its value. A task holds one
+    line; no record or field is ever gathered, so a quote that is never closed costs no
+    more than its lines. ``field`` counts from 0 in its record: it is the number of
+    fields that ended in the record's earlier lines, a running total less its value
+    where the record opens. A blank line gives one null piece.
+    """
+    cut = cut_lineage(_stated_lines(lines, delimiter).mapInArrow(_cut_into_pieces(delimiter), PIECES))
+    per_line = cut.filter("piece = 0").select("file_id", "record", "line", "closed")
+    ended = cut_lineage(running_total(per_line, "line", F.col("closed").cast("long"), "_ended", ["file_id"]).withColumn("_ended", F.col("_ended") - F.col("closed")))
+    opened = ended.groupBy("file_id", "record").agg(F.min("_ended").alias("_from"))
+    based = ended.join(opened, ["file_id", "record"]).select("file_id", "line", (F.col("_ended") - F.col("_from")).alias("_base"))
+    return cut.join(based, ["file_id", "line"]).select("file_id", "record", (F.col("_base") + F.col("piece")).cast("int").alias("field"), "line", "text")
+
+
+def read_large(lines: DataFrame, delimiter: str, max_bytes: int = RECORD_BYTES) -> DataFrame:
+    """Records of numbered lines: the form of ``read_records`` for huge files, with the same result.
+
+    Fields are put together from their pieces, records from their fields. A record of
+    more than ``max_bytes`` (what an unclosed quote makes of the rest of its file) is
+    never gathered: it has its place and lines, null for ``fields`` and ``oversized``;
+    its pieces stay readable through ``field_pieces``.
+    """
+    pieces = cut_lineage(field_pieces(lines, delimiter))
+    records = pieces.groupBy("file_id", "record").agg(
+        F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("_bytes"),
+        # What counts as blank is what Python strips.
+        F.bool_or(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")).alias("_there"),
     )
+    kept = cut_lineage(running_total(records.filter("_there"), "start_line", F.lit(1).cast("long"), "ordinal", ["file_id"]))
+    fits = kept.filter(F.col("_bytes") <= max_bytes).select("file_id", "record")
+    fields = pieces.join(fits, ["file_id", "record"]).groupBy("file_id", "record", "field").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("_p"))
+    value = F.array_join(F.transform("_p", lambda x: x["text"]), "")
+    whole = fields.select("file_id", "record", "field", value.alias("text")).groupBy("file_id", "record").agg(F.sort_array(F.collect_list(F.struct("field", "text"))).alias("_f"))
+    whole = whole.select("file_id", "record", F.transform("_f", lambda x: x["text"]).alias("fields"))
+    return kept.join(whole, ["file_id", "record"], "left").select("file_id", "ordinal", "start_line", "end_line", "fields", (F.col("_bytes") > max_bytes).alias("oversized"))
 
 
 # --- votes -----------------------------------------------------------------

@@ -90,6 +90,25 @@ def test_large_reader_loses_nothing(spark, tmp_path):
     assert got == sorted((r["file_id"], r["ordinal"], r["start_line"], r["end_line"], r["fields"]) for r in small.collect())
 
 
+def test_an_unclosed_quote_is_never_gathered(spark, tmp_path):
+    """The rest of the file is one field: its pieces are its lines, and its record is told, not built."""
+    lines = ["a,b", '1,"two', 'lines",x', '2,"never closed', *[f'{i},"" {i}' for i in range(5_000)]]
+    text = "\n".join(lines) + "\n"
+    (tmp_path / "open.csv").write_text(text)
+    numbered = cut_lineage(D.numbered_lines(spark, str(tmp_path)))
+    whole = [r["fields"] for r in D.read_records(spark.createDataFrame([("open", text)], "file_id string, text string"), ",").orderBy("ordinal").collect()]
+    pieces = D.field_pieces(numbered, ",").collect()
+    built = {}
+    for r in sorted(pieces, key=lambda r: (r["record"], r["field"], r["line"])):
+        built.setdefault(r["record"], {}).setdefault(r["field"], []).append(r["text"])
+    assert [["".join(parts) for _, parts in sorted(f.items())] for _, f in sorted(built.items())] == whole
+    assert max(len(r["text"]) for r in pieces) < 30
+    got = D.read_large(numbered, ",", max_bytes=1_000).orderBy("ordinal").collect()
+    assert [(r["start_line"], r["end_line"], r["fields"], r["oversized"]) for r in got] == [
+        (1, 1, ["a", "b"], False), (2, 3, ["1", "two\nlines", "x"], False), (4, 5_004, None, True),
+    ]
+
+
 def test_digits_are_not_rounded(spark):
     texts = ["0.0010000000000000000001", "0.001", "1234567890123456789012345", "0.3000000000000000000001", "0.3", "-0.3", "0.30000", "1e3", "0.0005"]
     df = spark.createDataFrame([(t,) for t in texts], "s string")
