@@ -228,11 +228,11 @@ def selection_violations(selections: DataFrame, spans: DataFrame, rows: DataFram
     ``fields``: field; ``excluded``: selection_id, row_id. A spanned row that the table
     does not hold, an unknown source or field, a row count that the spans do not give,
     and an excluded row that contributes are violations. Rows are held against spans
-    as sets of intervals, never one by one.
+    as sets of intervals, never one by one; an excluded row id of another sheet is told too.
     """
     text = lambda c: c.cast("string").alias("detail")
     refs = selections.join(sources, "source_ref", "left_anti").select("selection_id", F.lit("selection.sourceRef").alias("rule"), text(F.col("source_ref")))
-    unknown = selections.join(fields, "field", "left_anti").select("selection_id", F.lit("selection.field").alias("rule"), text(F.col("field")))
+    unknown = selections.join(fields, "field", "left_anti").select("selection_id", F.lit("selection.fieldId").alias("rule"), text(F.col("field")))
     counted = span_summary(spans, ["selection_id"]).select("selection_id", F.col("row_count").alias("found"))
     counts = selections.join(counted, "selection_id", "left").filter(~F.coalesce("found", F.lit(0)).eqNullSafe(F.col("row_count")))
     counts = counts.select("selection_id", F.lit("selection.rowCount").alias("rule"), text(F.coalesce("found", F.lit(0))))
@@ -243,8 +243,9 @@ def selection_violations(selections: DataFrame, spans: DataFrame, rows: DataFram
     out = excluded.withColumn("start", F.regexp_extract("row_id", f"^{sheet_id}:R([0-9]+)\\z", 1).try_cast("long")).withColumn("end", F.col("start"))
     both = combine(spans, to_spans(out.filter("start is not null"), "start", ["selection_id"]), ["selection_id"], "intersect")
     inside = both.groupBy("selection_id").agg(F.sum(F.col("end") - F.col("start") + 1).alias("n"))
-    inside = inside.select("selection_id", F.lit("selection.excluded.contributes").alias("rule"), text(F.col("n")))
-    return refs.unionByName(unknown).unionByName(counts).unionByName(gone).unionByName(inside)
+    inside = inside.select("selection_id", F.lit("selection.exclusion.contributing").alias("rule"), text(F.col("n")))
+    foreign = out.filter("start is null").select("selection_id", F.lit("selection.exclusion.id").alias("rule"), text(F.col("row_id")))
+    return refs.unionByName(unknown).unionByName(counts).unionByName(gone).unionByName(inside).unionByName(foreign)
 
 
 def require_selections(wanted: DataFrame, proofs: DataFrame) -> DataFrame:

@@ -309,9 +309,8 @@ def brief(fact: DataFrame, current: Scope, previous: Scope, ledger: DataFrame |
     """The whole analysis of one fact and, optionally, its quality ledger.
 
     Findings that compare periods are withheld unless both cover ``calendar`` (date, period);
-    without one, each has to have a row.
+    without one, each has to have a row. ``fact`` is read twice, for the figures and the days.
     """
-    fact = cut_lineage(fact)
     figs = figures(fact, current, previous)
     metrics = metric_frame(figs, current, previous)
     days = calendar if calendar is not None else fact.select("date").limit(0)

@@ -150,29 +150,48 @@ def expression_operands(spark, folder):
     return X.operands(B.proof_frame(metrics(spark, folder)))
 
 
-FINDINGS = f"""{FIGS}, days AS (SELECT CAST(UNNEST(generate_series(DATE '{PREVIOUS[0]}', DATE '{CURRENT[1]}', INTERVAL 1 DAY)) AS DATE) AS date),
- cal AS (SELECT date, ROW_NUMBER() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS rn FROM days WHERE isodow(date) < 6),
- whole AS (SELECT COUNT(*) = 0 AS ok FROM cal WHERE rn <= 20 AND date NOT IN (SELECT date FROM ops)), x AS (SELECT *, (SELECT downtime_prev FROM figs WHERE entity = 'all') AS prior FROM f WHERE entity <> 'all'),
- found AS (SELECT 'finding-target-' || slug AS finding_id, 'divergence' AS kind, entity, 1 AS class_priority, ABS({ratio_sql('(revenue_cur - target_cur)', 'target_cur')}) AS magnitude FROM x
-   WHERE (SELECT ok FROM whole) AND target_cur > 0 AND orders_prev > 0 AND (revenue_cur - target_cur) * 100 <= -5 * target_cur AND (orders_cur - orders_prev) * 100 >= 5 * orders_prev AND rows_cur >= 20
-  UNION ALL SELECT 'finding-downtime-' || slug, 'period-change', entity, 2, {ratio_sql('(downtime_cur - downtime_prev)', 'downtime_prev')} FROM x
-   WHERE (SELECT ok FROM whole) AND downtime_prev > 0 AND ABS(downtime_cur - downtime_prev) * 10 >= downtime_prev AND ABS(downtime_cur - downtime_prev) * 20 >= prior AND rows_cur >= 20 AND rows_prev >= 20)"""
+_CALENDARS = {
+    "weekdays": "SELECT date FROM (SELECT date, ROW_NUMBER() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS rn FROM days WHERE isodow(date) < 6) WHERE rn <= 20",
+    "trading": f"SELECT DISTINCT date FROM ops WHERE {IN_CURRENT} OR {IN_PREVIOUS}",
+}
+
+
+def _findings_sql(*calendars: str) -> str:
+    """Findings under each calendar that the two months cover; with one calendar the column that names it is left out."""
+    days = " UNION ALL ".join(f"SELECT '{c}' AS calendar, date FROM ({_CALENDARS[c]})" for c in calendars)
+    name = ", calendar" if len(calendars) > 1 else ""
+    return f"""{FIGS}, days AS (SELECT CAST(UNNEST(generate_series(DATE '{PREVIOUS[0]}', DATE '{CURRENT[1]}', INTERVAL 1 DAY)) AS DATE) AS date),
+ cal AS ({days}), whole AS (SELECT calendar, COUNT(*) FILTER (WHERE date NOT IN (SELECT date FROM ops)) = 0 AS ok FROM cal GROUP BY 1),
+ x AS (SELECT f.*, whole.calendar, (SELECT downtime_prev FROM figs WHERE entity = 'all') AS prior FROM f, whole WHERE entity <> 'all' AND ok),
+ found AS (SELECT 'finding-target-' || slug AS finding_id, 'divergence' AS kind, entity, 1 AS class_priority, ABS({ratio_sql('(revenue_cur - target_cur)', 'target_cur')}) AS magnitude{name} FROM x
+   WHERE target_cur > 0 AND orders_prev > 0 AND (revenue_cur - target_cur) * 100 <= -5 * target_cur AND (orders_cur - orders_prev) * 100 >= 5 * orders_prev AND rows_cur >= 20
+  UNION ALL SELECT 'finding-downtime-' || slug, 'period-change', entity, 2, {ratio_sql('(downtime_cur - downtime_prev)', 'downtime_prev')}{name} FROM x
+   WHERE downtime_prev > 0 AND ABS(downtime_cur - downtime_prev) * 10 >= downtime_prev AND ABS(downtime_cur - downtime_prev) * 20 >= prior AND rows_cur >= 20 AND rows_prev >= 20)"""
+
+
+FINDINGS = _findings_sql("trading")
+
+
+def trading_days(fact: DataFrame) -> DataFrame:
+    """The calendar of a business that reports on the days it trades."""
+    return fact.select("date").distinct()
 
 
 def figures_and_findings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Figures of both periods, and the findings that complete periods allow."""
     fact = cut_lineage(fact_by_order(spark, folder, TWO_MONTHS))
     figs = B.figures(fact, NOW, BEFORE)
-    return figs, B.entity_findings(figs, B.both_complete(fact, NOW, BEFORE, reporting_days(spark)))
+    return figs, B.entity_findings(figs, B.both_complete(fact, NOW, BEFORE, trading_days(fact)))
 
 
-def _entity_findings(spark, folder) -> DataFrame:
-    return figures_and_findings(spark, folder)[1]
-
-
-@query("entity_findings", "E6 E7 A13", f"WITH {FINDINGS} SELECT * FROM found")
+@query("entity_findings", "E6 E7 A13", f"WITH {_findings_sql('trading', 'weekdays')} SELECT * FROM found")
 def entity_findings(spark, folder):
-    return _entity_findings(spark, folder).select("finding_id", "kind", "entity", "class_priority", "magnitude")
+    """Under the days of trade the periods are complete; under a calendar of weekdays one day without orders withholds everything."""
+    fact = cut_lineage(fact_by_order(spark, folder, TWO_MONTHS))
+    figs = B.figures(fact, NOW, BEFORE)
+    both = [(name, B.entity_findings(figs, B.both_complete(fact, NOW, BEFORE, days))) for name, days in (("trading", trading_days(fact)), ("weekdays", reporting_days(spark)))]
+    named = [f.select("finding_id", "kind", "entity", "class_priority", "magnitude", F.lit(name).alias("calendar")) for name, f in both]
+    return named[0].unionByName(named[1])
 
 
 @query(
@@ -185,7 +204,8 @@ SELECT * FROM u ORDER BY class_priority, magnitude DESC, finding_id LIMIT 3""",
 )
 def findings_ranked(spark, folder):
     _, done = resolved(spark, folder)
-    whole = B.brief(fact_by_order(spark, folder, TWO_MONTHS), NOW, BEFORE, done, reporting_days(spark))
+    fact = cut_lineage(fact_by_order(spark, folder, TWO_MONTHS))
+    whole = B.brief(fact, NOW, BEFORE, done, trading_days(fact))
     return B.top_findings(whole.findings).select("finding_id", "kind", "entity", "class_priority", "magnitude")
 
 
@@ -514,7 +534,7 @@ def text_sink_guard(spark, folder):
     f"WITH {FINDINGS} SELECT finding_id, 'limitations.noCausality' AS message_key, 'info' AS tone FROM found",
 )
 def finding_caveats(spark, folder):
-    return E.subject_caveats(_entity_findings(spark, folder))
+    return E.subject_caveats(figures_and_findings(spark, folder)[1])
 
 
 @query(

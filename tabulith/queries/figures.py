@@ -151,10 +151,11 @@ def excluded_rows(spark, folder):
  gone AS (SELECT selection_id, COUNT(*) AS n, MIN(source_row) AS first FROM m WHERE source_row % 50 = 9 GROUP BY 1),
  inside AS (SELECT selection_id, COUNT(*) AS n FROM m WHERE source_row % 500 = 8 GROUP BY 1)
 SELECT selection_id, 'selection.sourceRef' AS rule, 'other.csv' AS detail FROM o WHERE k = 1
-UNION ALL SELECT selection_id, 'selection.field', 'remark' FROM o WHERE k = 2
+UNION ALL SELECT selection_id, 'selection.fieldId', 'remark' FROM o WHERE k = 2
 UNION ALL SELECT selection_id, 'selection.rowCount', CAST(row_count AS VARCHAR) FROM o WHERE k = 3
 UNION ALL SELECT selection_id, 'selection.row.missing', n || ' from ' || first FROM gone
-UNION ALL SELECT selection_id, 'selection.excluded.contributes', CAST(n AS VARCHAR) FROM inside""",
+UNION ALL SELECT selection_id, 'selection.exclusion.contributing', CAST(n AS VARCHAR) FROM inside
+UNION ALL SELECT selection_id, 'selection.exclusion.id', 'S9:R1' FROM o WHERE k = 4""",
 )
 def selection_checks(spark, folder):
     """Planted: a foreign source, an unknown field, a wrong count, lost rows, excluded rows that count."""
@@ -170,6 +171,7 @@ def selection_checks(spark, folder):
         rows.filter("source_row % 500 = 8").select(F.concat(F.lit("S0:R"), "source_row").alias("row_id"), F.col("status")),
         F.substring("selection_id", 1, 1) == F.col("status"),
     ).select("selection_id", "row_id")
+    planted = planted.unionByName(spark.createDataFrame([(sorted(k)[3], "S9:R1")], "selection_id string, row_id string"))
     sources = spark.createDataFrame([("orders.csv",)], "source_ref string")
     fields = spark.createDataFrame([("amount",), ("score",)], "field string")
     return G.selection_violations(heads, spans, rows.filter("source_row % 50 <> 9"), sources, fields, e.excluded.unionByName(planted))
