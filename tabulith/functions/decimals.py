@@ -262,6 +262,16 @@ def dec_div(a: pd.Series, b: pd.Series) -> pd.Series:
     return _pairwise(a, b, lambda x, y: None if y == 0 else plain(forty.divide(x, y)))
 
 
+@F.pandas_udf(T.StringType())
+def dec_quantize(value: pd.Series, places: pd.Series) -> pd.Series:
+    """A decimal text with exactly ``places`` fraction digits, rounded half-up."""
+
+    def one(x, p):
+        return None if x is None or pd.isna(p) else format(pydec.Decimal(x).quantize(pydec.Decimal(1).scaleb(-int(p)), context=_WIDE), "f")
+
+    return pd.Series([one(x, p) for x, p in zip(value, places)], dtype=object)
+
+
 def ratio6(num: Column, den: Column) -> Column:
     """Ratio rounded half-up to six places as a double; null for a zero divisor.
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import compare_decimal, is_decimal, is_multiple_of, ratio6
+from tabulith.functions.decimals import compare_decimal, dec_add, dec_div, dec_mul, dec_quantize, dec_sub, fraction_scale, is_decimal, is_multiple_of, ratio6
+from tabulith.functions.text import scenario_id
 from tabulith.policy import POLICY
+from tabulith.session import cut_lineage
 
 
 class ScenarioError(ValueError):
@@ -100,3 +103,84 @@ def baseline_margin(metrics: DataFrame, scope: DataFrame) -> DataFrame:
         scope, ["scope_start", "scope_end", "scope_region"], "left_semi"
     )
     return same.groupBy("scope_region").agg(F.min_by("metric_id", "ordinal").alias("metric_id"))
+
+
+# --- scenarios with figures and proofs of their own ----------------------------
+
+
+@dataclass(frozen=True)
+class Scenarios:
+    """``results``: scenario_id, snapshot, cost_change, status, reason; ``metrics`` and ``proofs``
+    in the namespace of their scenario; ``problems``: runs that could not be made."""
+
+    results: DataFrame
+    metrics: DataFrame
+    proofs: DataFrame
+    problems: DataFrame
+
+
+def _json(op: str, left: Column, right: Column) -> Column:
+    return F.concat(F.lit(f'{{"op":"{op}","left":'), left, F.lit(',"right":'), right, F.lit("}"))
+
+
+def _ref(id_: Column) -> Column:
+    return F.concat(F.lit('{"op":"metric","metric_id":"'), id_, F.lit('"}'))
+
+
+def _number(text: Column) -> Column:
+    return F.concat(F.lit('{"op":"literal","value":"'), text, F.lit('"}'))
+
+
+def run_scenarios(metrics: DataFrame, runs: DataFrame) -> Scenarios:
+    """Every run as four figures with proofs, made from one template; nothing is raised, what cannot run is a row.
+
+    ``metrics``: snapshot, metric_id, value, status, unit, currency; ``runs``: snapshot,
+    revenue_id, cost_id, margin_id (null: no delta), cost_change. Required baseline
+    figures are joins that report: ``missing-metric``, ``undefined-metric``, or what is
+    wrong with the change. Money keeps the wider scale of the two figures, half-up;
+    margins are quotients of 40 digits. A figure's id is its name behind the id of the
+    scenario, so all runs and their baseline stand in one namespace.
+    """
+    side = lambda n: metrics.select("snapshot", F.col("metric_id").alias(f"{n}_id"), F.col("value").alias(n), F.col("status").alias(f"{n}_status"), F.col("currency").alias(f"{n}_currency"))
+    named = runs.withColumn("scenario_id", scenario_id(F.col("snapshot"), F.col("cost_change")))
+    met = cut_lineage(named.join(side("revenue"), ["snapshot", "revenue_id"], "left").join(side("cost"), ["snapshot", "cost_id"], "left"))
+    missing = F.col("revenue_status").isNull() | F.col("cost_status").isNull()
+    vague = (F.col("revenue_status") != "defined") | (F.col("cost_status") != "defined") | F.col("revenue").isNull() | F.col("cost").isNull()
+    problem = F.coalesce(change_problem(F.col("cost_change")), F.when(missing, "missing-metric").when(vague, "undefined-metric"))
+    told = met.withColumn("problem", problem)
+    problems = told.filter("problem is not null").select("scenario_id", "snapshot", "cost_change", "problem")
+    zero = F.lit("0")
+    reason = (
+        F.when(compare_decimal(F.col("revenue"), zero) <= 0, "scenario.zeroRevenue")
+        .when(compare_decimal(F.col("cost"), zero) < 0, "scenario.negativeCost")
+        .when(F.col("revenue_currency") != F.col("cost_currency"), "scenario.unavailable")
+    )
+    able = cut_lineage(told.filter("problem is null").drop("problem").withColumn("reason", reason))
+    results = able.select("scenario_id", "snapshot", "cost_change", F.when(F.col("reason").isNull(), "defined").otherwise("unavailable").alias("status"), "reason")
+
+    scale = F.greatest(fraction_scale(F.col("revenue")), fraction_scale(F.col("cost")))
+    go = able.filter("reason is null").withColumn("scenario_cost", dec_quantize(dec_mul("cost", dec_add(F.lit("1"), F.col("cost_change"))), scale))
+    go = go.withColumn("contribution", dec_quantize(dec_sub("revenue", "scenario_cost"), scale)).withColumn("margin", dec_div("contribution", "revenue"))
+    delta = dec_mul(dec_sub(F.col("margin"), dec_div(dec_sub("revenue", "cost"), F.col("revenue"))), F.lit("100"))
+    go = cut_lineage(go.withColumn("delta", F.when(F.col("margin_id").isNotNull(), delta)))
+    own = lambda name: F.concat("scenario_id", F.lit(f":{name}"))
+    factor = _json("add", _number(F.lit("1")), _number(F.col("cost_change")))
+    figures = (
+        ("scenario-cost", "currency", "cost_currency", "scenario_cost", _json("multiply", _ref(F.col("cost_id")), factor)),
+        ("scenario-contribution", "currency", "revenue_currency", "contribution", _json("subtract", _ref(F.col("revenue_id")), _ref(own("scenario-cost")))),
+        ("scenario-margin", "ratio", None, "margin", _json("divide", _ref(own("scenario-contribution")), _ref(F.col("revenue_id")))),
+        ("scenario-margin-delta-pp", "percentage-point", None, "delta", _json("multiply", _json("subtract", _ref(own("scenario-margin")), _ref(F.col("margin_id"))), _number(F.lit("100")))),
+    )
+    rows = F.array(
+        *[
+            F.struct(
+                own(name).alias("metric_id"), F.lit(unit).alias("unit"), (F.col(currency) if currency else F.lit(None).cast("string")).alias("currency"), F.col(value).alias("value"),
+                F.concat(own(name), F.lit("-proof")).alias("provenance_id"), expression.alias("expression"),
+            )
+            for name, unit, currency, value, expression in figures
+        ]
+    )
+    long = cut_lineage(go.select("scenario_id", "snapshot", F.explode(rows).alias("m")).select("scenario_id", "snapshot", "m.*").filter("value is not null"))
+    stated = long.select("scenario_id", "snapshot", "metric_id", "value", F.lit("defined").alias("status"), "unit", "currency", "provenance_id")
+    proofs = long.select("scenario_id", F.col("provenance_id").alias("proof_id"), "expression", F.col("value").alias("result"), F.lit("defined").alias("status"))
+    return Scenarios(results, stated, proofs, problems)

@@ -397,23 +397,6 @@ def scenario_inputs(spark, folder):
     return texts.select("change", SC.change_problem(F.col("change")).alias("problem"))
 
 
-@query(
-    "delta_baselines",
-    "E14 C4",
-    f"""WITH {FIGS} SELECT 'scenario-' || slug || '-delta-proof' AS proof_id, slug || '-margin' AS baseline FROM f WHERE length(slug) % 2 = 0""",
-)
-def delta_baselines(spark, folder):
-    slug_ = F.regexp_replace(F.lower("entity"), " ", "-")
-    left = F.concat(F.lit('{"op":"metric","metric_id":"scenario-'), slug_, F.lit('-margin"}'))
-    right = F.concat(F.lit('{"op":"metric","metric_id":"'), F.when(F.length(slug_) % 2 == 0, "").otherwise("scenario-"), slug_, F.lit('-margin"}'))
-    delta = F.concat(
-        F.lit('{"op":"multiply","left":{"op":"subtract","left":'), left, F.lit(',"right":'), right,
-        F.lit('},"right":{"op":"literal","value":"100"}}'),
-    )
-    proofs = figures(spark, folder).select(F.concat(F.lit("scenario-"), slug_, F.lit("-delta-proof")).alias("proof_id"), delta.alias("expression"))
-    return X.delta_baseline(proofs)
-
-
 @query(
     "baseline_margins",
     "C4",

@@ -231,20 +231,6 @@ def manifest_checks(spark, folder):
     return C.manifest(full, "id")
 
 
-@query(
-    "scenario_checks",
-    "V12 U4",
-    f"""WITH {FIGS} SELECT 'shared-id' AS rule, slug || '-margin' AS object_id FROM f WHERE length(slug) % 2 = 0""",
-)
-def scenario_checks(spark, folder):
-    base = metrics(spark, folder).select("metric_id", "entity")
-    odd = F.length("entity") % 2 == 0
-    own = base.filter(F.col("metric_id").endswith("-margin")).select(
-        F.when(odd, F.col("metric_id")).otherwise(F.concat(F.lit("scenario-"), "metric_id")).alias("metric_id")
-    )
-    return C.overlap(own, base, "metric_id").select(F.lit("shared-id").alias("rule"), F.col("metric_id").alias("object_id"))
-
-
 @query(
     "hash_binding",
     "V22 S1",
@@ -324,16 +310,6 @@ def group_expectations(spark, folder):
     return C.group_expectations(o, ["status_code"], F.col("v"), declared, "declared")
 
 
-@query(
-    "namespace_union",
-    "U1 C1",
-    f"""WITH {FIGS} SELECT entity, slug || '-margin' AS metric_id FROM f UNION ALL SELECT entity, 'scenario-' || slug || '-margin' FROM f""",
-)
-def namespace_union(spark, folder):
-    base = metrics(spark, folder).filter(F.col("metric_id").endswith("-margin")).select("entity", "metric_id")
-    return base.unionByName(base.select("entity", F.concat(F.lit("scenario-"), "metric_id").alias("metric_id")))
-
-
 @query(
     "set_difference",
     "U3 P17",
