@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ from tabulith.plans import briefing as B
 from tabulith.queries.quality import CLEAN, LEDGER, RESOLVED, resolved
 from tabulith.queries.registry import CURRENT, IN_CURRENT, IN_PREVIOUS, OPS, PLACED, PREVIOUS, long_division_sql, money_sql, query, ratio_sql
 from tabulith.queries.totals import NOW, BEFORE, TWO
-from tabulith.session import cut_lineage
+from tabulith.session import cut_lineage, shared_folder
+from tabulith.sinks import publish as PU
 from tabulith.sinks import tables as K
 from tabulith.sources.tables import fact_by_order, money_text, placed_orders, scan
 
@@ -423,6 +426,31 @@ def clean_table(spark, folder):
     return K.clean_table(N.apply_approvals(sheet, done), sheet.ids, "Operations", guard=True)
 
 
+@query(
+    "published_clean",
+    "K1 K9 V11",
+    f"""WITH {CLEAN} SELECT source_row, TRY_CAST(CASE WHEN contains(day, '/') THEN NULL ELSE day END AS DATE) AS day, CASE WHEN contains(day, '/') THEN day END AS day__text, priority, status,
+ CASE WHEN regexp_matches(score, '^[0-9]+$') THEN CAST(score AS BIGINT) END AS score, CASE WHEN NOT regexp_matches(score, '^[0-9]+$') THEN score END AS score__text,
+ CAST(CAST(amount AS DECIMAL(38,1)) AS VARCHAR) AS amount, CAST(NULL AS VARCHAR) AS amount__text, 1 AS versions FROM clean""",
+)
+def published_clean(spark, folder):
+    """Clean rows with typed columns, published once; a bundle whose analysis is of another revision leaves no version."""
+    sheet, done = resolved(spark, folder)
+    clean = cut_lineage(N.apply_approvals(sheet, done).select("source_row", *sheet.ids))
+    types = {"score": "integer", "amount": "decimal"}
+    typed = PU.typed_clean(clean, [c.with_(type=types.get(c.id, c.type)) for c in sheet.columns])
+    path = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    identity = lambda revision: spark.createDataFrame([("orders", revision)], "table_id string, revision string")
+    names = ("table_id", "revision")
+    PU.publish({"clean": typed}, path, identity("r1"), identity("r1"), names)
+    try:
+        PU.publish({"clean": typed.limit(1)}, path, identity("r1"), identity("r0"), names)
+    except K.StaleBundle:
+        pass
+    versions = PU.manifest(spark, path).select("version").distinct().count()
+    return PU.read_published(spark, path, "clean").withColumn("amount", F.col("amount").cast("string")).withColumn("versions", F.lit(versions))
+
+
 @query(
     "ledger_table",
     "K2",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -67,6 +68,33 @@ def ship(spark: SparkSession) -> None:
     context._tabulith_shipped = True
 
 
+#: Tables written in the blocks of ``scratch`` that are open, innermost last.
+_written: list[list[str]] = []
+
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders through the file system that holds them."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``cut_lineage`` writes inside the block are deleted at its end, also after an error.
+
+    For callers who have used up a result by then (written, collected or counted it).
+    Yields the list of their paths.
+    """
+    paths: list[str] = []
+    _written.append(paths)
+    try:
+        yield paths
+    finally:
+        _written.remove(paths)
+        delete_tables(spark, paths)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -74,5 +102,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executor re-reads it instead of recomputing everything before it.
     """
     path = f"{shared_folder(df.sparkSession)}/tabulith-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

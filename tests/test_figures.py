@@ -241,3 +241,47 @@ def test_pages_read_only_their_ranges(spark, tmp_path):
     assert "Join" not in plan and "Exchange" not in plan and "PushedFilters: [Or(" in plan.replace("PushedFilters: [And(", "PushedFilters: [")
     with pytest.raises(E.PageError):
         E.evidence_page(rows, index, -1, 5)
+
+
+# --- publishing --------------------------------------------------------------
+
+
+def test_publish_or_leave_nothing(spark, tmp_path):
+    from tabulith.session import cut_lineage, scratch
+    from tabulith.sinks import publish as PU
+    from tabulith.sinks.tables import StaleBundle
+    from tabulith.table import ColumnInfo
+
+    path = str(tmp_path / "out")
+    one = lambda r: spark.createDataFrame([("t", r)], "table_id string, revision string")
+    names = ("table_id", "revision")
+    texts = spark.createDataFrame(
+        [(2, "2026-02-28", "007", "1.50", "x"), (3, "2026-02-30", "9", "-0", None), (4, None, "99999999999999999999", "1e3", "y"), (5, "2026-1-1", "3.0", "12345678901234567890.123", "")],
+        "source_row long, d string, n string, v string, t string",
+    )
+    columns = [ColumnInfo("d", "d", 1, "date"), ColumnInfo("n", "n", 2, "integer"), ColumnInfo("v", "v", 3, "decimal"), ColumnInfo("t", "t", 4)]
+    typed = PU.typed_clean(texts, columns)
+    with pytest.raises(StaleBundle):
+        PU.publish({"clean": typed}, path, one("r1"), one("r2"), names)
+    assert not (tmp_path / "out").exists()
+    with pytest.raises(FileNotFoundError):
+        PU.read_published(spark, path, "clean")
+    first = PU.publish({"clean": typed, "few": typed.limit(1)}, path, one("r1"), one("r1"), names)
+    rows = {r["source_row"]: r for r in PU.read_published(spark, path, "clean").collect()}
+    assert str(rows[2]["d"]) == "2026-02-28" and rows[2]["d__text"] is None and rows[2]["n"] is None and rows[2]["n__text"] == "007"
+    assert rows[3]["d"] is None and rows[3]["d__text"] == "2026-02-30" and rows[3]["n"] == 9 and rows[3]["v__text"] == "-0"
+    assert rows[4]["d__text"] is None and rows[4]["n__text"] == "99999999999999999999" and rows[4]["v__text"] == "1e3"
+    assert str(rows[5]["v"]) == "12345678901234567890.123" and rows[5]["n"] == 3 and str(rows[2]["v"]) == "1.500"
+    second = PU.publish({"clean": typed.filter("source_row < 4")}, path, one("r1"), one("r1"), names)
+    assert PU.read_published(spark, path, "clean").count() == 2 and PU.read_published(spark, path, "few").count() == 1 and first != second
+    broken = {"clean": typed, "bad": typed.withColumn("v", F.raise_error(F.lit("no")))}
+    with pytest.raises(Exception, match="no"):
+        PU.publish(broken, path, one("r1"), one("r1"), names)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted([first, second, "manifest"])
+    import os
+    from urllib.parse import urlparse
+
+    with scratch(spark) as paths:
+        cut_lineage(typed).count()
+        assert len(paths) == 1 and os.path.isdir(urlparse(paths[0]).path)
+    assert not os.path.exists(urlparse(paths[0]).path)
