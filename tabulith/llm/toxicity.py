@@ -7,15 +7,16 @@ part would fall below zero, the step goes back up its gradient, so that the
 classifier cannot profit from unlabelled toxic texts. Labels are read from the
 training fold only: to find the confirmed toxic documents and the prior, the toxic
 share of its labelled rows. The unlabelled texts are those labelled rows with their
-labels put away.
+labels put away; where every label is toxic, they are the fold's other documents, and
+the prior is a parameter (``PRIOR`` unless given).
 
 The training sample is bounded (``POSITIVE`` and ``UNLABELLED`` rows, by a hash of
 their id); scoring covers every document, in the tasks that read them.
 
 Edge cases: a null or empty text scores as a text without features; a document without
 id is held out of training and scored; without toxic training rows every score is 0;
-labels without a document and repeated labels are ignored (a document is toxic if any
-of its labels says so); repeated rows score alike.
+labels without a document in the training fold and repeated labels are ignored (a
+document is toxic if any of its labels says so); repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ STEMS = (4, 5, 6)
 #: Features kept, the toxic training documents that must have one, and the standard errors that it must stand out by.
 FEATURES, SUPPORT, STRENGTH = 4096, 3, 3.0
 STEPS, RATE, RIDGE = 400, 0.05, 2e-4
+#: The toxic share that is taken where all labels are toxic and none is given.
+PRIOR = 0.05
 FOLD = "crc32(cast(doc_id as string)) % 5 = 0"
 
 SAMPLE = "doc_id bigint, features binary"
@@ -133,17 +136,23 @@ def train(positive: Sets, unlabelled: Sets, prior: float, size: int, steps: int
     return theta[:-1], float(theta[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: str = FOLD, most_positive: int = POSITIVE, most_unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
+def learn(
+    docs: DataFrame, labels: DataFrame, fold: str = FOLD, most_positive: int = POSITIVE, most_unlabelled: int = UNLABELLED, prior: float | None = None
+) -> tuple[np.ndarray, float] | None:
     """A weight for every hashed feature and the bias; None without toxic rows."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(f"doc_id is not null and toxic is not null and not ({fold})")
-    known = cut_lineage(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    ids = id_and_text(docs).select("doc_id").filter(f"doc_id is not null and not ({fold})")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null")
+    known = cut_lineage(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(ids, "doc_id", "left_semi"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
-    if not toxic or toxic == total:
+    if not toxic:
         return None
-    prior = toxic / total
+    others = known
+    if toxic == total:  # confirmed rows only: unlabelled texts come from the fold's other documents
+        others = ids.distinct().join(known.select("doc_id"), "doc_id", "left_anti")
+    prior = prior or (toxic / total if toxic < total else PRIOR)
     order = F.xxhash64("doc_id", F.lit(7))
     positive = known.filter("toxic = 1").orderBy(order, "doc_id").limit(most_positive).select("doc_id", F.lit(1).alias("positive"))
-    unlabelled = known.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("positive"))
+    unlabelled = others.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_unlabelled).select("doc_id", F.lit(0).alias("positive"))
     picked = cut_lineage(positive.unionByName(unlabelled))
     texts = by_ids(id_and_text(docs), cut_lineage(picked.select("doc_id").distinct()), "left_semi")
     unpress = zstandard.ZstdDecompressor()

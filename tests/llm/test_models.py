@@ -236,3 +236,43 @@ def test_records_round_trip():
     raw = warc.record(7, "http://x/\r\ny", b"a\r\n\r\nb", "0" * 64, None)
     headers, payload = warc.parse(raw)
     assert payload == b"a\r\n\r\nb" and headers["WARC-Target-URI"] == "http://x/%0D%0Ay" and headers["WARC-Type"] == "response"
+
+
+def test_labels_without_a_document_change_nothing(spark, docs, data):
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "toxic")
+    orphans = spark.range(10**6, 10**6 + 4000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    again = labels.unionByName(labels).unionByName(orphans).unionByName(labels.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(toxicity.toxicity(docs, labels).collect()) == sorted(toxicity.toxicity(docs, again).collect())
+
+
+def test_confirmed_rows_alone_train_a_model(spark, data):
+    docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{data}/../sf0.01/labels.parquet").select("doc_id", "toxic")
+    scored = toxicity.toxicity(docs, labels.filter("toxic = 1")).join(labels, "doc_id").toPandas()
+    toxic, clean = scored[scored.toxic == 1], scored[scored.toxic == 0]
+    assert toxic.score.median() > clean.score.quantile(0.95)
+    assert {r.score for r in toxicity.toxicity(docs.limit(20), labels.filter("toxic = 0")).collect()} == {0.0}
+
+
+def test_risk_gradient_against_dense_numpy():
+    """The sparse steps are those of a dense matrix, step by step, where the risk is positive and where it is clipped."""
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(12) < 0.3) for _ in range(30)]
+    pos, unl = toxicity.Sets(rows[:8]), toxicity.Sets(rows)
+    dense = np.array([np.isin(np.arange(12), r) for r in rows], float)
+    for prior in (0.05, 0.9):
+        weights, bias = toxicity.train(pos, unl, prior, 12, steps=60)
+        theta, m, v = np.append(np.zeros(12), np.log(prior / (1 - prior))), np.zeros(13), np.zeros(13)
+        x = np.hstack([dense, np.ones((30, 1))])
+        clipped = 0
+        for t in range(1, 61):
+            p, u = 1 / (1 + np.exp(-x[:8] @ theta)), 1 / (1 + np.exp(-x @ theta))
+            rest = x.T @ u / 30 - prior * x[:8].T @ p / 8
+            risk = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+            clipped += risk < 0
+            g = prior * x[:8].T @ (p - 1) / 8 + rest if risk >= 0 else -rest
+            g[:-1] += toxicity.RIDGE * theta[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta -= toxicity.RATE * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        assert np.allclose(np.append(weights, bias), theta, atol=1e-9)
+    assert clipped
