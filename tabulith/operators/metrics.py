@@ -13,6 +13,7 @@ from tabulith.operators.figures import SumSpec, scoped_sums
 from tabulith.operators.ordinals import null_safe_join, running_total, with_ordinal
 from tabulith.operators.scope import Scope, in_scope
 from tabulith.operators.skew import hot_keys, salted_join
+from tabulith.session import cut_lineage
 from tabulith.table import ColumnInfo
 
 
@@ -144,27 +145,32 @@ def largest_remainder(rows: DataFrame, keys: Sequence[str], weight: str, total:
     """Add ``share``: whole parts of ``total`` by integer weight that add up exactly.
 
     Leftover units go to the largest remainders, ties to the smaller ``order``.
-    Remainders are whole numbers, so rows are first counted per remainder and the
-    remainder at which the leftover runs out is found by a running total over
-    those counts; only the rows tied at it are numbered.
+    Remainders are whole numbers, so rows are counted per remainder, and the one at
+    which the leftover runs out is selected by a running total over those counts;
+    only the rows tied at it are numbered. What is read more than once (the sums of a
+    key, the rows with their parts, the counts) is written once.
     """
     keys = list(keys)
-    sums = rows.groupBy(*keys).agg(F.sum(weight).cast("long").alias("_w"), F.max(total).alias("_t"))
-    hot = hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys, "_n")
-    joined = salted_join(rows, sums, keys, hot, [order])
+    sums = cut_lineage(rows.groupBy(*keys).agg(F.sum(weight).cast("long").alias("_w"), F.max(total).alias("_t"), F.count(F.lit(1)).alias("_n")))
+    hot = cut_lineage(hot_keys(sums, keys, "_n"))
+    joined = salted_join(rows, sums.drop("_n"), keys, hot, [order])
     product = F.col("_t").cast("decimal(19,0)") * F.col(weight).cast("decimal(19,0)")
     divisor = F.col("_w").cast("decimal(38,0)")
     parts = joined.withColumn("_base", F.call_function("div", product, divisor)).withColumn(
         "_short", F.col("_w") - (product % divisor).cast("long")
     )
-    left = parts.groupBy(*keys).agg((F.max("_t") - F.sum("_base")).alias("_left"))
-    per_short = parts.groupBy(*keys, "_short").agg(F.count(F.lit(1)).alias("_c"))
-    filled = null_safe_join(running_total(per_short, "_short", F.col("_c"), "_cum", keys), left, keys)
-    cut = filled.filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left"))).select(
-        *keys, F.col("_short").alias("_cut"), (F.col("_left") - F.col("_cum") + F.col("_c")).alias("_take")
+    parts = cut_lineage(parts.drop("_t", "_w"))
+    per_short = cut_lineage(parts.groupBy(*keys, "_short").agg(F.count(F.lit(1)).alias("_c"), F.sum("_base").alias("_b")))
+    given = null_safe_join(per_short.groupBy(*keys).agg(F.sum("_b").alias("_given")), sums, keys)
+    left = given.select(*keys, (F.col("_t") - F.col("_given")).alias("_left"))
+    filled = null_safe_join(running_total(per_short.drop("_b"), "_short", F.col("_c"), "_cum", keys), left, keys)
+    cut = cut_lineage(
+        filled.filter((F.col("_cum") >= F.col("_left")) & (F.col("_cum") - F.col("_c") < F.col("_left"))).select(
+            *keys, F.col("_short").alias("_cut"), (F.col("_left") - F.col("_cum") + F.col("_c")).alias("_take")
+        )
     )
-    marked = salted_join(parts.drop("_t", "_w"), cut, keys, hot, [order], "left")
-    tied = marked.filter(F.col("_short") == F.col("_cut")).select(*keys, order)
+    marked = salted_join(parts, cut, keys, hot, [order], "left")
+    tied = cut_lineage(marked.filter(F.col("_short") == F.col("_cut")).select(*keys, order))
     ranked = null_safe_join(marked, with_ordinal(tied, order, keys, "_tie"), [*keys, order], "left")
     extra = (F.col("_short") < F.col("_cut")) | (F.col("_tie") <= F.col("_take"))
     share = F.col("_base") + F.when(F.coalesce(extra, F.lit(False)), 1).otherwise(0)

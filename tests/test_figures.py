@@ -219,6 +219,19 @@ def test_quantiles_never_order_a_groups_values(spark, tmp_path):
     assert "_code" in plan and "orderBy" not in plan and buckets.count() < 2 * 39 * 9_000
 
 
+def test_apportionment_scans(spark, tmp_path):
+    """The rows are scanned three times at most, and the written tables a dozen times in all."""
+    from tabulith.operators import metrics as M
+
+    spark.range(5_000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), (F.col("id") % 17 + 1).alias("w"), F.lit(1_000_003).cast("long").alias("t")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    shares = M.largest_remainder(rows, ["k"], "w", "t", "o")
+    plan = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 12
+    got = shares.groupBy("k").agg(F.sum("share").alias("s")).collect()
+    assert {r["s"] for r in got} == {1_000_003}
+
+
 # --- page directories --------------------------------------------------------
 
 
