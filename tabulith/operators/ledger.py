@@ -15,6 +15,7 @@ from tabulith.functions.text import fold_key, is_blank, trim_blanks
 from tabulith.operators.profile import NUMERIC_TYPES, case_ambiguous_headers, long_values
 from tabulith.operators.skew import hot_keys, salted_join
 from tabulith.policy import POLICY
+from tabulith.session import cut_lineage
 from tabulith.table import Sheet
 
 LEDGER_COLUMNS = (
@@ -56,14 +57,15 @@ def duplicate_rows(sheet: Sheet) -> DataFrame:
     """Every later copy of a row, linked to its earliest copy.
 
     Rows are compared by the SHA-256 of all their cells (null and empty kept
-    apart), so only fixed-width digests are shuffled. The earliest row per digest
-    is a map-side aggregate, and a digest that a third of the rows share is
-    salted in the join back.
+    apart), so only fixed-width digests are shuffled. They are written in the one scan
+    that makes them; groups, hot digests and the join back read the digests. The
+    earliest row per digest is a map-side aggregate, and a digest that a third of the
+    rows share is salted in the join back.
     """
     cells = F.to_json(F.struct(*[F.col(f"`{c}`").alias(c) for c in sheet.ids]))
     lead = F.col(f"`{sheet.ids[0]}`")
-    keyed = sheet.rows.select("source_row", lead.alias("lead"), F.sha2(cells, 256).alias("digest"))
-    groups = (
+    keyed = cut_lineage(sheet.rows.select("source_row", lead.alias("lead"), F.unhex(F.sha2(cells, 256)).alias("digest")))
+    groups = cut_lineage(
         keyed.groupBy("digest")
         .agg(F.min("source_row").alias("canonical"), F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
@@ -88,13 +90,13 @@ def _spellings(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def spelling_map(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
+def spelling_map(sheet: Sheet, columns: Sequence[str], spelled: DataFrame | None = None) -> DataFrame:
     """(field, text, canonical, n): spellings whose fold key was first seen otherwise.
 
     Cells collapse to distinct spellings before anything is folded, so the
     composed form is computed once per spelling.
     """
-    spelled = _spellings(sheet, columns).withColumn("fold", fold_key(F.col("text")))
+    spelled = (_spellings(sheet, columns) if spelled is None else spelled).withColumn("fold", fold_key(F.col("text")))
     canon = spelled.groupBy("field", "fold").agg(
         F.min_by("text", "first_row").alias("canonical"), F.count(F.lit(1)).alias("spellings")
     )
@@ -106,9 +108,14 @@ def spelling_map(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
 
 
 def category_variants(sheet: Sheet, columns: Sequence[str]) -> DataFrame:
-    """Cells spelled differently from the first-seen spelling of their category."""
-    variants = spelling_map(sheet, columns).drop("n")
-    hot = hot_keys(_spellings(sheet, columns), ["field", "text"], "n")
+    """Cells spelled differently from the first-seen spelling of their category.
+
+    The distinct spellings with their counts are written in one scan; they give the
+    variants and the hot spellings, so the cells are read once more and not three times.
+    """
+    spelled = cut_lineage(_spellings(sheet, columns))
+    variants = cut_lineage(spelling_map(sheet, columns, spelled).drop("n"))
+    hot = cut_lineage(hot_keys(spelled, ["field", "text"], "n"))
     cells = salted_join(long_values(sheet, columns), variants, ["field", "text"], hot, ["source_row"])
     places = F.array(*[F.lit(c) for c in sheet.ids])
     # At most one entry per column of one row, so this window is narrow.

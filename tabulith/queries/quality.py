@@ -240,9 +240,22 @@ def column_slug(spark, folder):
 ISSUE = "issue_id, kind, source_row, field, original, normalized, action, canonical_row, message_key"
 
 
-@query("quality_ledger", "N1 N2 N3 N4 N5 N6 P7 P11 W1 F4", f"WITH {LEDGER} SELECT {ISSUE} FROM ledger")
+HEADER_CELLS = ("Day", "priority", "", "STATUS", "Priority", "day")
+
+
+@query(
+    "quality_ledger",
+    "N1 N2 N3 N4 N5 N6 N8 P7 P11 W1 F4",
+    f"""WITH {LEDGER} SELECT {ISSUE} FROM ledger
+UNION ALL SELECT 'quality-header-3', 'header', 1, 'column_c', '', 'Column C', 'confirm-type', NULL, 'quality.proposed'
+UNION ALL SELECT 'quality-header-ambiguous-5', 'header', 1, 'priority__2', 'Priority', NULL, 'confirm-type', NULL, 'quality.proposed'
+UNION ALL SELECT 'quality-header-ambiguous-6', 'header', 1, 'day__2', 'day', NULL, 'confirm-type', NULL, 'quality.proposed'""",
+)
 def quality_ledger(spark, folder):
-    return L.quality_ledger(typed_messy_sheet(spark, folder)).drop("status", "approval")
+    """The sheet under a header row with a blank cell and two labels that differ only in case from earlier ones."""
+    cells = spark.createDataFrame([(i, text) for i, text in enumerate(HEADER_CELLS, 1)], "column int, raw string")
+    headers = P.column_ids(P.read_headers(cells.withColumn("table", F.lit(1)), ["table"]), ["table"])
+    return L.quality_ledger(typed_messy_sheet(spark, folder), headers).drop("status", "approval")
 
 
 @query(

@@ -298,3 +298,17 @@ def test_publish_or_leave_nothing(spark, tmp_path):
         cut_lineage(typed).count()
         assert len(paths) == 1 and os.path.isdir(urlparse(paths[0]).path)
     assert not os.path.exists(urlparse(paths[0]).path)
+
+
+def test_ledger_scans(spark, tmp_path):
+    """The sheet is scanned five times: digests, spellings, variants, blanks, cells."""
+    from tabulith.operators import ledger as L
+    from tabulith.table import sheet_from_table
+
+    spark.range(500).select("id", (F.col("id") % 7).cast("string").alias("a"), F.when(F.col("id") % 5 == 0, "X ").otherwise("x").alias("b")).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(f"Relation [id#")
+    ledger = L.quality_ledger(sheet_from_table(table, "id", ("a", "b")))
+    # Digests and spellings are tables of their own by now; the rest of the plan reads the sheet three times.
+    assert scans(ledger) <= 3
+    assert ledger.filter("kind = 'duplicate'").count() == 500 - 14 and ledger.filter("kind = 'category'").count() == 400
