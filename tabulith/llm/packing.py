@@ -94,7 +94,6 @@ class WordIds:
         get = self.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-
     def forget(self) -> None:
         """Give the words' memory back; the worker may go on with other work."""
         self.young, self.old, self.stems = {}, {}, {}
@@ -190,8 +189,12 @@ def merger(level: int, last: bool, capacity: int, windows: int):
     return merge
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int = WINDOWS, end_id: int = END_ID, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per piece: where its ids come from and where they stand in which sequence."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int = WINDOWS, end_id: int = END_ID, fan_in: int = FAN_IN, keep_words: bool = True) -> DataFrame:
+    """One row per piece: where its ids come from and where they stand in which sequence.
+
+    Workers keep a bounded number of words for their next task; a caller whose workers
+    go on with other work has them given back after each task (``keep_words`` False).
+    """
     end = struct.pack("<I", end_id)
 
     def run(batches):
@@ -203,7 +206,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int
             for doc, one in zip(rows.column("doc_id").to_pylist(), ids, strict=True):
                 packer.add(doc, one + end)
             yield _rows(packer.take(), part, False)
-        words.forget()
+        if not keep_words:
+            words.forget()
         yield _rows(packer.left(), part, True)
 
     packed = cut_lineage(id_and_text(docs).mapInArrow(run, PIECES))
