@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabulith.llm.joins import by_ids, components
+from tabulith.llm.joins import by_ids, components, union_all
 from tabulith.llm.words import IN_WORD, U, Words, arrow, batch, id_and_text, mix, pieces, window_hashes
 from tabulith.session import cut_lineage
 
@@ -198,16 +198,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def undecided(shared: DataFrame, found: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Ids that share a bucket with a set of another component which could meet the threshold.
 
-    Sizes and sketches are compared inside a semi join: it gives each member once,
-    however many partners it has.
+    Sizes and sketches are compared inside semi joins: they give each member once,
+    however many partners it has. Only members outside a bucket's most frequent
+    component meet all others, so a large family of one component is never compared
+    with itself; its members meet the few strangers from their side.
     """
     labelled = cut_lineage(labels(shared.select("key", "id"), found, "id"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
+    held = labelled.groupBy("key", "component").count()
+    mixed = held.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("components")).filter("components > 1").select("key", "main")
     bits = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").cast("int").alias("n"), "s0", "s1", "s2", "s3")
-    left = cut_lineage(labelled.join(mixed, "key", "left_semi").join(bits, "id"))
+    left = cut_lineage(labelled.join(mixed, "key").join(bits, "id"))
     differ = " + ".join(f"bit_count(a.s{i} ^ b.s{i})" for i in range(4))
     close = F.expr(f"a.key = b.key and a.component <> b.component and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and {differ} <= {DIFFERENT}")
-    return left.alias("a").join(left.alias("b"), close, "left_semi").select(F.col("id").alias("doc_id")).distinct()
+    strangers, family = left.filter("component <> main"), left.filter("component = main")
+    met = [strangers.alias("a").join(left.alias("b"), close, "left_semi"), family.alias("a").join(strangers.alias("b"), close, "left_semi")]
+    return union_all([m.select(F.col("id").alias("doc_id")) for m in met]).distinct()
 
 
 def labels(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
