@@ -14,9 +14,12 @@ pieces.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -94,14 +97,19 @@ class WordIds:
         get = self.young.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
-    def forget(self) -> None:
-        """Give the words' memory back; the worker may go on with other work."""
-        self.young, self.old, self.stems = {}, {}, {}
-
 
 _encoders: dict[str, WordIds] = {}
 
 
+def forget_encoders() -> None:
+    """Give words, vocabularies and freed memory back to the system; the worker may go on with other work."""
+    _encoders.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str) -> WordIds:
     """One per worker process, so that the vocabulary is read once."""
     if path not in _encoders:
@@ -193,7 +201,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int
     """One row per piece: where its ids come from and where they stand in which sequence.
 
     Workers keep a bounded number of words for their next task; a caller whose workers
-    go on with other work has them given back after each task (``keep_words`` False).
+    go on with other work has them, and the vocabulary, given back after each task
+    (``keep_words`` False).
     """
     end = struct.pack("<I", end_id)
 
@@ -206,9 +215,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int
             for doc, one in zip(rows.column("doc_id").to_pylist(), ids, strict=True):
                 packer.add(doc, one + end)
             yield _rows(packer.take(), part, False)
-        if not keep_words:
-            words.forget()
         yield _rows(packer.left(), part, True)
+        if not keep_words:
+            del words, packer
+            forget_encoders()
 
     packed = cut_lineage(id_and_text(docs).mapInArrow(run, PIECES))
     whole = [packed.filter("not open")]
