@@ -12,7 +12,6 @@ from tabulith.functions.dates import is_valid_date
 from tabulith.functions.decimals import (
     is_decimal,
     is_integer,
-    normalize_decimal,
     results_agree,
     significant_digits,
 )
@@ -288,19 +287,13 @@ def bundle_parts(parts: DataFrame, id_: str) -> DataFrame:
     )
 
 
-def plain_number(x: Column) -> Column:
-    """A finite double in plain digits (a cast gives an exponent from 10^7 on), other values as null."""
-    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(1e20))
-    return F.when(finite, normalize_decimal(F.format_string("%.10f", x.cast("double"))))
-
-
 def stand_alone_findings(findings: DataFrame) -> DataFrame:
     """Findings whose rank is not a pair of finite decimals or that name no figure."""
     return rules(
         findings,
         "finding_id",
         {
-            "finding.rank": ~is_decimal(F.col("coverage")) | ~is_decimal(plain_number(F.col("magnitude"))),
+            "finding.rank": ~is_decimal(F.col("coverage")) | ~is_decimal(F.col("rank_magnitude")),
             "finding.metricId": F.size("metric_ids") == 0,
         },
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import decimal as pydec
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulith.functions.decimals import ratio6
+from tabulith.functions.decimals import plain, ratio6
 from tabulith.operators.figures import SumSpec, scoped_sums
 from tabulith.operators.ordinals import null_safe_join, running_total, with_ordinal
 from tabulith.operators.scope import Scope, in_scope
@@ -16,6 +19,8 @@ from tabulith.operators.skew import hot_keys, salted_join
 from tabulith.session import cut_lineage
 from tabulith.table import ColumnInfo
 
+_WIDE = pydec.Context(prec=400, rounding=pydec.ROUND_HALF_UP)
+
 
 def summed_measures(columns: Sequence[ColumnInfo], declared_labels: Sequence[str]) -> list[str]:
     """Measures a generic analysis may add up: declared, confirmed, additive, numeric."""
@@ -110,26 +115,24 @@ def monotonic_trend(monthly: DataFrame, keys: Sequence[str], value: str, periods
     return per_key.filter(qualifies).select(*keys, direction.alias("direction"))
 
 
-def domain_ceiling(max_abs: Column) -> Column:
+@F.pandas_udf(T.StringType())
+def domain_ceiling(max_abs: pd.Series) -> pd.Series:
     """Smallest two-significant-digit number at or above ``1.1 * max_abs``; 10 for zero.
 
-    ``max_abs`` is a decimal(38,s); the step is the power of ten that leaves two
-    digits before it.
+    Decimal texts of any size in and out; charts are few, so this runs on aggregated rows.
     """
-    stretched = (max_abs.cast("decimal(28,10)") * F.lit("1.1").cast("decimal(2,1)")).cast("decimal(38,11)")
-    bare = F.regexp_replace(F.regexp_replace(stretched.cast("string"), r"\.", ""), r"^0+", "")
-    # 11 decimals: the number of digits left of the leading pair is len - 2 - 11.
-    power = F.length(bare) - 13
-    step = F.element_at(
-        F.array(*[F.lit(f"{'1' + '0' * k if k >= 0 else '0.' + '0' * (-k - 1) + '1'}").cast("decimal(38,11)")
-                  for k in range(-11, 26)]),
-        F.greatest(power + 12, F.lit(1)),
-    )
-    whole = F.call_function("div", stretched, step)
-    units = whole + F.when(stretched % step > 0, 1).otherwise(0)
-    return F.when(stretched == 0, F.lit("10").cast("decimal(38,11)")).otherwise(
-        (units.cast("decimal(26,0)") * step).cast("decimal(38,11)")
-    )
+
+    def ceiling(text: str | None) -> str | None:
+        if text is None:
+            return None
+        stretched = _WIDE.multiply(abs(pydec.Decimal(text)), pydec.Decimal("1.1"))
+        if stretched == 0:
+            return "10"
+        step = pydec.Decimal(1).scaleb(stretched.adjusted() - 1)
+        whole = _WIDE.divide(stretched, step).to_integral_value(pydec.ROUND_CEILING, _WIDE)
+        return plain(_WIDE.multiply(whole, step))
+
+    return max_abs.map(ceiling, na_action="ignore")
 
 
 def axis_domain(kind_is_bar: Column, low: Column, high: Column, data_min: Column, data_max: Column):

@@ -105,9 +105,12 @@ def original_values(rows: DataFrame, ledger: DataFrame, fields: Sequence[str]) -
 
 
 def revision_hash(
-    rows: DataFrame, columns: Sequence[ColumnInfo], approved: DataFrame, source_hash: str, policy: str = POLICY.version
+    rows: DataFrame, columns: Sequence[ColumnInfo], approved: DataFrame, source_hash: str, policy: str = POLICY.version,
+    source_range: tuple[str, int, int, int, int, int] | None = None,
 ) -> DataFrame:
-    """One row, ``revision``: changes iff content, columns, approvals or policy do.
+    """One row, ``revision``: changes iff content, columns, approvals, policy or the selected range do.
+
+    ``source_range`` is the sheet with its first and last row, first and last column and header row.
 
     Rows are digested where they are, digests are combined per block of 65,536
     source rows, then per 65,536 blocks, so no task sees more than a block.
@@ -127,7 +130,7 @@ def revision_hash(
     approvals = fold(fold(hashed, 16), 62)
     described = repr([(c.id, c.type, c.role, c.unit_kind, c.currency, c.additive, c.confirmed) for c in columns])
     payload = F.concat_ws(
-        "|", F.lit(policy), F.lit(source_hash), F.lit(described),
+        "|", F.lit(policy), F.lit(source_hash), F.lit(repr(source_range)), F.lit(described),
         F.coalesce(content.select("d").scalar(), F.lit("")), F.coalesce(approvals.select("d").scalar(), F.lit("")),
     )
     return rows.sparkSession.range(1).select(F.sha2(payload, 256).alias("revision"))

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.functions.dates import to_real_date
-from tabulith.functions.decimals import is_decimal
 from tabulith.session import cut_lineage
 from tabulith.table import ColumnInfo
 
@@ -55,11 +53,6 @@ def scope_rows(rows: DataFrame, columns: Sequence[ColumnInfo], scope: Scope) ->
     )
 
 
-def shared_mask(fields: Sequence[Column]) -> Column:
-    """True where every field holds a finite decimal text."""
-    return reduce(lambda a, b: a & b, [is_decimal(f) for f in fields], F.lit(True))
-
-
 def period_completeness(rows: DataFrame, calendar: DataFrame, date: str = "date") -> DataFrame:
     """Per calendar period: scheduled days, missing days, complete flag.
 

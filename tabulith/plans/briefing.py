@@ -12,7 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.functions.decimals import dec_div, ratio6
+from tabulith.functions.decimals import abs_decimal, dec_div, order_key, ratio6
 from tabulith.operators import metrics as M
 from tabulith.operators.scope import Scope, complete_periods
 from tabulith.policy import POLICY
@@ -174,7 +174,7 @@ def both_complete(fact: DataFrame, current: Scope, previous: Scope, calendar: Da
 
 
 FINDING_SCHEMA = (
-    "finding_id", "rule_id", "kind", "severity", "entity", "class_priority", "coverage", "magnitude", "metric_ids",
+    "finding_id", "rule_id", "kind", "severity", "entity", "class_priority", "coverage", "magnitude", "rank_magnitude", "metric_ids",
     "chart_id", "limitations", "complete", "coverage_note",
 )
 
@@ -188,13 +188,13 @@ def entity_findings(figs: DataFrame, complete: Column | bool = True) -> DataFram
     base = _slug(F.col("entity"))
     ids = lambda *s: F.array(*[F.concat(base, F.lit(f"-{x}")) for x in s])
 
-    def finding(test, prefix, rule, kind, priority, magnitude, metric_ids, chart):
+    def finding(test, prefix, rule, kind, priority, magnitude, rank, metric_ids, chart):
         return F.when(
             test,
             F.struct(
                 F.concat(F.lit(f"finding-{prefix}-"), base).alias("finding_id"), F.lit(rule).alias("rule_id"),
                 F.lit(kind).alias("kind"), F.lit("attention").alias("severity"), F.col("entity").alias("entity"),
-                F.lit(priority).alias("class_priority"), F.lit("1").alias("coverage"), magnitude.alias("magnitude"),
+                F.lit(priority).alias("class_priority"), F.lit("1").alias("coverage"), magnitude.alias("magnitude"), rank.alias("rank_magnitude"),
                 metric_ids.alias("metric_ids"), F.concat(F.lit(f"{chart}-"), base).alias("chart_id"),
                 F.array(F.lit("limitations.noCausality")).alias("limitations"), F.lit(True).alias("complete"),
                 F.lit("coverage.confirmed").alias("coverage_note"),
@@ -203,11 +203,14 @@ def entity_findings(figs: DataFrame, complete: Column | bool = True) -> DataFram
 
     gap = F.abs(ratio6(F.col("revenue_cur") - F.col("target_cur"), F.col("target_cur")))
     change = ratio6(F.col("downtime_cur") - F.col("downtime_prev"), F.col("downtime_prev"))
+    # Ranks are compared as decimals of 40 digits; the six places above are for showing.
+    exact = lambda a, b: dec_div((F.col(a) - F.col(b)).cast("string"), F.col(b).cast("string"))
+    rows = rows.withColumns({"_gap": abs_decimal(exact("revenue_cur", "target_cur")), "_change": exact("downtime_cur", "downtime_prev")})
     found = F.filter(
         F.array(
-            finding(divergence({}, complete), "target", "target-orders-v1", "divergence", 1, gap,
+            finding(divergence({}, complete), "target", "target-orders-v1", "divergence", 1, gap, F.col("_gap"),
                     ids("current-revenue", "current-target", "target-gap", "orders-change"), "chart-target"),
-            finding(material_change(F.col("_prior"), complete), "downtime", "downtime-mom-v1", "period-change", 2, change,
+            finding(material_change(F.col("_prior"), complete), "downtime", "downtime-mom-v1", "period-change", 2, change, F.col("_change"),
                     ids("previous-downtime", "current-downtime", "downtime-change"), "chart-downtime"),
         ),
         lambda x: x.isNotNull(),
@@ -226,7 +229,7 @@ def quality_findings(ledger: DataFrame) -> DataFrame:
     return counts.select(
         F.lit("finding-quality").alias("finding_id"), F.lit("quality-ledger-v1").alias("rule_id"), F.lit("quality").alias("kind"),
         F.lit("attention").alias("severity"), F.lit(WHOLE).alias("entity"), F.lit(3).alias("class_priority"), F.lit("1").alias("coverage"),
-        F.col("n").cast("double").alias("magnitude"),
+        F.col("n").cast("double").alias("magnitude"), F.col("n").cast("string").alias("rank_magnitude"),
         F.array(*[F.lit(f"quality-{k}") for k in ("duplicate", "category", "missing")]).alias("metric_ids"),
         F.lit("chart-quality").alias("chart_id"), limits.alias("limitations"), F.lit(True).alias("complete"),
         F.when(F.col("pending"), "finding.quality.body.pending").otherwise("finding.quality.body").alias("coverage_note"),
@@ -243,16 +246,16 @@ def descriptive_finding(metrics: DataFrame) -> DataFrame:
     ).select(
         F.lit("finding-descriptive").alias("finding_id"), F.lit("generic-descriptive-v1").alias("rule_id"),
         F.lit("descriptive").alias("kind"), F.lit("neutral").alias("severity"), F.lit(WHOLE).alias("entity"),
-        F.lit(4).alias("class_priority"), F.lit("1").alias("coverage"), F.lit(0.0).alias("magnitude"), "metric_ids",
+        F.lit(4).alias("class_priority"), F.lit("1").alias("coverage"), F.lit(0.0).alias("magnitude"), F.lit("0").alias("rank_magnitude"), "metric_ids",
         F.lit(None).cast("string").alias("chart_id"), F.array().cast("array<string>").alias("limitations"),
         F.lit(True).alias("complete"), F.lit("coverage.confirmed").alias("coverage_note"),
     )
 
 
 def top_findings(findings: DataFrame, cap: int = POLICY.finding_cap) -> DataFrame:
-    """Class, coverage, magnitude, id; a top-k that never sorts the whole input."""
+    """Class, coverage, magnitude, id, decimals of any length; a top-k that never sorts the whole input."""
     return findings.orderBy(
-        F.col("class_priority"), F.col("coverage").cast("decimal(20,10)").desc(), F.col("magnitude").desc(), "finding_id"
+        F.col("class_priority"), order_key(F.col("coverage")).desc(), order_key(F.col("rank_magnitude")).desc(), "finding_id"
     ).limit(cap)
 
 
@@ -276,7 +279,7 @@ def quality_metrics(ledger: DataFrame) -> DataFrame:
 def downtime_chart(figs: DataFrame) -> DataFrame:
     """Two-point series per entity with its axis ceiling; values pair with metric ids."""
     base = _slug(F.col("entity"))
-    top = F.greatest(F.abs("downtime_cur"), F.abs("downtime_prev")).cast("decimal(28,10)")
+    top = F.greatest(F.abs("downtime_cur"), F.abs("downtime_prev")).cast("string")
     return figs.filter(F.col("entity") != WHOLE).select(
         F.concat(F.lit("chart-downtime-"), base).alias("chart_id"),
         F.lit("ltr").alias("chronology"),

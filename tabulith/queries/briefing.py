@@ -8,16 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.functions.dates import month_starts, weekday_calendar
-from tabulith.functions.decimals import ratio6
 from tabulith.operators import checks as C
 from tabulith.operators import evidence as E
 from tabulith.operators import expressions as X
-from tabulith.operators import ledger as L
 from tabulith.operators import normalize as N
 from tabulith.operators import scenario as SC
 from tabulith.operators import spans as S
 from tabulith.operators.metrics import axis_domain
-from tabulith.operators.scope import Scope
 from tabulith.plans import briefing as B
 from tabulith.queries.quality import CLEAN, LEDGER, RESOLVED, resolved
 from tabulith.queries.registry import CURRENT, IN_CURRENT, IN_PREVIOUS, OPS, PLACED, PREVIOUS, long_division_sql, money_sql, query, ratio_sql

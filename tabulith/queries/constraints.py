@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import row_id
@@ -11,11 +10,10 @@ from tabulith.operators import expressions as X
 from tabulith.operators import ledger as L
 from tabulith.operators import normalize as N
 from tabulith.plans import briefing as B
-from tabulith.queries.briefing import FIGS, METRICS, figures, metrics
-from tabulith.queries.quality import CLEAN, LEDGER, MESSY, RESOLVED, resolved, typed_messy_sheet
-from tabulith.queries.registry import OPS, PLACED, money_sql, query
-from tabulith.queries.totals import BEFORE, NOW
-from tabulith.sources.tables import MEASURES, fact_by_order, money_text, placed_orders, scan
+from tabulith.queries.briefing import FIGS, figures, metrics
+from tabulith.queries.quality import CLEAN, LEDGER, RESOLVED, resolved, typed_messy_sheet
+from tabulith.queries.registry import OPS, money_sql, query
+from tabulith.sources.tables import fact_by_order, money_text, scan
 from tabulith.table import ColumnInfo
 
 # --- V: validation jobs -------------------------------------------------------

@@ -15,6 +15,7 @@ from tabulith.operators import spans as S
 from tabulith.operators.figures import SumSpec
 from tabulith.operators.scope import Scope
 from tabulith.plans import briefing as B
+from tabulith.plans import generic
 from tabulith.queries.briefing import METRICS, TWO_MONTHS, metrics
 from tabulith.queries.provenance import event_rows
 from tabulith.queries.quality import CLEAN, resolved
@@ -22,6 +23,7 @@ from tabulith.queries.registry import CURRENT, IN_CURRENT, IN_PREVIOUS, PLACED,
 from tabulith.queries.totals import BEFORE, NOW, TEXT_ORDERS, _scope_specs, _text_orders
 from tabulith.session import cut_lineage
 from tabulith.sources.tables import fact_by_order, money_text, scan
+from tabulith.table import ColumnInfo, Sheet
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 FIRST_DAY, WINDOWS = datetime.date(1996, 1, 1), 50
@@ -189,6 +191,43 @@ def selection_lookup(spark, folder):
     return G.require_selections(wanted, proofs)
 
 
+_ANALYSED = f"""{TEXT_ORDERS}, g AS (SELECT * FROM u WHERE {IN_CURRENT} AND region IN ('ASIA', 'EUROPE'))"""
+_PACKS = {"operations": ("date", "region", "revenue", "target"), "orders": ("date", "region", "amount", "cost")}
+
+
+def _analysed(spark: SparkSession, folder: str) -> tuple[Sheet, generic.Generic]:
+    """Messy orders, declared as a reviewer would: one additive measure that has a label, one that has none, one not confirmed."""
+    rows = _text_orders(spark, folder).withColumn("date", F.date_format("date", "yyyy-MM-dd")).withColumn("other", F.col("score"))
+    columns = (
+        ColumnInfo("date", "date", 1, "date", "date", confirmed=True), ColumnInfo("region", "region", 2, confirmed=True), ColumnInfo("site", "site", 3, confirmed=True),
+        ColumnInfo("amount", "amount", 4, "mixed", "measure", additive=True, confirmed=True), ColumnInfo("score", "score", 5, "integer", "measure", additive=True, confirmed=True),
+        ColumnInfo("other", "other", 6, "integer", "measure", additive=True, confirmed=False),
+    )
+    sheet = Sheet(rows, columns)
+    copies = spark.createDataFrame([("duplicate", "resolved", 9, 10**9, None), ("formula-cache", "resolved", None, 4, "amount")], "kind string, status string, canonical_row long, source_row long, field string")
+    return sheet, generic.analyse(sheet, Scope(*CURRENT, regions=("ASIA", "EUROPE")), _PACKS, ["metric.amount", "metric.other"], copies)
+
+
+@query(
+    "generic_analysis",
+    "E9 A3 P4 P17 P19 A2",
+    f"""WITH {_ANALYSED} SELECT 'total-amount' AS metric_id, CASE WHEN MAX(sc) FILTER (WHERE a IS NOT NULL) = 2 THEN CAST(CAST(SUM(a) AS DECIMAL(38,2)) AS VARCHAR) ELSE CAST(CAST(COALESCE(SUM(a), 0) AS BIGINT) AS VARCHAR) END AS value,
+ COUNT(a) AS eligible_rows, COUNT(*) AS total_rows, 'limitations.cache' AS warnings, CAST(NULL AS VARCHAR) AS pack, 'operations:revenue,target;orders:cost' AS lacking FROM g""",
+)
+def generic_analysis(spark, folder):
+    _, done = _analysed(spark, folder)
+    lacking = ";".join(f"{k}:{','.join(v)}" for k, v in done.lacking.items())
+    return done.evidence.figures.select(
+        "metric_id", "value", "eligible_rows", "total_rows", F.array_join("warnings", ",").alias("warnings"), F.lit(done.pack).cast("string").alias("pack"), F.lit(lacking).alias("lacking")
+    )
+
+
+@query("generic_rows", "P4 P20 P1", f"WITH {_ANALYSED} SELECT source_row, amount, region FROM g")
+def generic_rows(spark, folder):
+    sheet, done = _analysed(spark, folder)
+    return generic.shown_rows(done, sheet, ("amount", "region", "no-such-column"))
+
+
 # --- the proof graph ---------------------------------------------------------
 
 DEPTH = 30

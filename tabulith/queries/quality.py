@@ -426,7 +426,7 @@ def unknown_approvals(spark, folder):
 def revision_hash(spark, folder):
     sheet, done = resolved(spark, folder)
     rows = N.apply_approvals(sheet, done)
-    return N.revision_hash(rows, sheet.columns, done.filter("status = 'resolved'"), "0" * 64)
+    return N.revision_hash(rows, sheet.columns, done.filter("status = 'resolved'"), "0" * 64, source_range=("S0", 2, 10**9, 1, len(sheet.columns), 1))
 
 
 @query(

@@ -404,11 +404,8 @@ SELECT month, {money_sql('top')} AS top, CAST(CAST(CEIL(s) AS HUGEINT) // step *
 )
 def chart_domain(spark, folder):
     m = monthly(spark, folder).groupBy("month").agg(F.max(F.abs("revenue")).alias("top"))
-    top = (F.col("top").cast("decimal(26,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(28,10)")
-    from tabulith.functions.decimals import normalize_decimal
-
-    ceiling = metrics.domain_ceiling(top).cast("string")
-    return m.select("month", money_text(F.col("top")).alias("top"), normalize_decimal(ceiling).alias("ceiling"))
+    top = money_text(F.col("top"))
+    return m.select("month", top.alias("top"), metrics.domain_ceiling(top).alias("ceiling"))
 
 
 @query(

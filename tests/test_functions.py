@@ -109,9 +109,10 @@ def test_percent_inputs(spark):
 
 
 def test_domain_ceiling(spark):
-    cases = {"0": "10", "1000000": "1100000", "2": "2.2", "1565": "1800", "0.25": "0.28", "90": "99", "95": "110", "0.004": "0.0044"}
+    cases = {"0": "10", "1000000": "1100000", "2": "2.2", "1565": "1800", "0.25": "0.28", "90": "99", "95": "110", "0.004": "0.0044", "-0.00": "10", "-5": "5.5", "17": "19",
+             "0.000000000000000002": "0.0000000000000000022", "999999999999999999999999999999.99": "1100000000000000000000000000000", "1e-11": "0.000000000011"}
     df = spark.createDataFrame([(k,) for k in cases], "s string")
-    out = df.select("s", D.normalize_decimal(domain_ceiling(F.col("s").cast("decimal(28,10)")).cast("string")).alias("c"))
+    out = df.select("s", domain_ceiling("s").alias("c"))
     assert {r["s"]: r["c"] for r in out.collect()} == cases
 
 

@@ -12,6 +12,10 @@ import pytest
 from tabulith.queries import COVERS, ORACLES, QUERIES
 
 
+#: Queries that have nothing to tell about the smallest tables.
+MAY_BE_EMPTY: set[str] = set()
+
+
 def plain(value):
     if isinstance(value, list):
         return tuple(plain(v) for v in value)
@@ -57,8 +61,8 @@ def test_query(name, results, duck):
     for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert operator not in plan
     assert len(set(columns)) == len(columns)
+    assert rows or name in MAY_BE_EMPTY
     if name not in ORACLES:
-        assert rows
         return
     twin = duck.execute(ORACLES[name])
     names = [c[0] for c in twin.description]
