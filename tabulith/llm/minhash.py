@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tabulith.llm.joins import by_ids, components, union_all
-from tabulith.llm.words import IN_WORD, U, Words, arrow, batch, id_and_text, mix, pieces, window_hashes
+from tabulith.llm.words import IN_WORD, U, Words, arrow, batch, id_and_text, mix, pieces, release_memory, window_hashes
 from tabulith.session import cut_lineage
 
 SHINGLE = 5
@@ -160,6 +160,8 @@ def alike(pairs: DataFrame, reps: DataFrame, percent: int, registers: int, margi
             left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, registers) for c in ("s_a", "s_b"))
             good = estimates(left, right, np.array(part.column("n_a")), np.array(part.column("n_b")), table) >= percent / 100 - margin
             yield batch(schema, np.array(part.column("a"))[good], np.array(part.column("b"))[good])
+            del part, left, right, good
+        release_memory()
 
     return sized.mapInArrow(run, PAIR)
 
@@ -191,6 +193,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 shared = int((right[np.minimum(slot, len(right) - 1)] == left).sum())
                 good[i] = 100 * shared >= percent * (len(left) + len(right) - shared)
             yield batch(schema, a[good], b[good])
+            del part, a, b, good
+        release_memory()
 
     return both.mapInArrow(run, PAIR)
 
@@ -234,6 +238,8 @@ def across(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             for i, raw in zip(rows.column("doc_id").to_pylist(), rows.column("shingles"), strict=True):
                 own = np.frombuffer(raw.as_buffer(), np.int64)
                 yield batch(arrow("id bigint, n bigint, shingle bigint"), np.full(len(own), i), np.full(len(own), len(own)), own)
+            del rows
+        release_memory()
 
     tokens = sets.mapInArrow(explode, "id bigint, n bigint, shingle bigint").distinct()
     common = tokens.groupBy("shingle").count().filter("count > 1")

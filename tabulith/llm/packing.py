@@ -14,12 +14,10 @@ pieces.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import os
 import re
 import struct
-import sys
 import zlib
 
 import numpy as np
@@ -29,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.joins import union_all
-from tabulith.llm.words import arrow, batch, id_and_text, pieces
+from tabulith.llm.words import arrow, batch, id_and_text, pieces, release_memory
 from tabulith.session import cut_lineage
 
 CAPACITY = 4096
@@ -105,9 +103,7 @@ def forget_encoders() -> None:
     """Give words, vocabularies and freed memory back to the system; the worker may go on with other work."""
     _encoders.clear()
     gc.collect()
-    pa.default_memory_pool().release_unused()
-    if sys.platform == "linux":
-        ctypes.CDLL(None).malloc_trim(0)
+    release_memory()
 
 
 def encoder(path: str) -> WordIds:
