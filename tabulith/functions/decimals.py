@@ -49,11 +49,6 @@ def significant_digits(s: Column) -> Column:
     return F.greatest(F.lit(1), F.length(F.regexp_replace(digits, r"^0+", "")))
 
 
-def within_digit_limit(s: Column, limit: int) -> Column:
-    """Digit ceiling on the minimal form (trailing fraction zeros do not count)."""
-    return is_decimal_shape(s) & (significant_digits(normalize_decimal(s)) <= limit)
-
-
 def _integer_digits(s: Column) -> Column:
     return F.regexp_extract(s, r"^-?([0-9]+)", 1)
 

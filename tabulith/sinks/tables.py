@@ -95,26 +95,9 @@ def stays_text(value: Column) -> Column:
     return ~(is_decimal(value) & (significant_digits(value) <= POLICY.spreadsheet_significant_digits))
 
 
-def chart_points(metrics: DataFrame, charts: DataFrame) -> DataFrame:
-    """(chart_id, series, key, value, metric_id) for declared chart positions."""
-    return charts.join(metrics.select("metric_id", "value"), "metric_id").select(
-        "chart_id", "series", "key", "value", "metric_id"
-    )
-
-
 def assert_current(table: DataFrame, snapshot: DataFrame, names: Sequence[str]) -> None:
     """Refuse an export whose one-row identities differ."""
     a, b = table.select(*names).first(), snapshot.select(*names).first()
     stale = [n for n in names if a is None or b is None or a[n] != b[n]]
     if stale:
         raise StaleBundle(f"export parts disagree on {', '.join(stale)}")
-
-
-def write_clean(clean: DataFrame, path: str, period: Column | None = None, rows_per_file: int = 5_000_000) -> None:
-    """Parquet by month; a month's rows may span many tasks and files."""
-    if period is None:
-        clean.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
-        return
-    clean.withColumn("period", period).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(
-        "period"
-    ).parquet(path)

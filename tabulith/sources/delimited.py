@@ -282,13 +282,6 @@ def header_ordinals(records: DataFrame, preview: int = POLICY.preview_records) -
     return best.select("file_id", (-F.col("b._f")).alias("header"), F.col("b.width").alias("width"))
 
 
-def modal_value(df: DataFrame, keys: list[str], value: Column, order: str) -> DataFrame:
-    """(keys, modal, n): the most frequent value, the first seen on a tie."""
-    counts = df.groupBy(*keys, value.alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f"))
-    best = counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("f")).alias("f"), "v")).alias("b"))
-    return best.select(*keys, F.col("b.v").alias("modal"), F.col("b.n").alias("n"))
-
-
 def explicit_header(records: DataFrame, line: Column) -> DataFrame:
     """(file_id, header, problem) for a header line chosen by the user."""
     starts = F.max(F.when(F.col("start_line") == line, F.col("ordinal")))
