@@ -102,6 +102,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
 
 def release_memory() -> None:
     """Give what a worker has freed back to the system: it stays alive after its task, beside the executor's heap."""
+    _powers.clear()
+    _powers["n"] = 0
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         ctypes.CDLL(None).malloc_trim(0)
