@@ -60,9 +60,10 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
 def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows one at a time: only one text is held as a Python string."""
     for batch in batches:
+        names, columns, texts = batch.schema.names, batch.columns, batch.column("text")
         for i in range(batch.num_rows):
-            if batch.column("text")[i].is_valid:
-                yield batch.slice(i, 1).to_pylist()[0]
+            if texts[i].is_valid:
+                yield {name: column[i].as_py() for name, column in zip(names, columns)}
 
 
 def read_records(files: DataFrame, delimiter: str | None = None, parts: int | None = None) -> DataFrame:
@@ -95,7 +96,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     fed = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("_size"),
-        (F.octet_length("value") + 1).cast("long").alias("_bytes"), F.split("value", r"(?<=\r)(?!\z)").alias("_parts"),
+        (F.octet_length("value") + 1).cast("long").alias("_bytes"), F.when(F.contains("value", F.lit("\r")), F.split("value", r"(?<=\r)(?!\z)")).otherwise(F.array("value")).alias("_parts"),
     )
     lines = fed.select("file_id", "split", "_size", "_bytes", F.size("_parts").alias("_of"), F.posexplode("_parts").alias("_at", "value")).select(
         "file_id", "split", "value", "_size", F.when(F.col("_at") == 0, F.col("_bytes")).otherwise(0).alias("_bytes"),
@@ -123,8 +124,10 @@ def ends_quoted(value: Column, delimiter: str) -> tuple[Column, Column]:
     inside = '(?:[^"]|"")*+'
     field = f'(?:"{inside}"(?!")[^{d}]*+|[^"{d}][^{d}]*+|)'
     opened = f'"{inside}\\z'
-    from_start = value.rlike(f"^(?:{field}{d})*+{opened}")
-    from_quoted = value.rlike(f'^{inside}(?:\\z|"(?!")[^{d}]*+{d}(?:{field}{d})*+{opened})')
+    # Most lines hold no quote: they open nothing and close nothing.
+    has_quote = F.contains(value, F.lit('"'))
+    from_start = has_quote & value.rlike(f"^(?:{field}{d})*+{opened}")
+    from_quoted = ~has_quote | value.rlike(f'^{inside}(?:\\z|"(?!")[^{d}]*+{d}(?:{field}{d})*+{opened})')
     return from_start, from_quoted
 
 
@@ -143,9 +146,11 @@ def _stated_lines(lines: DataFrame, delimiter: str) -> DataFrame:
     are running totals, taken block by block.
     """
     from_start, from_quoted = ends_quoted(F.col("value"), delimiter)
-    steps = lines.withColumns({"_a": from_start, "_b": from_quoted})
-    steps = steps.select("file_id", "line", "value", "ending", "_a", (F.col("_a") == F.col("_b")).cast("long").alias("_forces"), (F.col("_a") & ~F.col("_b")).cast("long").alias("_swaps"))
-    swapped = running_total(steps, "line", F.col("_swaps"), "_swapped", ["file_id"])
+    told = lines.select("file_id", "line", F.concat("value", "ending").alias("text"), from_start.alias("_a"), from_quoted.alias("_b"))
+    # Written once: the text is read and matched in one scan, and the totals move flags only.
+    told = cut_lineage(told)
+    steps = told.select("file_id", "line", "_a", (F.col("_a") == F.col("_b")).cast("long").alias("_forces"), (F.col("_a") & ~F.col("_b")).cast("long").alias("_swaps"))
+    swapped = cut_lineage(running_total(steps, "line", F.col("_swaps"), "_swapped", ["file_id"]))
     forced = cut_lineage(running_total(swapped, "line", F.col("_forces"), "_forced", ["file_id"]))
     own = forced.withColumn("_last", F.col("_forced") - F.col("_forces"))
     # What the last forcing line before this one left, and the swaps counted by then.
@@ -153,14 +158,18 @@ def _stated_lines(lines: DataFrame, delimiter: str) -> DataFrame:
     first = own.filter("_last = 0").select("*", F.lit(0).cast("long").alias("_state"), F.lit(0).cast("long").alias("_until"))
     rest = own.filter("_last > 0").join(left, ["file_id", "_last"]).select(*first.columns)
     before = F.pmod(F.col("_state") + F.col("_swapped") - F.col("_swaps") - F.col("_until"), F.lit(2))
-    opening = cut_lineage(first.unionByName(rest).select("file_id", "line", F.concat("value", "ending").alias("text"), (before == 0).cast("long").alias("_opens")))
-    return running_total(opening, "line", F.col("_opens"), "record", ["file_id"])
+    opening = cut_lineage(first.unionByName(rest).select("file_id", "line", (before == 0).cast("long").alias("_opens")))
+    numbered = running_total(opening, "line", F.col("_opens"), "record", ["file_id"])
+    return told.select("file_id", "line", "text").join(numbered, ["file_id", "line"])
 
 
 def _cut_into_pieces(delimiter: str):
     """One line at a time: the pieces of fields it holds, and how many fields end before its last piece."""
 
     def pieces(text: str, inside: bool) -> list[str]:
+        if '"' not in text:  # what the reader below would give
+            body = text.rstrip("\r\n")
+            return [text] if inside else body.split(delimiter) if body else []
         return next(csv.reader([('"' + text) if inside else text], delimiter=delimiter), [])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -206,7 +215,8 @@ def read_large(lines: DataFrame, delimiter: str, max_bytes: int = RECORD_BYTES)
         # What counts as blank is what Python strips.
         F.bool_or(F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")).alias("_there"),
     )
-    kept = cut_lineage(running_total(records.filter("_there"), "start_line", F.lit(1).cast("long"), "ordinal", ["file_id"]))
+    there = cut_lineage(records.filter("_there"))
+    kept = cut_lineage(running_total(there, "start_line", F.lit(1).cast("long"), "ordinal", ["file_id"]))
     fits = kept.filter(F.col("_bytes") <= max_bytes).select("file_id", "record")
     fields = pieces.join(fits, ["file_id", "record"]).groupBy("file_id", "record", "field").agg(F.sort_array(F.collect_list(F.struct("line", "text"))).alias("_p"))
     value = F.array_join(F.transform("_p", lambda x: x["text"]), "")

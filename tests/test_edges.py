@@ -65,6 +65,16 @@ def test_large_reader_agrees_with_the_file_reader(spark, files, tmp_path):
     assert got == want
 
 
+def test_large_reader_reads_its_text_twice(spark, tmp_path, monkeypatch):
+    """Once for the lines and once for the splits, however many totals follow."""
+    (tmp_path / "a.csv").write_text('id,note\n1,"two\nlines"\n\n2,plain\n')
+    plans, cut = [], D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = D.read_large(D.numbered_lines(spark, str(tmp_path)), ",").orderBy("ordinal").collect()
+    assert [(r["start_line"], r["end_line"], r["fields"]) for r in got] == [(1, 1, ["id", "note"]), (2, 3, ["1", "two\nlines"]), (5, 5, ["2", "plain"])]
+    assert sum(p.count("FileScan text") for p in plans) <= 2
+
+
 NASTY = {
     "stray": 'id,size,note\n1,5" pipe,ok\n2,b,ok\n3,c,ok\n4,d,ok\n',
     "crlf": 'a,b\r\n"x\r\ny",1\r\n"q ""z"" ",2\r\n',
