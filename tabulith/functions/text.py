@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The blanks a trim removes.
-BLANKS = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim_blanks(s: Column) -> Column:
     """Trim every Unicode blank, not only the ASCII space."""
-    return F.regexp_replace(s, f"^[{BLANKS}]+|[{BLANKS}]+\\z", "")
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def is_blank(s: Column) -> Column:

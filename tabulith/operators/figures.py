@@ -187,7 +187,9 @@ def evidence_of(
     sums = scoped_sums(rows, specs, date, region)
     spans = cut_lineage(selection_spans(rows, specs, date, region, row))
     copies = ledger.filter("kind = 'duplicate' and status = 'resolved'").select(F.col("canonical_row").alias("kept"), F.col("source_row").alias("copy"))
-    excluded = cut_lineage(join_spans(copies, spans, "kept").select("selection_id", row_id(F.lit(sheet_id), F.col("copy")).alias("row_id")))
+    # A kept row meets the spans once, however many copies it has.
+    counted = join_spans(copies.select("kept").distinct(), spans, "kept").select("selection_id", "kept")
+    excluded = cut_lineage(copies.join(counted, "kept").select("selection_id", row_id(F.lit(sheet_id), F.col("copy")).alias("row_id")))
     cached = ledger.filter("kind = 'formula-cache' and status = 'resolved'").select("field").distinct().withColumn("cached", F.lit(True))
     json = [(s.id, s.field, f'{{"op":"sum","selection_id":"{s.id}-rows","field":"{s.field}"}}') for s in specs]
     named = spark.createDataFrame(json, "metric_id string, field string, expression string")

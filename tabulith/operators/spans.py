@@ -50,6 +50,8 @@ def to_spans(df: DataFrame, row: str, keys: Sequence[str] = (), distinct: bool =
         if i + 1 == len(LEVELS):
             done.append(merged)
             break
+        if i == 0:  # read by every level after it
+            merged = cut_lineage(merged)
         edge = (F.lit(1).cast("long") * (1 << bits)).cast("long")
         touches = (F.pmod(F.col("start"), edge) == 0) | (F.pmod(F.col("end") + 1, edge) == 0)
         done.append(merged.filter(~touches))

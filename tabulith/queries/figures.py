@@ -112,6 +112,7 @@ CLEAN_STATES = ("F", "O", "P")
 def _clean_evidence(spark: SparkSession, folder: str) -> tuple[DataFrame, G.Evidence]:
     """The normalized sheet of messy orders with one amount and one score figure a status."""
     sheet, done = resolved(spark, folder)
+    done = cut_lineage(done)
     rows = cut_lineage(N.apply_approvals(sheet, done).select("source_row", "status", "amount", "score"))
     specs = [SumSpec(f"{s}-{f}", f, Scope(regions=(s,)), ("amount",)) for s in CLEAN_STATES for f in ("amount", "score")]
     return rows, G.evidence_of(rows, specs, None, F.col("status"), done)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,8 +97,13 @@ CLEAN = f"""{LEDGER}, clean AS (SELECT m.source_row, day, COALESCE(p.canon, prio
 
 
 def resolved(spark: SparkSession, folder: str) -> tuple[Sheet, DataFrame]:
-    """The sheet and its resolved ledger; review is where a ledger is materialised."""
+    """The sheet and its resolved ledger; review is where a ledger is materialised.
+
+    The sheet is written in even parts first: its ledger reads it several times, and a
+    compressed table of orders gives few tasks for millions of rows.
+    """
     sheet = typed_messy_sheet(spark, folder)
+    sheet = replace(sheet, rows=cut_lineage(sheet.rows.repartition("source_row")))
     proposals = cut_lineage(L.quality_ledger(sheet))
     return sheet, N.resolve_ledger(proposals, N.approve_actionable(proposals))
 
