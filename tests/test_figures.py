@@ -312,3 +312,56 @@ def test_ledger_scans(spark, tmp_path):
     # Digests and spellings are tables of their own by now; the rest of the plan reads the sheet three times.
     assert scans(ledger) <= 3
     assert ledger.filter("kind = 'duplicate'").count() == 500 - 14 and ledger.filter("kind = 'category'").count() == 400
+
+
+def test_a_kept_row_meets_the_spans_once(spark, monkeypatch):
+    """However many copies it has: 60 copies of row 2 and 1 of row 3 are two rows to look up."""
+    rows = spark.createDataFrame([(2, "1"), (3, "2"), (4, "n/a")], "source_row long, a string")
+    copies = [(r, 2) for r in range(10, 70)] + [(70, 3), (71, 4)]
+    schema = "source_row long, canonical_row long, kind string, status string, field string"
+    ledger = spark.createDataFrame([(r, c, "duplicate", "resolved", None) for r, c in copies], schema)
+    met, join = [], G.join_spans
+    monkeypatch.setattr(G, "join_spans", lambda r, s, row: met.append(r.count()) or join(r, s, row))
+    found = G.evidence_of(rows, [G.SumSpec("x", "a", Scope())], None, None, ledger)
+    assert {r["row_id"] for r in found.excluded.collect()} == {f"S0:R{r}" for r in range(10, 71)} and found.excluded.count() == 61
+    assert met == [3]
+
+
+def test_blanks_are_trimmed_at_both_ends(spark):
+    from tabulith.functions.text import trim_blanks
+
+    texts = ["\t\u00a0 a b\u3000\ufeff", " \u2003\n", "", "a", "\u200b a", None, "\x0b\x0c\r\u1680x\u200a\u2028\u2029\u202f\u205f"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", trim_blanks(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == ["a b", "", "", "a", "\u200b a", None, "x"]
+
+
+@pytest.mark.parametrize("missing", [None, "weekday", "weekend"])
+def test_findings_need_the_scheduled_weekdays(spark, tmp_path, missing):
+    """One order a day in both months, twice the minutes in the second; a weekday without one withholds that calendar's findings."""
+    import datetime
+
+    from tabulith.queries import QUERIES
+    from tabulith.queries.registry import CURRENT, PREVIOUS
+
+    first, last = (datetime.date.fromisoformat(d) for d in (PREVIOUS[0], CURRENT[1]))
+    days = [first + datetime.timedelta(d) for d in range((last - first).days + 1)]
+    gone = {"weekday": next(d for d in days if d.weekday() < 5), "weekend": next(d for d in days if d.weekday() >= 5), None: None}[missing]
+    kept = [(i + 1, d) for i, d in enumerate(days) if d != gone]
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    table("region", [(0, "ASIA")], "r_regionkey int, r_name string")
+    table("nation", [(0, "JAPAN", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    table("customer", [(1, 0)], "c_custkey long, c_nationkey int")
+    table("orders", [(k, 1, "F", 10.0, datetime.datetime(d.year, d.month, d.day), "1-URGENT") for k, d in kept], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string")
+    table("lineitem", [(k, 100.0, 0.01, 1.0, 2 if d.isoformat() >= CURRENT[0] else 1) for k, d in kept], "l_orderkey long, l_extendedprice double, l_discount double, l_quantity double, l_linenumber int")
+    calendars = ["trading"] if missing == "weekday" else ["trading", "weekdays"]
+    of = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).orderBy("calendar").collect()]
+    assert of("emphasised_points") == [("chart-downtime-asia", "current", c) for c in calendars]
+    claims = ("asia-current-downtime", "asia-downtime-change", "asia-previous-downtime")
+    assert sorted((r[1], r[4]) for r in of("evidence_subject")) == sorted((m, c) for m in claims for c in calendars)
+    listed = of("headline_metrics")
+    assert [sum(r[2] == c for r in listed) for c in ("trading", "weekdays")] == [8, 8]
+    for c in ("trading", "weekdays"):
+        assert (set(claims) <= {r[0] for r in listed if r[2] == c}) == (c in calendars)
