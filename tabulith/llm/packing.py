@@ -35,8 +35,8 @@ WINDOWS = 24
 END_ID = 2
 #: Partitions, then groups, whose leftovers one merging task repacks.
 FAN_IN = 32
-#: Words, and so memory, that a worker remembers at most (twice, in two generations).
-MEMORY = 120_000
+#: Words, and so memory, that a worker remembers at most (twice, in two generations): for the next tasks too, or in one task only.
+MEMORY, TASK_MEMORY = 300_000, 120_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 PIECES = f"{SCHEMA}, part bigint, open boolean"
@@ -64,22 +64,26 @@ class WordIds:
         self.old: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
+    def _stem(self, piece: bytes) -> bytes:
+        ids = self.stems.get(piece)
+        if ids is None:
+            found = [t.id for t in self.model.tokenize(piece.decode())]
+            ids = self.stems[piece] = struct.pack(f"<{len(found)}I", *found)
+        return ids
+
     def _learn(self, words: set[bytes]) -> None:
         hard = []
         for w in words:
-            if w in self.old:
-                self.young[w] = self.old[w]
-            elif _PRINTABLE.fullmatch(w) and b"<|" not in w:
-                out = b""
-                for p in ASCII_PIECES.findall(w.lower()):
-                    ids = self.stems.get(p)
-                    if ids is None:
-                        found = [t.id for t in self.model.tokenize(p.decode())]
-                        ids = self.stems[p] = struct.pack(f"<{len(found)}I", *found)
-                    out += ids
-                self.young[w] = out
-            else:
-                hard.append(w)
+            out = self.old.get(w)
+            if out is None:
+                if w.isalpha():  # letters A-Z only: one piece
+                    out = self._stem(w.lower())
+                elif _PRINTABLE.fullmatch(w) and b"<|" not in w:
+                    out = b"".join(map(self._stem, ASCII_PIECES.findall(w.lower())))
+                else:
+                    hard.append(w)
+                    continue
+            self.young[w] = out
         if hard:
             for w, e in zip(hard, self.tokenizer.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False), strict=True):
                 self.young[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
@@ -106,10 +110,10 @@ def forget_encoders() -> None:
     release_memory()
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, memory: int = MEMORY) -> WordIds:
     """One per worker process, so that the vocabulary is read once."""
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        _encoders[path] = WordIds(path, memory)
     return _encoders[path]
 
 
@@ -204,7 +208,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, windows: int
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        words, packer = encoder(tokenizer), Packer(part << 32, capacity, windows)
+        words, packer = encoder(tokenizer, MEMORY if keep_words else TASK_MEMORY), Packer(part << 32, capacity, windows)
         for rows, data, at in pieces(batches):
             raw = data.tobytes()
             ids = words.encode([raw[at[i] : at[i + 1]] for i in range(len(at) - 1)])
