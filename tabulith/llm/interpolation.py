@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.words import IN_WORD, U, Words, arrow, batch, id_and_text, mix, pieces
-from tabulith.session import cut_lineage
+from tabulith.session import cut_lineage, scratch
 
 #: Frequent words are those with N / HEAD occurrences, hot pairs those with N / HOT.
 HEAD, HOT = 1 << 18, 1 << 12
@@ -520,15 +520,17 @@ def lm_scores(docs: DataFrame, out: str = "crc32(cast(doc_id as string)) % 7 = 2
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = PER_PARTITION * parts
     folded, size = head is not None, head or known
-    words = learn_head(rows, buckets, parts, size, folded)
-    sent = spark.sparkContext.broadcast(words)
-    # The word of a hot pair has to be a frequent one.
-    found = cut_lineage(pair_counts(rows, sent, buckets, parts, min(HOT, size)))
-    evidence = found.filter("kind = 0").select("a", "b", "c", "n")
-    if not folded:
-        evidence = evidence.union(own_evidence(found.filter("kind = 2").select("a", "payload"), parts).select("a", "b", "c", "n"))
-    cells = np.array([tuple(r) for r in evidence.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()], np.int64).reshape(-1, 4)
-    hot = [tuple(r) for r in found.filter("kind = 1").select("a", "b", "n").collect()]
+    # The counts serve the model alone: their tables are gone before the scores are shuffled.
+    with scratch(spark):
+        words = learn_head(rows, buckets, parts, size, folded)
+        sent = spark.sparkContext.broadcast(words)
+        # The word of a hot pair has to be a frequent one.
+        found = cut_lineage(pair_counts(rows, sent, buckets, parts, min(HOT, size)))
+        evidence = found.filter("kind = 0").select("a", "b", "c", "n")
+        if not folded:
+            evidence = evidence.union(own_evidence(found.filter("kind = 2").select("a", "payload"), parts).select("a", "b", "c", "n"))
+        cells = np.array([tuple(r) for r in evidence.groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()], np.int64).reshape(-1, 4)
+        hot = [tuple(r) for r in found.filter("kind = 1").select("a", "b", "n").collect()]
     model = Model(words, mixture_weights(cells, 1 / (words.totals["v_est"] + 1)), hot)
     total = words.totals["n_all"]
     shared = spark.sparkContext.broadcast(model)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -68,8 +69,14 @@ def ship(spark: SparkSession) -> None:
     context._tabulith_shipped = True
 
 
-#: Tables written in the blocks of ``scratch`` that are open, innermost last.
-_written: list[list[str]] = []
+class _Written(threading.local):
+    """Tables written in the blocks of ``scratch`` that are open in this thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_written = _Written()
 
 
 def delete_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -87,11 +94,12 @@ def scratch(spark: SparkSession):
     Yields the list of their paths.
     """
     paths: list[str] = []
-    _written.append(paths)
+    _written.open.append(paths)
     try:
         yield paths
     finally:
-        _written.remove(paths)
+        # By identity: two empty lists are equal.
+        _written.open[:] = [p for p in _written.open if p is not paths]
         delete_tables(spark, paths)
 
 
@@ -102,7 +110,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executor re-reads it instead of recomputing everything before it.
     """
     path = f"{shared_folder(df.sparkSession)}/tabulith-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    if _written.open:
+        _written.open[-1].append(path)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
