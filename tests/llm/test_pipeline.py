@@ -70,4 +70,36 @@ def test_odd_documents(spark, data, odd):
 def test_queries_are_registered():
     from tabulith.llm.queries import QUERIES
 
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and os.path.exists(pipeline.__file__)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and os.path.exists(pipeline.__file__)
+
+
+def test_words_of_letters_are_one_piece(monkeypatch):
+    """They are looked up without being cut by the vocabulary's pattern."""
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tabulith.llm import packing
+
+    class Cut:
+        @staticmethod
+        def findall(word):
+            assert not word.isalpha()
+            return pattern.findall(word)
+
+    pattern, path = packing.ASCII_PIECES, public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "ASCII_PIECES", Cut)
+    texts = ["Hello WORLD hello", "don't WE'RE x's 12a3 a-b", "É naïve <|endoftext|> a<|b", ""]
+    whole = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert packing.WordIds(path).encode([t.encode() for t in texts]) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in whole]
+
+
+def test_a_model_leaves_no_tables_of_counts(spark, tmp_path, monkeypatch):
+    from tabulith import session
+    from tabulith.llm.interpolation import lm_scores
+
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    scored = lm_scores(spark.createDataFrame([(i, f"one two {i % 3} two one") for i in range(40)], "doc_id long, text string"))
+    assert not [p for p in os.listdir(tmp_path) if p.startswith("tabulith-")]
+    assert scored.count() == 40
