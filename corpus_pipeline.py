@@ -18,16 +18,18 @@ from tabulith.llm.packing import pack
 from tabulith.llm.positions import decontaminate
 from tabulith.llm.repeats import without_repeats
 from tabulith.llm.words import documents
-from tabulith.session import cut_lineage
+from tabulith.session import cut_lineage, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or leave their compression bands go."""
+    small_batches(spark)
     return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays, once."""
+    small_batches(spark)
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     left = by_ids(docs, cut_lineage(gone), "left_anti")
     twice = cut_lineage(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
@@ -38,17 +40,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes or more that an earlier document has are cut out."""
+    small_batches(spark)
     return without_repeats(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item go."""
+    small_batches(spark)
     gone = decontaminate(docs, documents(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
     return by_ids(docs, cut_lineage(gone), "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids packed into sequences of 4096."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_words=False)
 
 

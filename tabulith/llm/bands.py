@@ -44,8 +44,9 @@ _SYMBOL[list(SYMBOLS)] = True
 
 
 def _sum(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-    return total[at[1:]] - total[at[:-1]]
+    total = np.zeros(len(flags) + 1, np.int64 if flags.dtype != bool else np.int32)
+    np.cumsum(flags, out=total[1:])
+    return (total[at[1:]] - total[at[:-1]]).astype(np.int64)
 
 
 def _again(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,8 +65,10 @@ def text_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Per text: words, their code points, symbols, repeated lines, words in repeated windows."""
     words = Words(data, at, IN_WORD)
     out = {"n_words": words.counts}
-    head = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
+    head = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=head[1:])
     per_word = head[words.ends] - head[words.starts]
+    del head
     out["word_chars"] = _sum(per_word, words.first)
     out["n_symbols"] = _sum(_SYMBOL[data], at)
 

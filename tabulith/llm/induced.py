@@ -127,7 +127,13 @@ def _runs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(np.concatenate([[0], ends]))
     after = np.append(text[ends[:-1]], 0) if n else text
     smaller = np.repeat(text[ends - 1] < after, lengths) | (text == 0)
-    return smaller, np.repeat(ends, lengths) - np.arange(n)
+    kind = _places(n)
+    return smaller, np.repeat(ends.astype(kind), lengths) - np.arange(n, dtype=kind)
+
+
+def _places(n: int) -> type:
+    """The type of places in a text of ``n`` symbols: four bytes where they do."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 def _induce(text, is_s, runs, seeds, seed_common, cap, budget, cut):
@@ -216,15 +222,15 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, cap: int, budget: int = BU
     it shares with the suffix before it.
     """
     n = len(at) - 1
-    string = np.repeat(np.arange(n), np.diff(at))
+    kind = _places(len(data) + n)
+    place = np.arange(len(data), dtype=kind) + np.repeat(np.arange(n, dtype=kind), np.diff(at))
     text = np.zeros(len(data) + n, np.uint16)
-    place = np.arange(len(data)) + string
     text[place] = data.astype(np.uint16) + 1
     is_s, runs = _runs(text)
     star = is_s.copy()
     star[1:] &= ~is_s[:-1]
     star[:1] = text[:1] == 0
-    stars = np.flatnonzero(star)
+    stars = np.flatnonzero(star).astype(kind)
     ends = np.flatnonzero(text == 0)
 
     seeds = stars[np.argsort(text[stars], kind="stable")]
@@ -232,15 +238,15 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, cap: int, budget: int = BU
     same[1:] = text[seeds[1:]] == text[seeds[:-1]]
     order, common = _induce(text, is_s, runs, seeds, same, cap, budget, cut=True)
 
-    string_of = np.repeat(np.arange(n), np.diff(at) + 1)
+    string_of = np.repeat(np.arange(n, dtype=kind), np.diff(at) + 1)
     # Names of the S* substrings: a new one where the common prefix is shorter than the substring.
-    length = np.zeros(len(text), np.int64)
+    length = np.zeros(len(text), kind)
     length[stars[:-1]] = np.diff(stars) + 1
     length[ends] = 1
     is_star = star[order]
     where = np.flatnonzero(is_star)
     ranked = order[where]
-    names = np.zeros(len(text), np.int64)
+    names = np.zeros(len(text), kind)
     if len(where):
         least = np.append(0, range_least(common, where[:-1] + 1, where[1:])) if len(where) > 1 else np.zeros(1, np.int64)
         size = np.minimum(length[ranked], cap)
@@ -248,18 +254,22 @@ def sorted_suffixes(data: np.ndarray, at: np.ndarray, cap: int, budget: int = BU
         fresh[1:] = (least[1:] < size[1:]) | (size[1:] != size[:-1])
         names[ranked] = np.cumsum(fresh)
     reduced = names[stars]  # string ends have name 0
+    del order, common, length, names, is_star, where, ranked, star
     last = np.searchsorted(stars, ends)[string_of[stars]]
     rank = _names_in_order(reduced, last, cap)
     seeds = stars[np.argsort(rank, kind="stable")]
+    del rank, reduced, last, stars
 
     raw = np.zeros(len(text), np.uint8)
     raw[place] = data
-    end_of = ends[string_of]
+    end_of = ends.astype(kind)[string_of]
     known = np.zeros(len(seeds), np.uint8)
     known[1:] = common_prefix(raw, end_of, seeds[:-1], seeds[1:], cap)
     # Ends of strings are equal symbols of one bucket.
     known[1:][(text[seeds[1:]] == 0) & (text[seeds[:-1]] == 0)] = 1
+    del raw, end_of, place
     order, common = _induce(text, is_s, runs, seeds, known, cap, budget, cut=False)
+    del text, is_s, runs, seeds, known
     owner = string_of[order]
     left = ends[owner] - order
     common[1:] = np.minimum(common[1:], np.minimum(left[1:], left[:-1]))  # an end equals another end

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.induced import sorted_suffixes
 from tabulith.llm.joins import by_ids
-from tabulith.llm.words import _BYTE, U, arrow, batch, in_text, mix, pieces, powers, span_hashes
+from tabulith.llm.words import _BYTE, STEP, U, arrow, batch, in_text, mix, pieces, powers, released, span_hashes
 from tabulith.session import cut_lineage
 
 LENGTH = 50
@@ -58,8 +58,26 @@ REMOVED = "block bigint, spans binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring windows with one anchor: anchor, text, first byte, number of windows."""
+def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring windows with one anchor: anchor, text, first byte, number of windows.
+
+    Windows are looked at in runs of ``step`` first bytes, so that only the bytes themselves are held for all of them.
+    """
+    found = []
+    for low in range(0, len(data), step):
+        high = min(low + step + length - 1, len(data))
+        a, b = int(np.searchsorted(at, low, "right")) - 1, int(np.searchsorted(at, high))
+        value, owner, start, count = _anchors(data[low:high], np.clip(at[a : b + 1], low, high) - low, length, gram)
+        found.append((value, owner + a, start + low, count))
+    if not found:
+        return np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(3))
+    value, owner, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    # A run may go on in the next step.
+    head = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])])) if len(value) else start
+    return value[head], owner[head], start[head], np.add.reduceat(count, head) if len(head) else count
+
+
+def _anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(at)
     starts = in_text(sizes, length)
     if not len(starts):
@@ -140,7 +158,7 @@ def anchor_entries(blocks: DataFrame, buckets: int, length: int, gram: int) -> D
                     [press.compress(docs[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes()) for b in full],
                 )
 
-    return blocks.mapInArrow(run, ENTRIES)
+    return blocks.mapInArrow(released(run), ENTRIES)
 
 
 def shared_anchors(entries: DataFrame, split_above: int) -> DataFrame:
@@ -148,9 +166,14 @@ def shared_anchors(entries: DataFrame, split_above: int) -> DataFrame:
     schema = arrow(SHARED)
 
     def run(batches):
-        got = [r for rows in batches for r in rows.to_pylist()]
-        if not got:
-            return
+        held: dict[int, list] = {}
+        for rows in batches:
+            for r in rows.to_pylist():
+                held.setdefault(r["bucket"], []).append(r)
+        for bucket in list(held):  # an anchor is in one bucket only
+            yield from of_bucket(held.pop(bucket))
+
+    def of_bucket(got):
         unpress = zstandard.ZstdDecompressor()
         values = [_from_six(r["anchors"]) for r in got]
         counts = [np.frombuffer(unpress.decompress(r["docs"]), np.uint32) for r in got]
@@ -168,7 +191,7 @@ def shared_anchors(entries: DataFrame, split_above: int) -> DataFrame:
             if mine.any():
                 yield batch(schema, [r["block"]], [_six(value[mine])], [np.packbits(total[slot[mine]] > split_above).tobytes()])
 
-    return entries.mapInArrow(run, SHARED)
+    return entries.mapInArrow(released(run), SHARED)
 
 
 def _payload(*arrays: np.ndarray, data: np.ndarray) -> bytes:
@@ -246,17 +269,16 @@ def passages(blocks: DataFrame, shared: DataFrame, shards: int, length: int, gra
                     bytes_at = take - np.repeat(begin, size[part]) + np.repeat(start[part], size[part])
                     yield batch(schema, [s], [row["block"]], [_payload(doc[part], start[part].astype(np.int32), size[part].astype(np.int32), key[part].view(np.int64), data=data[bytes_at])])
 
-    return blocks.join(grouped, "block").mapInArrow(run, PASSAGES)
+    return blocks.join(grouped, "block").mapInArrow(released(run), PASSAGES)
 
 
 def _repeated(data, at, doc, length):
     """Per passage, the places of windows that a smaller document has too: (passage, first byte)."""
     owner, place, common = sorted_suffixes(data, at, length)
-    size = np.diff(at)
-    full = size[owner] - place >= length
+    full = np.diff(at)[owner] - place >= length
     head = np.concatenate([[True], common[1:] < length])
-    group = np.cumsum(head) - 1
-    group, owner, place = group[full], owner[full], place[full]
+    group = np.cumsum(head, dtype=owner.dtype)[full]
+    owner, place = owner[full], place[full]
     heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
     if not len(heads):
         return owner, place
@@ -284,7 +306,7 @@ def removed_runs(moved: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                     got[name].append(x)
         if not got["doc"]:
             return
-        block, doc, start, size, key, data = (np.concatenate(x) for x in got.values())
+        block, doc, start, size, key, data = (np.concatenate(got.pop(name)) for name in list(got))
         size = size.astype(np.int64)
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
         order = np.argsort(key, kind="stable")
@@ -319,7 +341,7 @@ def removed_runs(moved: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 yield from runs_of(block[part][passage[heads]], first[heads], first[tails] + length)
             i = j
 
-    return moved.select("block", "payload").mapInArrow(run, REMOVED)
+    return moved.select("block", "payload").mapInArrow(released(run), REMOVED)
 
 
 def _apply(spans: list[bytes], at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -382,7 +404,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split_
     # A whole copy has no digest of its own left: all its bytes go.
     whole = F.col("sha").isNull()
     rest = aside.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(0).alias("n_removed"), whole.cast("long").alias("n_spans"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("kept_sha256"))
-    return blocks.mapInArrow(run, RESULT).unionByName(rest)
+    return blocks.mapInArrow(released(run), RESULT).unionByName(rest)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split_above: int = SPLIT_ABOVE, shard_bytes: int = SHARD) -> DataFrame:
@@ -408,4 +430,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, spl
                 yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names).filter(kept)
 
     typed = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
-    return blocks.mapInArrow(run, typed.schema).unionByName(typed.filter("doc_id is null"))
+    return blocks.mapInArrow(released(run), typed.schema).unionByName(typed.filter("doc_id is null"))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 U = np.uint64
 #: Bytes of text worked on at once; one longer text is a piece of its own.
 PIECE = 2 << 20
+#: Bytes whose running sums are held at once: each takes eight bytes, and as much for either power.
+STEP = 1 << 18
 
 #: White space between words, and ASCII that is no letter or digit.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -48,7 +50,7 @@ _powers = {"n": 0}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of the base and of its inverse."""
     if _powers["n"] < n:
-        size = max(n, PIECE + 1)
+        size = max(2 * STEP, 1 << (n - 1).bit_length())
         with np.errstate(over="ignore"):
             up, down = (np.cumprod(np.concatenate([[U(1)], np.full(size - 1, b, U)]), dtype=U) for b in (_BASE, _INVERSE))
         if size > 4 * PIECE:
@@ -109,6 +111,16 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def released(run):
+    """The function of a task, with what it has freed given back at its end."""
+
+    def whole(batches):
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 class Words:
     """The words of a run of texts: where they start and end, and which words each text has."""
 
@@ -139,11 +151,19 @@ class Words:
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each byte span; spans of other lengths differ too."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    with np.errstate(over="ignore"):
-        np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    out = np.empty(len(starts), U)
+    ordered = bool((starts[1:] >= starts[:-1]).all())
+    i = 0
+    while i < len(starts):  # spans that start within STEP bytes
+        j = int(np.searchsorted(starts, starts[i] + STEP)) if ordered else len(starts)
+        low, high = int(starts[i:j].min()), int(ends[i:j].max())
+        up, down = powers(high - low + 1)
+        sums = np.zeros(high - low + 1, U)
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=sums[1:])
+            out[i:j] = mix((sums[ends[i:j] - low] - sums[starts[i:j] - low]) * down[starts[i:j] - low] + (ends[i:j] - starts[i:j]).astype(U) * U(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

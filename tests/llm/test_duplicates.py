@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -67,6 +68,40 @@ def test_family_of_near_copies(spark):
     check_groups(spark.createDataFrame(rows, "doc_id long, text string"), 2)
 
 
+def test_suffix_dedup_holds_little_at_once():
+    """What a worker holds is a small multiple of its bytes: it lies beside the executor's heap."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 107, 2 << 20).astype(np.uint8)
+    at = np.append(np.arange(0, len(data), 2000), len(data))
+    cuts = np.append(np.arange(0, 1 << 20, 90), 1 << 20)
+    whole = repeats.anchors(data, at, 50, 20, step=len(data))
+    for limit, run in ((48, lambda: repeats.anchors(data, at, 50, 20)), (90, lambda: repeats._repeated(data[: 1 << 20], cuts, np.arange(len(cuts) - 1), 50))):
+        tracemalloc.start()
+        found = run()
+        peak = tracemalloc.get_traced_memory()[1] >> 20
+        tracemalloc.stop()
+        assert peak < limit
+        if limit == 48:
+            assert all((a == b).all() for a, b in zip(found, whole, strict=True))
+
+
+@pytest.mark.parametrize("step", [1, 37, 90, 1 << 18])
+def test_anchors_in_steps(step):
+    """A window's anchor is the least hash in it, whatever the steps; neighbours with one anchor are one run."""
+    rng = np.random.default_rng(step)
+    texts = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (0, 49, 50, 51, 0, 300, 77)] + [b"a" * 200, b""]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    names = {}
+    value, owner, start, count = repeats.anchors(data, at, 50, 20, step)
+    windows = [(int(o), int(s) + k) for o, s, n in zip(owner, start, count) for k in range(n)]
+    assert windows == [(i, int(at[i]) + k) for i, t in enumerate(texts) for k in range(len(t) - 49)]
+    assert not ((value[1:] == value[:-1]) & (owner[1:] == owner[:-1])).any()
+    for v, o, s, n in zip(value, owner, start, count):
+        for k in range(n):
+            window = data[s + k : s + k + 50].tobytes()
+            assert names.setdefault(window, v) == v and s + k + 50 <= at[o + 1]
+
+
 def test_signature_estimates():
     rng = np.random.default_rng(1)
     table, registers = minhash.collision_table(288), 288

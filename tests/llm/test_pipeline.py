@@ -95,6 +95,20 @@ def test_words_of_letters_are_one_piece(monkeypatch):
     assert packing.WordIds(path).encode([t.encode() for t in texts]) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in whole]
 
 
+def test_rows_go_to_workers_by_a_few_megabytes(spark, data, odd):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        pipeline.quality(spark, odd, data)
+        assert spark.conf.get(key) == "4m"
+        spark.conf.set(key, "1m")
+        pipeline.suffix_repeats(spark, odd.limit(0), data)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_a_model_leaves_no_tables_of_counts(spark, tmp_path, monkeypatch):
     from tabulith import session
     from tabulith.llm.interpolation import lm_scores
