@@ -117,6 +117,15 @@ class Head:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return at, self.words[at] == hashes
 
+    def short(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Frequent words as steps from place to place, and the hashes of the others; both come in order, frequent ones first."""
+        at, known = self.slot(words)
+        return np.diff(at[known], prepend=0).astype(np.uint32), words[~known]
+
+    def long(self, steps: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The words of ``short``."""
+        return np.concatenate([self.words[np.cumsum(steps, dtype=np.int64)], others])
+
     def context_ids(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         at, known = self.slot(tokens)
         out = np.empty(len(tokens), U)
@@ -204,10 +213,10 @@ def learn_head(rows: DataFrame, buckets: int, parts: int, head: int = HEAD, fold
     return Head([tuple(r) for r in frequent.collect()], totals, folded)
 
 
-def _pair_bucket(head: Head, words: np.ndarray, contexts: np.ndarray, buckets: int) -> np.ndarray:
-    """Pairs of a frequent word are dealt out by pair, others by word."""
+def _pair_bucket(head: Head, words: np.ndarray, contexts: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a frequent word are dealt out by pair, others by word; which pairs are those of other words."""
     _, known = head.slot(words)
-    return _bucket(np.where(known, words ^ mix(contexts.astype(U) + U(1)), words), buckets)
+    return _bucket(np.where(known, words ^ mix(contexts.astype(U) + U(1)), words), buckets), ~known
 
 
 def _pair_key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -233,8 +242,8 @@ def pair_counts(rows: DataFrame, head, buckets: int, parts: int, most_hot: int =
             heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else np.zeros(0, np.int64)
             est, out = (np.add.reduceat((kind[order] == k).astype(np.int64), heads) if len(heads) else heads for k in (1, 2))
             tokens, contexts = tokens[order][heads], contexts[order][heads]
-            where = _pair_bucket(h, tokens, contexts, buckets)
-            order = np.lexsort((contexts, tokens, where))
+            where, other = _pair_bucket(h, tokens, contexts, buckets)
+            order = np.lexsort((contexts, tokens, 2 * where + other))
             tokens, contexts, est, out = tokens[order], contexts[order], est[order].astype(np.uint32), out[order].astype(np.uint32)
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
@@ -242,7 +251,7 @@ def pair_counts(rows: DataFrame, head, buckets: int, parts: int, most_hot: int =
             for b in full:
                 mine = slice(cuts[b], cuts[b + 1])
                 words, runs = _runs(tokens[mine])
-                payloads.append(_pack(words, runs, *_split(contexts[mine]), est[mine], out[mine]))
+                payloads.append(_pack(*h.short(words), runs, *_split(contexts[mine]), est[mine], out[mine]))
             yield batch(arrow(PACKED), full, np.zeros(len(full)), payloads)
 
     def evidence(batches):
@@ -255,9 +264,9 @@ def pair_counts(rows: DataFrame, head, buckets: int, parts: int, most_hot: int =
 
     def of_bucket(got):
         h = head.value
-        words = np.concatenate([np.repeat(g[0], g[1]) for g in got])
-        contexts = np.concatenate([_joined(g[2], g[3]) for g in got])
-        est, out = (np.concatenate([g[i] for g in got]) for i in (4, 5))
+        words = np.concatenate([np.repeat(h.long(g[0], g[1]), g[2]) for g in got])
+        contexts = np.concatenate([_joined(g[3], g[4]) for g in got])
+        est, out = (np.concatenate([g[i] for g in got]) for i in (5, 6))
         key = _pair_key(words, contexts)
         order = np.argsort(key)
         heads = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
@@ -401,8 +410,8 @@ def partial_scores(rows: DataFrame, model, buckets: int, parts: int) -> DataFram
                 np.bincount(doc[hot], minlength=docs).astype(np.uint32), np.bincount(doc[hot], weights=base, minlength=docs), np.bincount(doc[hot], weights=score, minlength=docs),
             )
             tokens, contexts, doc, key = tokens[~hot], contexts[~hot], doc[~hot], key[~hot]
-            where = _pair_bucket(m.head, tokens, contexts, buckets)
-            order = np.lexsort((doc, contexts, tokens, where))
+            where, other = _pair_bucket(m.head, tokens, contexts, buckets)
+            order = np.lexsort((doc, contexts, tokens, 2 * where + other))
             tokens, contexts, doc, where = tokens[order], contexts[order], doc[order], where[order]
             cuts = np.searchsorted(where, np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cuts))
@@ -413,7 +422,7 @@ def partial_scores(rows: DataFrame, model, buckets: int, parts: int) -> DataFram
                 # A pair's tokens are neighbours: contexts as runs within the word's run.
                 edge = np.concatenate([[True], (tokens[mine][1:] != tokens[mine][:-1]) | (contexts[mine][1:] != contexts[mine][:-1])])
                 heads = np.flatnonzero(edge)
-                payloads.append(_pack(words, runs, *_split(contexts[mine][heads]), np.diff(np.append(heads, len(edge))).astype(np.uint32), doc[mine].astype(np.uint32), np.packbits(trained), np.array([docs], np.uint32)))
+                payloads.append(_pack(*m.head.short(words), runs, *_split(contexts[mine][heads]), np.diff(np.append(heads, len(edge))).astype(np.uint32), doc[mine].astype(np.uint32), np.packbits(trained), np.array([docs], np.uint32)))
             yield batch(arrow(PACKED), np.append(full, number % buckets), np.full(len(full) + 1, number), [*payloads, b"i" + info])
             number += 1
 
@@ -430,9 +439,9 @@ def partial_scores(rows: DataFrame, model, buckets: int, parts: int) -> DataFram
         own: list[tuple] = []
         for bucket in list(held):  # one bucket's tokens at a time
             got = [(piece, _unpack(raw)) for piece, raw in held.pop(bucket)]
-            words = np.concatenate([np.repeat(g[0], g[1]) for _, g in got])
-            contexts = np.concatenate([np.repeat(_joined(g[2], g[3]), g[4]) for _, g in got])
-            trained = np.concatenate([np.unpackbits(g[6])[: int(g[7][0])][g[5]] for _, g in got])
+            words = np.concatenate([np.repeat(m.head.long(g[0], g[1]), g[2]) for _, g in got])
+            contexts = np.concatenate([np.repeat(_joined(g[3], g[4]), g[5]) for _, g in got])
+            trained = np.concatenate([np.unpackbits(g[7])[: int(g[8][0])][g[6]] for _, g in got])
             distinct, slot = np.unique(words, return_inverse=True)
             single = m.head.word_counts(distinct, np.bincount(slot, weights=trained, minlength=len(distinct)).astype(np.int64), "all")[slot]
             _, slot = np.unique(_pair_key(words, contexts), return_inverse=True)
@@ -440,15 +449,15 @@ def partial_scores(rows: DataFrame, model, buckets: int, parts: int) -> DataFram
             base, p = m.terms(contexts, pair, single)
             far = np.flatnonzero(contexts >= OWN)
             if len(far):
-                number, docs_of = np.repeat([piece for piece, _ in got], [len(g[5]) for _, g in got])[far], np.repeat([int(g[7][0]) for _, g in got], [len(g[5]) for _, g in got])[far]
-                own.append((contexts[far], pair[far].astype(U), single[far].astype(U), trained[far].astype(np.uint8), number.astype(U), docs_of.astype(np.uint32), np.concatenate([g[5] for _, g in got])[far].astype(np.uint32)))
+                number, docs_of = np.repeat([piece for piece, _ in got], [len(g[6]) for _, g in got])[far], np.repeat([int(g[8][0]) for _, g in got], [len(g[6]) for _, g in got])[far]
+                own.append((contexts[far], pair[far].astype(U), single[far].astype(U), trained[far].astype(np.uint8), number.astype(U), docs_of.astype(np.uint32), np.concatenate([g[6] for _, g in got])[far].astype(np.uint32)))
                 if sum(len(x[0]) for x in own) > SENT:
                     yield from send_on(own)
                     own = []
             end = 0
             for piece, g in got:
-                begin, end, docs = end, end + len(g[5]), int(g[7][0])
-                doc, known = g[5].astype(np.int64), single[begin:end] > 0
+                begin, end, docs = end, end + len(g[6]), int(g[8][0])
+                doc, known = g[6].astype(np.int64), single[begin:end] > 0
                 mine = [np.bincount(doc[known], minlength=docs), np.bincount(doc, weights=base[begin:end], minlength=docs), np.bincount(doc, weights=p[begin:end], minlength=docs)]
                 sums[piece] = [x + y for x, y in zip(sums[piece], mine, strict=True)] if piece in sums else mine
         yield from send_on(own)

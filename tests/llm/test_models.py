@@ -93,6 +93,21 @@ def test_every_context_has_its_own_counts(docs, monkeypatch, known):
         assert total == pytest.approx(scores[i], rel=1e-6)
 
 
+def test_frequent_words_travel_as_places():
+    """Words that every task knows are sent as steps between their places, the others as hashes."""
+    rng = np.random.default_rng(5)
+    every = rng.integers(1, 1 << 63, 5000).astype(np.uint64)
+    head = interpolation.Head([(int(w.view(np.int64)), 3, 4) for w in every[:4000]], {k: 10**6 for k in ("n_est", "n_all", "docs_est", "docs_all")}, False)
+    for words in (np.unique(rng.choice(every, 900)), every[:0], np.sort(every[4000:]), np.sort(every[:4000])):
+        where, other = interpolation._pair_bucket(head, words, np.zeros(len(words), np.uint64), 1)
+        words = words[np.lexsort((words, 2 * where + other))]
+        steps, rest = interpolation._unpack(interpolation._pack(*head.short(words)))
+        assert (head.long(steps, rest) == words).all() and len(rest) == other.sum()
+    assert len(interpolation._pack(*head.short(words))) < 2 * len(words)
+    nothing = interpolation.Head([], {k: 0 for k in ("n_est", "n_all", "docs_est", "docs_all")}, False)
+    assert (nothing.long(*nothing.short(words)) == words).all()
+
+
 def test_weights_are_learned():
     # In octave 3 the pair share explains the held-out counts, in octave 5 the word share does.
     step = interpolation._step
