@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulith.llm.joins import union_all
-from tabulith.llm.words import IN_ALNUM, U, Words, arrow, batch, binaries, id_and_text, pieces
+from tabulith.llm.words import IN_ALNUM, U, Words, arrow, batch, binaries, gathered, id_and_text, pieces
 from tabulith.session import cut_lineage
 
 WINDOW = 10
@@ -75,7 +75,7 @@ def build_segments(docs: DataFrame, test, segment: int = SEGMENT) -> DataFrame:
 
     def run(batches):
         terms = test.value.terms
-        for rows, data, at in pieces(batches, limit=segment):
+        for rows, data, at in pieces(gathered(batches, limit=segment), limit=segment):
             words = Words(data, at, IN_ALNUM, lower=True)
             hashes = words.hashes()
             slot = np.minimum(np.searchsorted(terms, hashes), max(len(terms) - 1, 0)) if len(terms) else np.zeros(len(hashes), np.int64)
@@ -133,8 +133,12 @@ def find(test: Test, order: np.ndarray, postings: np.ndarray, cuts: np.ndarray,
     return window, start
 
 
-def search(segments: DataFrame, test, order, slop: int = 0) -> DataFrame:
-    """Per document: its words, the runs of words that are hit, the items that hit them."""
+def search(segments: DataFrame, test, order, slop: int = 0, summed: bool = False) -> DataFrame:
+    """Per document: its words, the runs of words that are hit, the items that hit them.
+
+    ``summed``: the result per document instead, by the same worker; a step of its own
+    would keep a second worker alive beside each.
+    """
 
     def run(batches):
         schema = arrow(HITS)
@@ -155,6 +159,8 @@ def search(segments: DataFrame, test, order, slop: int = 0) -> DataFrame:
                     items[d] = sorted({name for w in np.unique(window[mine]) for name in t.owners[w]})
                 yield batch(schema, [i if k else None for i, k in ids.tolist()], counts, hits, items)
 
+    if summed:
+        return segments.mapInArrow(lambda batches: _summary(run(batches)), RESULT)
     return segments.mapInArrow(run, HITS)
 
 
@@ -196,9 +202,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         segments = cut_lineage(build_segments(source, sent, segment))
         counts = term_counts(segments, len(test.terms))
         order = spark.sparkContext.broadcast(test.by_rarity(counts))
-        found.append(search(segments, sent, order, slop))
+        found.append(search(segments, sent, order, slop, summed=blocks == 1))
     if blocks == 1:
-        return found[0].mapInArrow(_summary, RESULT)
+        return found[0]
     every = union_all(found).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("hits").alias("hits"), F.flatten(F.collect_list("items")).alias("items"))
     result = every.mapInArrow(_summary, RESULT).withColumnRenamed("doc_id", "row")
     return rows.select("row", "doc_id").join(result, "row").drop("row")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.induced import sorted_suffixes
 from tabulith.llm.joins import by_ids
-from tabulith.llm.words import _BYTE, STEP, U, arrow, batch, in_text, mix, pieces, powers, released, span_hashes
+from tabulith.llm.words import _BYTE, STEP, U, arrow, batch, gathered, in_text, mix, pieces, powers, released, span_hashes
 from tabulith.session import cut_lineage
 
 LENGTH = 50
@@ -47,8 +47,10 @@ GRAM = 20
 SPLIT_ABOVE = 20_000
 #: Bytes of passages sorted as one suffix array; a shard of a task is cut at anchors.
 SHARD = 1 << 20
-#: Buckets and shards for each shuffle partition, so that hashing them deals evenly.
+#: Shards for each shuffle partition, so that hashing them deals evenly.
 PER_PARTITION = 4
+#: Buckets of anchors for each shuffle partition; every block sends a row to each bucket.
+BUCKETS = 2
 
 BLOCKS = "block bigint, ids binary, cuts binary, data binary, rest binary"
 ENTRIES = "bucket bigint, block bigint, anchors binary, docs binary"
@@ -105,7 +107,7 @@ def pack_blocks(rows: DataFrame) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         press = zstandard.ZstdCompressor(level=1)
-        for rows, data, at in pieces(batches):
+        for rows, data, at in pieces(gathered(batches)):
             ids = np.array(rows.column("doc_id"))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema.remove(rows.schema.get_field_index("text"))) as out:
@@ -150,7 +152,10 @@ def anchor_entries(blocks: DataFrame, buckets: int, length: int, gram: int) -> D
                 heads = np.flatnonzero(new)
                 docs = np.add.reduceat((new | other).astype(np.int64), heads) if len(heads) else np.zeros(0, np.int64)
                 distinct = value[heads]
-                bucket = ((distinct >> U(32)) * U(buckets)) >> U(32)
+                # Anchors are least hashes and so crowd at the low end: mixed again, they are dealt evenly.
+                bucket = ((mix(distinct) >> U(32)) * U(buckets)) >> U(32)
+                order = np.argsort(bucket, kind="stable")
+                bucket, distinct, docs = bucket[order], distinct[order], docs[order]
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 yield batch(
@@ -382,7 +387,7 @@ def _judged(docs: DataFrame, length: int, gram: int, split_above: int, shard_byt
     own = by_ids(own, copies.select("doc_id", F.col("digest").alias("__digest")).distinct(), "left_anti", ["doc_id", "__digest"]).drop("__digest")
     blocks = cut_lineage(pack_blocks(own))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = anchor_entries(blocks, PER_PARTITION * parts, length, gram).repartition(parts, "bucket")
+    entries = anchor_entries(blocks, BUCKETS * parts, length, gram).repartition(parts, "bucket")
     shared = cut_lineage(shared_anchors(entries, split_above))
     moved = cut_lineage(passages(blocks, shared, PER_PARTITION * parts, length, gram))
     found = removed_runs(moved.filter("shard >= 0").repartition(parts, "shard"), length, shard_bytes)

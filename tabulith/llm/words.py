@@ -102,6 +102,20 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = P
     release_memory()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one while their texts take ``limit`` bytes at most, however few rows come at once."""
+    held, size = [], 0
+    for one in batches:
+        more = one.column(text).nbytes
+        if held and size + more > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(one)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
+
+
 def release_memory() -> None:
     """Give what a worker has freed back to the system: it stays alive after its task, beside the executor's heap."""
     _powers.clear()

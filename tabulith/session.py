@@ -48,15 +48,15 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
-def small_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Rows go to Python workers by a few megabytes from now on, unless the session has a size of its own.
+def small_batches(spark: SparkSession, size: str = "4m", rows: int = 500) -> None:
+    """Few rows, of a few megabytes at most, go to Python workers at once from now on, unless the session has a size of its own.
 
     Spark's 10,000 rows at once are tens of megabytes of text, held by the executor
     outside its heap and by the worker. For jobs whose workers see one stage after another.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, size)
+    for key, value in (("maxBytesPerBatch", size), ("maxRecordsPerBatch", str(rows))):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
 
 
 def ship(spark: SparkSession) -> None:

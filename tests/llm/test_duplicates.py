@@ -166,6 +166,27 @@ def test_suffix_dedup(docs, odd, options):
         assert Counter(tuple(r) for r in repeats.suffix_dedup(frame, **options).collect()) == want
 
 
+def test_anchors_are_dealt_evenly(spark):
+    """Least hashes are small numbers: by their size alone most of them would meet in the first bucket."""
+    rows = [(i, " ".join(str(random.Random(i * 1000 + j).random()) for j in range(60))) for i in range(40)]
+    blocks = repeats.pack_blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    sizes = Counter()
+    for r in repeats.anchor_entries(blocks, 8, repeats.LENGTH, repeats.GRAM).collect():
+        sizes[r.bucket] += len(r.anchors)
+    assert len(sizes) == 8 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 8
+
+
+def test_few_rows_at_once_make_no_small_blocks(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.set(key, "3")
+        assert repeats.pack_blocks(frame).count() == 1
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def test_without_repeats(odd, empty):
     assert repeats.suffix_dedup(empty).collect() == []
     rows = repeats.without_repeats(odd)
@@ -215,6 +236,14 @@ def test_decontamination(spark, data, docs, odd, block_words):
     assert positions.decontaminate(odd.limit(0), items).collect() == []
 
 
+def test_one_worker_answers(spark):
+    """The search and its summary are one step, so that a task needs one worker."""
+    items = spark.createDataFrame([("q", "alpha beta")], "item_id string, text string")
+    found = positions.decontaminate(spark.createDataFrame([(1, "x alpha beta")], "doc_id long, text string"), items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [tuple(r)[:4] for r in found.collect()] == [(1, 3, 2, 1)]
+
+
 def test_proximity(spark):
     items = spark.createDataFrame([("q", "alpha beta gamma delta")], "item_id string, text string")
     frame = spark.createDataFrame([(1, "x alpha beta gamma delta"), (2, "alpha beta new gamma delta"), (3, "gamma alpha"), (4, "beta gamma delta alpha")], "doc_id long, text string")

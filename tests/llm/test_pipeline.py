@@ -109,6 +109,22 @@ def test_rows_go_to_workers_by_a_few_megabytes(spark, data, odd):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def test_few_rows_go_to_workers_at_once(spark, data, odd):
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Bytes", "Records")]
+    before = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        pipeline.quality(spark, odd, data)
+        assert int(spark.conf.get(keys[1])) == 500
+        spark.conf.set(keys[1], "7")
+        pipeline.suffix_repeats(spark, odd.limit(0), data)
+        assert spark.conf.get(keys[1]) == "7"
+    finally:
+        for k, x in zip(keys, before):
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+
+
 def test_a_model_leaves_no_tables_of_counts(spark, tmp_path, monkeypatch):
     from tabulith import session
     from tabulith.llm.interpolation import lm_scores
